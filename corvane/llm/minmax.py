@@ -9,9 +9,11 @@ of a class goes on.
 Candidates of a band bucket are not all paired. (1) Every member is checked
 against the bucket's first member. (2) The links found give components; where
 the members of a bucket still lie in several, those outside the largest one are
-compared, by signature and in blocks, with the members of other components, and
-what may be similar enough is checked on the full sets. Links inside one
-component change nothing, so the components are those of all links.
+compared, by signature and in blocks, with the members of other components.
+Documents that may be similar enough to another are dealt to the same blocks
+again with their full sets, and each block gives a spanning forest of its links;
+so no pairs are written, only documents and links. Links inside one component
+change nothing, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -24,14 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, join_by_group, saved
+from .shared import BROADCAST_ROWS, discard, join_by_group, saved
 from .textcols import code_points, lower_ascii, mix64, range_hashes, sub_batches, word_ranges
 
 #: Permutations; each gives a minimum and a maximum.
 PERMUTATIONS = 96
 
 #: Members outside a bucket's largest component are compared in blocks of so many, against so many others at a time.
-BLOCK, OTHERS = 512, 8192
+BLOCK, OTHERS = 256, 8192
+
+#: Standard errors under the threshold down to which a signature's estimate counts as perhaps similar enough.
+MARGIN = 5.0
 
 #: So many ids are broadcast at most, to fetch the sets of candidates: 8 bytes each.
 BROADCAST_IDS = 2_000_000
@@ -73,6 +78,17 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted hashes, 6 bytes each: enough to tell the shingles of two documents apart."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minimum and maximum under each permutation, side by side; shingles may be of any number."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -127,7 +143,7 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
         import pyarrow as pa
 
         for part, texts in sub_batches(batches, text_col):
-            sets = [s.tobytes() for s in shingle_sets(texts, words)]
+            sets = [packed(s) for s in shingle_sets(texts, words)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "set"])
 
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -135,6 +151,15 @@ def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: in
     return some.mapInArrow(run, "rep long, set binary")
 
 
+def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether 100 * common >= percent * all, on full sets."""
+    few, many = (one, other) if len(one) < len(other) else (other, one)
+    if not len(few) or 100 * len(few) < percent * len(many):
+        return False
+    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets are similar enough. Pairs are dealt by a, in chunks, and stream past a's set."""
     n = pairs.count()
@@ -144,7 +169,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     wanted = dealt.select("a", "chunk", F.col("b").alias("rep"), F.lit(1).alias("turn")).unionByName(
         dealt.select("a", "chunk", F.col("a").alias("rep"), F.lit(0).alias("turn")).distinct()
     )
-    rows = wanted.join(sets, "rep").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn")
+    wanted = saved(wanted, "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    rows = sets.join(F.broadcast(wanted) if few else wanted, "rep").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -153,74 +180,143 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             found = []
             for a, chunk, rep, turn, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "chunk", "rep", "turn", "set"))):
-                shingles = np.frombuffer(raw, np.uint64)
+                shingles = unpacked(raw)
                 if at != (a, chunk):
                     at, own = (a, chunk), []
                 if turn == 0:
                     own.append(shingles)
                     continue
-                for mine in own:
-                    if 100 * min(len(mine), len(shingles)) < percent * max(len(mine), len(shingles)):
-                        continue
-                    few, many = (mine, shingles) if len(mine) < len(shingles) else (shingles, mine)
-                    spot = np.searchsorted(many, few)
-                    common = int((many[np.minimum(spot, len(many) - 1)] == few).sum())
-                    if 100 * common >= percent * (len(mine) + len(shingles) - common):
-                        found.append((a, rep))
-                        break
+                if any(similar(mine, shingles, percent) for mine in own):
+                    found.append((a, rep))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return rows.select("a", "chunk", "rep", "turn", "set").mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, classes: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket and different components that may be similar enough, by signature."""
+def _blocks(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components, dealt to blocks.
+
+    In a block, the rows of turn 0 (outside the bucket's largest component) are to be
+    compared with those of turn 1 (any).
+    """
     placed = members.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    placed = saved(placed.select("key", "rep", F.coalesce("component_id", "rep").alias("part")), "placed")
+    placed = saved(placed.select("key", "band", "rep", F.coalesce("component_id", "rep").alias("part")), "placed")
     parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("group_rows"), F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     buckets = saved(mixed.select("key", "group_rows", F.col("top.part").alias("main"), (F.col("group_rows") - F.col("top.n")).alias("others")), "mixed")
-    total = placed.count()
-    rows = join_by_group(placed, buckets, ["key"], total)
+    rows = join_by_group(placed, buckets, ["key"], placed.count())
     blocks, lanes = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("group_rows") / OTHERS).cast("int")
     block, lane = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), lanes).cast("int")
-    asking = rows.where("part <> main").select("key", "rep", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
-    asked = rows.select("key", "rep", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
-    both = asking.unionByName(asked).join(classes.select("rep", "n_shingles", "sig"), "rep")
-    keys = ["key", "block", "lane"]
+    asking = rows.where("part <> main").select("key", "band", "rep", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
+    asked = rows.select("key", "band", "rep", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
+    return asking.unionByName(asked).join(classes.select("rep", "n_shingles", "sig", "bands"), "rep")
+
+
+_PLACE = ["key", "block", "lane"]
+
+
+def _least(percent: int) -> float:
     share = percent / 100
-    least = share - 6.5 * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
+    return share - MARGIN * (share * (1 - share) / (2 * PERMUTATIONS)) ** 0.5
+
+
+class _Block:
+    """The rows of turn 0 of one block, to compare rows of turn 1 with."""
+
+    def __init__(self, rows: list[tuple], percent: int):
+        self.reps, self.parts, self.sizes = (np.array([r[k] for r in rows]) for k in range(3))
+        self.sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+        self.percent, self.least = percent, _least(percent)
+
+    def may(self, part: int, n: int, sig: bytes) -> np.ndarray:
+        """Places of rows of another component that may be similar enough."""
+        some = np.flatnonzero((self.parts != part) & (100 * np.minimum(self.sizes, n) >= self.percent * np.maximum(self.sizes, n)))
+        return some[(self.sigs[some] == np.frombuffer(sig, np.uint8)).mean(axis=1) >= self.least] if len(some) else some
+
+
+def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
+    """The rows of blocks that may be similar enough to one of the other turn; a pair counts in the first band it shares."""
+    schema = "key long, block int, lane int, turn int, rep long, part long, n_shingles int, sig binary"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        at, queries = None, []
-        packed = None
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = [f.split()[0] for f in schema.split(", ")]
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+
+        def asked() -> list[tuple]:
+            return [(*at, 0, *queries[i][:4]) for i in np.flatnonzero(hit).tolist()] if block is not None else []
+
+        at, queries, block, hit, their = None, [], None, np.zeros(0, bool), None
         for batch in batches:
-            found = set()
-            names = ("key", "block", "lane", "turn", "rep", "part", "n_shingles", "sig")
-            for key, block, lane, turn, rep, part, n, sig in zip(*(batch.column(k).to_pylist() for k in names)):
-                if at != (key, block, lane):
-                    at, queries, packed = (key, block, lane), [], None
+            out = []
+            for *key, turn, rep, part, n, sig, band, keys in zip(*(batch.column(k) if k == "bands" else batch.column(k).to_pylist() for k in (*_PLACE, "turn", "rep", "part", "n_shingles", "sig", "band", "bands"))):
+                if at != key:
+                    out += asked()
+                    at, queries, block = key, [], None
+                bands = keys.values.to_numpy()
                 if turn == 0:
-                    queries.append((rep, part, n, sig))
+                    queries.append((rep, part, n, sig, bands))
                     continue
                 if not queries:
                     continue
-                if packed is None:
-                    reps, parts, sizes = (np.array([q[i] for q in queries]) for i in range(3))
-                    packed = reps, parts, sizes, np.frombuffer(b"".join(q[3] for q in queries), np.uint8).reshape(len(queries), -1)
-                reps, parts, sizes, sigs = packed
-                may = np.flatnonzero((parts != part) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
+                if block is None:
+                    block, hit, their = _Block(queries, percent), np.zeros(len(queries), bool), np.stack([q[4] for q in queries])
+                may = block.may(part, n, sig)
+                may = may[(their[may] == bands).argmax(axis=1) == band] if len(may) else may
                 if len(may):
-                    alike = (sigs[may] == np.frombuffer(sig, np.uint8)).mean(axis=1) >= least
-                    found.update((min(rep, q), max(rep, q)) for q in reps[may[alike]].tolist())
+                    hit[may] = True
+                    out.append((*at, 1, rep, part, n, sig))
+            if out:
+                yield batch_of(out)
+        if last := asked():
+            yield batch_of(last)
+
+    dealt = blocks.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "turn")
+    return dealt.withColumn("n_shingles", F.col("n_shingles").cast("int")).mapInArrow(run, schema)
+
+
+def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """A spanning forest of the links (a, b) between components, from each block, on the full sets."""
+    few = candidates.count() <= BROADCAST_ROWS
+    rows = sets.join(F.broadcast(candidates) if few else candidates, "rep")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        at, queries, block, joined = None, [], None, {}
+
+        def root(part: int) -> int:
+            while joined.get(part, part) != part:
+                part = joined[part]
+            return part
+
+        for batch in batches:
+            found = []
+            for *key, turn, rep, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*_PLACE, "turn", "rep", "part", "n_shingles", "sig", "set"))):
+                if at != key:
+                    at, queries, block, joined = key, [], None, {}
+                if turn == 0:
+                    queries.append((rep, part, n, sig, unpacked(raw)))
+                    continue
+                if not queries:
+                    continue
+                if block is None:
+                    block = _Block(queries, percent)
+                shingles = unpacked(raw)
+                for i in block.may(part, n, sig).tolist():
+                    one, other = root(part), root(queries[i][1])
+                    if one != other and similar(queries[i][4], shingles, percent):
+                        joined[max(one, other)] = min(one, other)
+                        found.append((rep, queries[i][0]))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    dealt = both.repartition(*keys).sortWithinPartitions(*keys, "turn")
-    return dealt.mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    return rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "turn").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -240,22 +336,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "classes",
     )
     n = classes.count()
-    banded = classes.select(F.explode("bands").alias("key"), "rep")
+    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep")
     buckets = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.min("rep").alias("center")).where("group_rows > 1"), "buckets")
-    members = saved(join_by_group(banded, buckets, ["key"], n).select("key", "rep", "center"), "members")
+    members = saved(join_by_group(banded, buckets, ["key"], n).select("key", "band", "rep", "center"), "members")
     stars = saved(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     sets = saved(_sets(docs, members.select("rep").distinct(), id_col, text_col, words), "sets")
     links = saved(_confirmed(stars, sets, percent), "links")
     found = saved(components(links), "components")
-    more = saved(_across(members.select("key", "rep"), classes, found, percent), "across")
+    candidates = saved(_candidates(_blocks(members.select("key", "band", "rep"), classes, found), percent), "candidates")
+    more = saved(_across(candidates, sets, percent), "links")
     if not more.isEmpty():
-        extra = saved(_confirmed(more, sets, percent), "links")
-        if not extra.isEmpty():
-            found = saved(components(links.unionByName(extra)), "components")
+        found = saved(components(links.unionByName(more)), "components")
     placed = classes.select("digest", "rep", "group_rows").join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
     placed = placed.where("group_rows > 1 or component_id is not null")
     groups = saved(placed.select("digest", "group_rows", F.coalesce("component_id", "rep").alias("component_id")), "groups")
-    discard(sets, buckets, members, stars, more)
+    discard(sets, buckets, members, stars, candidates)
     narrow = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     every = join_by_group(narrow, groups, ["digest"], n, "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))

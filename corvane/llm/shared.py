@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: A key is hot from this share of the rows on; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
+#: Groups of up to so many rows are broadcast; more are split into hot and other keys.
+BROADCAST_ROWS = 300_000
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -58,10 +61,13 @@ def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: i
     """rows join groups (inner or left) on keys, whatever a key's share of the rows.
 
     groups has one row per key and a column group_rows: how many of the n_rows
-    rows share it at most. Keys holding at least 1/HOT_SHARE of the rows are so
-    few that they are broadcast; the others are shuffled, and none of them is large.
-    groups is read three times: pass a saved table. Null keys match nothing.
+    rows share it at most. Up to BROADCAST_ROWS groups are broadcast. Of more, keys
+    holding at least 1/HOT_SHARE of the rows are so few that they are broadcast; the
+    others are shuffled, and none of them is large. groups is read several times:
+    pass a saved table. Null keys match nothing.
     """
+    if groups.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(groups), keys, how)
     least = max(2, -(-n_rows // HOT_SHARE))
     hot = groups.where(F.col("group_rows") >= least)
     rest = groups.where(F.col("group_rows") < least)
