@@ -1,4 +1,730 @@
-"""Named queries over the driver's tables, with the DuckDB SQL each must equal."""
+"""Named queries over the driver's tables, each with the DuckDB SQL that it must equal where SQL can say it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars, waveform
+from ..operators import intervals, labels, sampling, table
+from . import config
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(make: Callable) -> Callable:
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(lambda name: read(spark, sf_dir, name))
+        if sql:
+            ORACLES[make.__name__] = sql
+        return make
+
+    return add
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["label_histogram"](spark, sf_dir)
+
+
+def md5_draw(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 7))::BIGINT"
+
+
+@query("""WITH d AS (SELECT * FROM documents WHERE lang IN ('en', 'de')), u AS (SELECT source FROM d QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+    m AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS label FROM (SELECT DISTINCT source FROM u))
+    SELECT label, count(*) AS n FROM u JOIN m USING (source) GROUP BY label""")
+def label_histogram(t):
+    kept = table.deduplicate(table.filter_isin(t("documents"), "lang", ["en", "de"]), ["text"], ["doc_id"])
+    return table.histogram(labels.label_from_feature(kept, "source")[0], "label")
+
+
+# sources
+
+
+@query("SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents")
+def scan_parquet_rowindex(t):
+    return table.with_ordinal(t("documents").select("doc_id", "lang"), ["doc_id"]).withColumnRenamed(table.ORDINAL, "row_index")
+
+
+@query("SELECT doc_id, source, lang FROM documents WHERE source = 'src0'")
+def scan_split_filter(t):
+    return t("documents").where("source = 'src0'").select("doc_id", "source", "lang")
+
+
+# projection
+
+
+@query("SELECT c_name, c_custkey FROM customer")
+def select_columns(t):
+    return table.select_columns(t("customer"), ["c_name", "c_custkey"])
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment FROM customer")
+def rename_columns(t):
+    return table.rename_columns(t("customer").select("c_custkey", "c_name", "c_mktsegment"), {"c_custkey": "id", "c_name": "name", "absent": "x"})
+
+
+@query("SELECT c_custkey, 'x' AS tag FROM customer")
+def add_column_scalar(t):
+    return table.add_column(t("customer").select("c_custkey"), "tag", "x")
+
+
+@query("SELECT n_nationkey, (row_number() OVER (ORDER BY n_nationkey) - 1) * 10 AS place FROM nation")
+def add_column_list(t):
+    return table.add_column(t("nation").select("n_nationkey"), "place", [10 * i for i in range(25)], key="n_nationkey")
+
+
+_NATIONS = {0: "a", 1: "b", 7: "c"}
+
+
+@query("SELECT c_custkey, CASE c_nationkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 7 THEN 'c' END AS zone FROM customer")
+def map_column(t):
+    return table.map_column(t("customer"), "c_nationkey", _NATIONS, "zone").select("c_custkey", "zone")
+
+
+@query("SELECT c_custkey, CASE c_nationkey WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 7 THEN 'c' ELSE 'none' END AS zone FROM customer")
+def map_column_default(t):
+    return table.map_column(t("customer"), "c_nationkey", _NATIONS, "zone", "none").select("c_custkey", "zone")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey BETWEEN 1 AND 1000 THEN 'p' || l_partkey END AS part_name FROM lineitem WHERE l_linenumber = 1")
+def map_column_large(t):
+    rows = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
+    return table.map_column(rows, "l_partkey", {i: f"p{i}" for i in range(1, 1001)}, "part_name").drop("l_partkey")
+
+
+@query("SELECT c_name AS caller, c_acctbal AS balance FROM customer")
+def output_take_and_give(t):
+    return table.take_and_give(t("customer"), {"c_name": "caller", "c_acctbal": "balance"})
+
+
+@query("SELECT c_name AS caller, c_custkey FROM customer")
+def output_take_and_give_loose(t):
+    return table.take_and_give(t("customer"), {"c_name": "caller", "absent": "x"}, strict=False, always=["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer")
+def drop_empty_columns(t):
+    rows = t("customer").select("c_custkey", "c_name", F.lit(1).alias("Unnamed: 0"), F.lit(None).cast("string").alias("empty"), F.lit(2).alias("gone"))
+    return table.drop_empty(rows, ["gone"])
+
+
+@query("SELECT a.n_name, b.r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) b USING (i)")
+def horizontal_concat(t):
+    left, right = table.with_ordinal(t("nation"), ["n_nationkey"]), table.with_ordinal(t("region"), ["r_regionkey"])
+    return left.join(right, table.ORDINAL).select("n_name", "r_name")
+
+
+# filters
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def filter_include(t):
+    return table.filter_isin(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["BUILDING", "MACHINERY"])
+
+
+@query("SELECT c_custkey, c_mktsegment FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')")
+def filter_exclude(t):
+    return table.filter_isin(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", ["BUILDING", "MACHINERY"], negate=True)
+
+
+def _holed(t):
+    return t("customer").select("c_custkey", F.nullif("c_mktsegment", F.lit("FURNITURE")).alias("segment"))
+
+
+@query("SELECT * FROM (SELECT c_custkey, nullif(c_mktsegment, 'FURNITURE') AS segment FROM customer) WHERE segment NOT IN ('BUILDING')")
+def filter_exclude_nulls(t):
+    return table.filter_isin(_holed(t), "segment", ["BUILDING"], negate=True)
+
+
+@query("SELECT * FROM (SELECT c_custkey, nullif(c_mktsegment, 'FURNITURE') AS segment FROM customer) WHERE segment IS NULL OR segment NOT IN ('BUILDING')")
+def filter_exclude_keep_nulls(t):
+    return table.filter_isin(_holed(t), "segment", ["BUILDING"], negate=True, keep_nulls=True)
+
+
+@query("SELECT doc_id, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NOT NULL")
+def dropna_subset(t):
+    return table.dropna(t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "toxic"), ["toxic"])
+
+
+@query("SELECT doc_id, lang, toxic, quality FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NOT NULL AND quality IS NOT NULL AND lang IS NOT NULL")
+def dropna_all(t):
+    return table.dropna(t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "lang", "toxic", "quality"))
+
+
+@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_type, ' '), ['TIN', 'BRASS'])")
+def list_contains_any(t):
+    return table.contains_any(t("part").withColumn("words", F.split("p_type", " ")), "words", ["TIN", "BRASS"]).select("p_partkey")
+
+
+@query("""SELECT vec_id, CASE WHEN len(e) < 10 THEN 'too_short' WHEN list_sum(list_transform(e, lambda x: abs(x))) = 0 THEN 'all_zero' END AS issue
+    FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN embedding[1:5] WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: 0::FLOAT) ELSE embedding END AS e FROM embeddings)""")
+def qc_report(t):
+    e = F.when(F.col("vec_id") % 7 == 0, F.slice("embedding", 1, 5)).when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: F.lit(0).cast("float"))).otherwise(F.col("embedding"))
+    return t("embeddings").select("vec_id", waveform.issues(e).alias("issue"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority LIKE '1%' OR o_totalprice > 200000)")
+def filter_conditions(t):
+    kept = (F.col("o_orderstatus") != "F") & (F.col("o_orderpriority").startswith("1") | (F.col("o_totalprice") > 200000))
+    return t("orders").where(kept).select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders QUALIFY o_totalprice = max(o_totalprice) OVER (PARTITION BY o_custkey)")
+def max_view_rows(t):
+    rows = t("orders")
+    best = rows.groupBy("o_custkey").agg(F.max("o_totalprice").alias("o_totalprice"))
+    return rows.join(best, ["o_custkey", "o_totalprice"]).select("o_orderkey", "o_custkey")
+
+
+# joins
+
+
+@query("""SELECT s_suppkey, n_name AS "order", r_name AS kingdom FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20 LEFT JOIN region ON n_regionkey = r_regionkey""")
+def taxonomy_join(t):
+    dimension = t("nation").where("n_nationkey < 20").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("order"), F.col("r_name").alias("kingdom"))
+    rows = t("supplier").select("s_suppkey", "s_nationkey")
+    return labels.add_taxonomy(rows, "s_nationkey", dimension, "n_nationkey", ["order", "kingdom"])[0].drop("s_nationkey")
+
+
+@query("""SELECT s_suppkey, CASE WHEN n_nationkey IS NOT NULL THEN concat_ws(' ', r_name, n_name, s_nationkey::VARCHAR) END AS taxonomic_name
+    FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20 LEFT JOIN region ON n_regionkey = r_regionkey""")
+def taxonomic_name(t):
+    dimension = t("nation").where("n_nationkey < 20").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("name"), F.col("r_name").alias("kingdom"), F.col("n_name").alias("order"))
+    rows = t("supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("name"))
+    return labels.add_taxonomy(rows, "name", dimension, "name", ["kingdom", "order"], {"absent": "x"}, "taxonomic_name")[0].select("s_suppkey", "taxonomic_name")
+
+
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def full_outer_merge(t):
+    return t("documents").where("doc_id % 2 = 0").join(t("labels"), "doc_id", "outer").select("doc_id", "lang", "quality")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def semi_join(t):
+    return t("customer").join(t("orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def anti_join(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda w: CASE w WHEN 'TIN' THEN 'sn' WHEN 'COPPER' THEN 'cu' END) AS codes FROM part")
+def label_list_lookup(t):
+    codes = table.map_literal({"TIN": "sn", "COPPER": "cu"})
+    return t("part").select("p_partkey", F.transform(F.split("p_type", " "), lambda w: F.element_at(codes, w)).alias("codes"))
+
+
+@query("""WITH w AS (SELECT n_nationkey, unnest(string_split(n_name, '_')) AS word, generate_subscripts(string_split(n_name, '_'), 1) AS pos FROM nation),
+    m AS (SELECT n_nationkey, pos, min(r_regionkey) AS region FROM w LEFT JOIN region ON contains(r_name, substr(word, 1, 1)) GROUP BY ALL)
+    SELECT n_nationkey, list(region ORDER BY pos) AS regions FROM m GROUP BY n_nationkey""")
+def contains_first_match(t):
+    words = t("nation").select("n_nationkey", F.posexplode(F.split("n_name", "_")).alias("pos", "word"))
+    found = words.join(F.broadcast(t("region")), F.contains("r_name", F.substring("word", 1, 1)), "left").groupBy("n_nationkey", "pos").agg(F.min("r_regionkey").alias("region"))
+    pairs = F.array_sort(F.collect_list(F.struct("pos", "region")))
+    return found.groupBy("n_nationkey").agg(F.transform(pairs, lambda p: p["region"]).alias("regions"))
+
+
+@query("""WITH p AS (SELECT n_nationkey, unnest(range(1, 6)) AS k, substr(n_name, 1, unnest(range(1, 6))::INT) AS prefix FROM nation),
+    c AS (SELECT p.n_nationkey, k, count(*) AS n, min(o.n_nationkey) AS hit FROM p JOIN nation o ON starts_with(o.n_name, prefix) GROUP BY ALL)
+    SELECT n_nationkey, min(k)::INT AS length, min_by(hit, k) AS hit FROM c WHERE n = 1 GROUP BY n_nationkey""")
+def prefix_unique_match(t):
+    prefixes = t("nation").select("n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"), "n_name").select("n_nationkey", "k", F.substring("n_name", F.lit(1), F.col("k")).alias("prefix"))
+    other = F.broadcast(t("nation").select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("name")))
+    counts = prefixes.join(other, F.startswith("name", "prefix")).groupBy("n_nationkey", "k").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("hit"))
+    return counts.where("n = 1").groupBy("n_nationkey").agg(F.min("k").alias("length"), F.min_by("hit", "k").alias("hit"))
+
+
+@query("""WITH RECURSIVE p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey WHEN c_custkey % 7 = 0 THEN 10000000 ELSE c_custkey - 1 END AS parent,
+        CASE WHEN c_custkey % 5 = 0 THEN 'species' ELSE 'subspecies' END AS rank FROM customer),
+    r AS (SELECT id, id AS at, 0 AS depth FROM p UNION ALL SELECT r.id, p.parent, depth + 1 FROM r JOIN p ON r.at = p.id WHERE rank <> 'species' AND depth < 16)
+    SELECT p.id, max(r.at) AS resolved FROM p LEFT JOIN (SELECT r.id, r.at FROM r JOIN p ON p.id = r.at WHERE p.rank = 'species') r ON r.id = p.id GROUP BY p.id""")
+def recursive_resolve(t):
+    key = F.col("c_custkey")
+    rows = t("customer").select(
+        key.alias("id"), F.when(key % 5 == 0, key).when(key % 7 == 0, F.lit(10000000)).otherwise(key - 1).alias("parent"), F.lit(None).cast("long").alias("accepted"),
+        F.when(key % 5 == 0, "species").otherwise("subspecies").alias("rank"), F.lit("accepted").alias("status"),
+    )
+    return table.resolve_pointers(rows.sparkSession, rows, depth=8)
+
+
+# nested tables and intervals
+
+
+def _events(t):
+    begin = F.expr("(unix_micros(cast(ts as timestamp)) % 100000000) / 1000000.0D")
+    return t("events").select("event_id", "user_id", "event_type", begin.alias("begin"), (begin + F.col("user_id") % 5).alias("end"))
+
+
+_EVENTS_SQL = """e AS (SELECT event_id, user_id, event_type, (epoch_us(ts) % 100000000) / 1000000.0::DOUBLE AS "begin",
+    (epoch_us(ts) % 100000000) / 1000000.0::DOUBLE + user_id % 5 AS "end" FROM events),
+    g AS (SELECT c.user_id, k * 10.0::DOUBLE AS clip_start, k * 10.0::DOUBLE + 20.0::DOUBLE AS clip_end
+        FROM (SELECT user_id, max("end") AS duration FROM e GROUP BY user_id) c, range(0, 12) r(k) WHERE k < floor((duration - 20.0) / 10.0))"""
+
+
+def _clips(t):
+    return intervals.sliding_clips(_events(t).groupBy("user_id").agg(F.max("end").alias("duration")), "duration", 20.0, 10.0).select("user_id", "clip_start", "clip_end")
+
+
+@query(f"WITH {_EVENTS_SQL} SELECT * FROM g")
+def sliding_clips(t):
+    return _clips(t)
+
+
+@query(f"""WITH {_EVENTS_SQL} SELECT g.user_id, clip_start, clip_end, event_id FROM g LEFT JOIN e ON g.user_id = e.user_id AND "end" > "begin" AND "begin" < clip_end AND "end" > clip_start""")
+def interval_overlap_join(t):
+    return intervals.overlap_join(_clips(t), _events(t).select("user_id", "event_id", "begin", "end"), "user_id", "clip_start", "clip_end", "begin", "end", 25.0).select("user_id", "clip_start", "clip_end", "event_id")
+
+
+@query(f"""WITH {_EVENTS_SQL} SELECT g.user_id, event_id, clip_start, greatest("begin", clip_start) - clip_start AS rel_begin, least("end", clip_end) - clip_start AS rel_end
+    FROM g JOIN e ON g.user_id = e.user_id AND "end" > "begin" AND "begin" < clip_end AND "end" > clip_start""")
+def clip_relative_intervals(t):
+    met = intervals.overlap_join(_clips(t), _events(t).select("user_id", "event_id", "begin", "end"), "user_id", "clip_start", "clip_end", "begin", "end", 25.0, "inner")
+    rel = lambda c: c - F.col("clip_start")
+    return met.select("user_id", "event_id", "clip_start", rel(F.greatest("begin", "clip_start")).alias("rel_begin"), rel(F.least("end", "clip_end")).alias("rel_end"))
+
+
+def _tables(t):
+    rows = t("events").select("user_id", F.col("event_id").cast("double").alias("b"), (F.col("event_id") + 1).cast("double").alias("e"), "event_type")
+    return intervals.write_selection_table(rows, ["user_id"], "b", "e", "event_type")
+
+
+@query("SELECT user_id, count(*) AS n, sum(event_id)::DOUBLE AS begins, min(event_type) AS first_label FROM events GROUP BY user_id")
+def selection_table_roundtrip(t):
+    events = _tables(t).select("user_id", F.explode(intervals.parse_selection_table(F.col("selection_table"))).alias("e"))
+    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e.begin").alias("begins"), F.min("e.label").alias("first_label"))
+
+
+@query("SELECT user_id, event_id::DOUBLE AS \"begin\", event_type AS label FROM events WHERE event_id < 100")
+def selection_table_parse(t):
+    events = _tables(t).select("user_id", F.explode(intervals.clip_to_duration(intervals.parse_selection_table(F.col("selection_table")), F.lit(100.0))).alias("e"))
+    return events.select("user_id", F.col("e.begin").alias("begin"), F.col("e.label").alias("label"))
+
+
+@query("SELECT DISTINCT event_type AS label FROM events")
+def available_labels(t):
+    return intervals.available_labels(_tables(t), "selection_table")
+
+
+@query("SELECT user_id, count(*) AS n, sum(CASE event_type WHEN 'click' THEN 0 WHEN 'view' THEN 1 ELSE -1 END)::BIGINT AS ids FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY user_id")
+def interval_build(t):
+    sets = _tables(t).select("user_id", F.explode(intervals.interval_set(intervals.parse_selection_table(F.col("selection_table")), ["click", "view"], "error")).alias("i"))
+    return sets.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("i.label").alias("ids"))
+
+
+@query("""WITH e AS (SELECT *, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+    f AS (SELECT *, coalesce(max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, s ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e WHERE s > 0),
+    w AS (SELECT *, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, s) AS whole FROM f WHERE ended = 0)
+    SELECT user_id, s::BIGINT AS segment, event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id, s))::BIGINT AS rel_us FROM w WHERE whole = 1""")
+def song_segments(t):
+    rows = intervals.segments(t("events"), "user_id", ["ts", "event_id"], "event_type", "view", "click", "purchase")
+    micros = F.expr("unix_micros(cast(ts as timestamp))")
+    return rows.select("user_id", F.col("segment").cast("long").alias("segment"), "event_id", (micros - F.min(micros).over(Window.partitionBy("user_id", "segment"))).alias("rel_us"))
+
+
+# aggregation and distinct
+
+
+@query("SELECT DISTINCT event_type FROM events")
+def unique_sorted(t):
+    return table.unique(t("events"), "event_type")
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def histogram(t):
+    return table.histogram(t("events"), "event_type")
+
+
+@query("""WITH c AS (SELECT p_brand, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, p_brand) AS r FROM part GROUP BY p_brand)
+    SELECT CASE WHEN r <= 5 THEN p_brand ELSE 'other' END AS p_brand, sum(n)::BIGINT AS n FROM c GROUP BY ALL""")
+def value_counts_topk_other(t):
+    return table.top_and_other(t("part"), "p_brand", 5)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def dedup_keep_first(t):
+    return table.deduplicate(t("orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"])
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def dedup_keep_last(t):
+    return table.deduplicate(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"], "last")
+
+
+@query("SELECT DISTINCT lang, source FROM documents")
+def dedup_all_columns(t):
+    return table.deduplicate(t("documents").select("lang", "source"), None, [])
+
+
+@query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedup_text(t):
+    return table.deduplicate(t("documents").select("doc_id", "lang", "text"), ["text"], ["doc_id"]).drop("text")
+
+
+@query("SELECT event_type, count(*) / sum(count(*)) OVER () AS share FROM events WHERE event_type <> 'error' GROUP BY event_type")
+def label_proportions(t):
+    counts = table.histogram(t("events").where("event_type <> 'error'"), "event_type")
+    return counts.select("event_type", (F.col("n") / F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("share"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS mean_value FROM events GROUP BY day")
+def groupby_mean_daily(t):
+    return t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean_value"))
+
+
+@query("SELECT n_regionkey, string_agg(DISTINCT lower(n_name), ',' ORDER BY lower(n_name)) AS names FROM nation GROUP BY n_regionkey")
+def string_set_agg(t):
+    return t("nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set(F.lower("n_name"))), ",").alias("names"))
+
+
+@query("SELECT user_id, min(event_id) AS low, max(event_id) AS high, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
+def group_extremes(t):
+    return t("events").groupBy("user_id").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"), F.countDistinct("event_type").alias("kinds"))
+
+
+@query("SELECT count(*) AS n, count(*) - count(DISTINCT text) AS copies FROM documents")
+def duplicate_count(t):
+    return t("documents").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.countDistinct("text")).alias("copies"))
+
+
+# sampling
+
+
+def _drawn(rows: str, pool: str, key: str) -> str:
+    return f"(SELECT *, {pool} AS pool, row_number() OVER (PARTITION BY {pool} ORDER BY {md5_draw(chr(39) + '42' + chr(39), pool, key)}, {key}) AS r, count(*) OVER (PARTITION BY {pool}) AS n FROM {rows})"
+
+
+@query(f"SELECT event_id, event_type FROM {_drawn('events', 'event_type', 'event_id')} WHERE r <= floor(n * CASE event_type WHEN 'click' THEN 0.29::DOUBLE WHEN 'view' THEN 0.5::DOUBLE WHEN 'error' THEN 1.0::DOUBLE ELSE 0 END)")
+def subsample(t):
+    return sampling.subsample(t("events").select("event_id", "event_type"), "event_type", {"click": 0.29, "view": 0.5, "error": 1.0}, "event_id")
+
+
+_POOLED = "CASE WHEN event_type = 'click' THEN event_type ELSE 'other' END"
+
+
+@query(f"SELECT event_id, event_type FROM {_drawn('events', _POOLED, 'event_id')} WHERE r <= floor(n * CASE pool WHEN 'click' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END)")
+def subsample_other(t):
+    return sampling.subsample(t("events").select("event_id", "event_type"), "event_type", {"click": 0.3, "other": 0.2}, "event_id")
+
+
+_HOLED = "(SELECT event_id, nullif(event_type, 'view') AS event_type FROM events)"
+
+
+@query(f"SELECT event_id, event_type FROM {_drawn(_HOLED, _POOLED, 'event_id')} WHERE r <= floor(n * CASE pool WHEN 'click' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END)")
+def subsample_null_other(t):
+    rows = t("events").select("event_id", F.nullif("event_type", F.lit("view")).alias("event_type"))
+    return sampling.subsample(rows, "event_type", {"click": 0.3, "other": 0.2}, "event_id")
+
+
+def _resampled(target: str) -> str:
+    """SQL of a draw per lang: without replacement up to the count, slots with replacement beyond."""
+    return f"""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), k AS (SELECT lang, n, ({target})::BIGINT AS t FROM c),
+        d AS (SELECT doc_id, d.lang, k.n, k.t, r FROM {_drawn('documents', 'lang', 'doc_id')} d JOIN k ON d.lang = k.lang),
+        s AS (SELECT lang, {md5_draw("'42'", 'lang', 'slot::VARCHAR')} % n + 1 AS r FROM (SELECT lang, n, unnest(range(t)) AS slot FROM k WHERE t > n))
+        SELECT doc_id, lang FROM d WHERE t <= n AND r <= t UNION ALL SELECT doc_id, lang FROM d JOIN s USING (lang, r)"""
+
+
+def _docs(t):
+    return t("documents").select("doc_id", "lang")
+
+
+@query(_resampled("150"))
+def upsample_counts(t):
+    return sampling.upsample(_docs(t), "lang", {"en": 150, "de": 150, "fr": 150, "es": 150}, "doc_id")
+
+
+@query(_resampled("min(n) OVER ()"))
+def balanced_min(t):
+    return sampling.balanced(_docs(t), "lang", "doc_id", "min")
+
+
+@query(_resampled("max(n) OVER ()"))
+def balanced_max(t):
+    return sampling.balanced(_docs(t), "lang", "doc_id", "max")
+
+
+@query(_resampled("trunc(median(n) OVER ())"))
+def balanced_median(t):
+    return sampling.balanced(_docs(t), "lang", "doc_id", "median")
+
+
+@query(_resampled("round_even(avg(n) OVER (), 0)"))
+def balanced_mean(t):
+    return sampling.balanced(_docs(t), "lang", "doc_id", "mean")
+
+
+@query(_resampled("least(greatest(n, trunc(median(n) OVER () * (1 - 0.2::DOUBLE))), trunc(median(n) OVER () * (1 + 0.2::DOUBLE)))"))
+def balanced_median_with_range(t):
+    return sampling.balanced(_docs(t), "lang", "doc_id", "median_with_range", 0.2)
+
+
+@query(_resampled("CASE WHEN n >= 130 THEN n ELSE least(130, n * 3) END"))
+def long_tail_upsample(t):
+    return sampling.long_tail(_docs(t), "lang", "doc_id", 130, 3)
+
+
+@query(f"SELECT c_custkey, c_name FROM customer ORDER BY {md5_draw(chr(39) + '42' + chr(39), 'c_custkey')}, c_custkey LIMIT 50")
+def sample_rows(t):
+    return sampling.sample_rows(t("customer").select("c_custkey", "c_name"), 50, "c_custkey")
+
+
+@query(f"""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY {md5_draw("'42'", "'all'", 'c_custkey')}, c_custkey) AS r, count(*) OVER () AS n FROM customer),
+    s AS (SELECT {md5_draw("'42'", "'all'", 'slot::VARCHAR')} % (SELECT count(*) FROM customer) + 1 AS r FROM range(100) x(slot)) SELECT c_custkey FROM r JOIN s USING (r)""")
+def sample_rows_replace(t):
+    return sampling.sample_rows(t("customer").select("c_custkey"), 100, "c_custkey", replace=True)
+
+
+@query(f"""SELECT c_custkey, c_mktsegment, CASE WHEN n < 3 OR r <= least(greatest(1, floor(n * 0.8::DOUBLE)), n - 2) THEN 'train'
+    WHEN r <= least(greatest(1, floor(n * 0.8::DOUBLE)), n - 2) + greatest(1, floor(n * 0.1::DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM {_drawn('customer', 'c_mktsegment', 'c_custkey')}""")
+def stratified_split(t):
+    return sampling.stratified_split(t("customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "c_custkey")
+
+
+@query(f"""WITH g AS (SELECT c_nationkey, row_number() OVER (ORDER BY {md5_draw("'42'", 'c_nationkey')}, c_nationkey) AS r FROM (SELECT DISTINCT c_nationkey FROM customer))
+    SELECT c_custkey, c_nationkey, CASE WHEN r <= 5 THEN 'test' WHEN r <= 10 THEN 'val' ELSE 'train' END AS split FROM customer JOIN g USING (c_nationkey)""")
+def group_disjoint_split(t):
+    return sampling.group_split(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey", 5, 5)
+
+
+@query(f"SELECT event_id FROM events WHERE {md5_draw(chr(39) + '42' + chr(39), 'event_id')} / 268435456.0::DOUBLE >= 0.7")
+def drop_with_probability(t):
+    return t("events").where(sampling.draw(42, "event_id") / 2.0**28 >= 0.7).select("event_id")
+
+
+# labels
+
+
+@query("""WITH m AS (SELECT c_mktsegment, row_number() OVER (ORDER BY c_mktsegment) - 1 AS label FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, label FROM customer JOIN m USING (c_mktsegment)""")
+def label_from_feature(t):
+    return labels.label_from_feature(t("customer"), "c_mktsegment")[0].select("c_custkey", "label")
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 5 WHEN 'MACHINERY' THEN 9 END::BIGINT AS label FROM customer")
+def label_from_feature_map(t):
+    return labels.label_from_feature(t("customer"), "c_mktsegment", mapping={"BUILDING": 5, "MACHINERY": 9})[0].select("c_custkey", "label")
+
+
+_WORDS = """w AS (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w FROM part WHERE p_size > 10 UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_size < 40),
+    m AS (SELECT w, row_number() OVER (ORDER BY w) - 1 AS i FROM (SELECT DISTINCT w FROM w)), l AS (SELECT p_partkey, list(DISTINCT i ORDER BY i) AS labels FROM w JOIN m USING (w) GROUP BY p_partkey)"""
+
+
+def _parts(t):
+    return t("part").select("p_partkey", F.when(F.col("p_size") > 10, F.split("p_type", " ")).alias("words"), F.when(F.col("p_size") < 40, F.col("p_brand")).alias("brand"))
+
+
+@query(f"WITH {_WORDS} SELECT p_partkey, coalesce(labels, []) AS labels FROM part LEFT JOIN l USING (p_partkey)")
+def multilabel(t):
+    return labels.multilabel(_parts(t), ["words", "brand"])[0].select("p_partkey", "labels")
+
+
+@query("SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform(string_split(p_type, ' '), lambda w: CASE w WHEN 'TIN' THEN 3 WHEN 'COPPER' THEN 1 END::BIGINT), lambda i: i IS NOT NULL))) AS labels FROM part WHERE list_has_any(string_split(p_type, ' '), ['TIN', 'COPPER'])")
+def multilabel_drop_missing(t):
+    rows = t("part").select("p_partkey", F.split("p_type", " ").alias("words"))
+    return labels.multilabel(rows, "words", mapping={"TIN": 3, "COPPER": 1}, allow_missing=False)[0].select("p_partkey", "labels")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 3 = 1 THEN [] ELSE list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)) END AS names FROM part")
+def string_to_list(t):
+    cell = F.when(F.col("p_size") % 3 == 0, F.lit(None)).when(F.col("p_size") % 3 == 1, "None").otherwise(F.replace("p_name", F.lit(" "), F.lit(" , ")))
+    return t("part").select("p_partkey", cell.alias("cell")).select("p_partkey", labels.string_to_list("cell").alias("names"))
+
+
+@query("SELECT p_partkey, CASE p_brand WHEN 'Brand#11' THEN 'eleven' ELSE p_brand END AS brand, array_to_string(string_split(p_type, ' ')[1:2], ' ') AS short FROM part")
+def relabel_default_self(t):
+    return t("part").select("p_partkey", labels.relabel("p_brand", {"Brand#11": "eleven"}).alias("brand"), F.substring_index("p_type", " ", 2).alias("short"))
+
+
+# position and composition
+
+
+def _customers(t):
+    return table.with_ordinal(t("customer").select("c_custkey", "c_name"), ["c_custkey"])
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 7")
+def take_index(t):
+    return _customers(t).where(F.col(table.ORDINAL) == 7).drop(table.ORDINAL)
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) JOIN (SELECT unnest([3, 0, 3]) AS i) USING (i)")
+def take_list(t):
+    return table.rows_at(_customers(t), [3, 0, 3]).drop(table.ORDINAL)
+
+
+@query("SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) WHERE i >= 10 AND i < 40 AND (i - 10) % 3 = 0")
+def take_slice(t):
+    return table.rows_slice(_customers(t), 10, 40, 3).drop(table.ORDINAL)
+
+
+@query("SELECT (i // 40)::BIGINT AS batch, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer) GROUP BY ALL")
+def iter_batches(t):
+    return table.batches(_customers(t), 40).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 3")
+def top_k(t):
+    return table.histogram(t("part"), "p_brand").orderBy(F.desc("n"), "p_brand").limit(3)
+
+
+def _two(t):
+    return [t("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))]
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS segment, NULL::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, s_name, NULL, s_acctbal FROM supplier")
+def concat_soft(t):
+    return table.concat(_two(t))
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def concat_overlap(t):
+    return table.concat(_two(t), "overlap")
+
+
+@query("SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey, s_name FROM supplier")
+def concat_hard(t):
+    return table.concat([df.select("id", "name") for df in _two(t)], "hard")
+
+
+@query("SELECT c_custkey::VARCHAR AS v FROM customer UNION ALL SELECT s_name FROM supplier")
+def concat_types(t):
+    return table.concat([t("customer").select(F.col("c_custkey").alias("v")), t("supplier").select(F.col("s_name").alias("v"))])
+
+
+@query("""SELECT r_regionkey AS id, 0 AS _source_dataset, row_number() OVER (ORDER BY r_regionkey) - 1 AS _source_index FROM region
+    UNION ALL SELECT n_nationkey, 1, row_number() OVER (ORDER BY n_nationkey) - 1 FROM nation""")
+def concat_provenance(t):
+    frames = [table.with_ordinal(t("region").select(F.col("r_regionkey").alias("id")), ["id"]), table.with_ordinal(t("nation").select(F.col("n_nationkey").alias("id")), ["id"])]
+    return table.concat(frames, provenance=True).drop(table.ORDINAL)
+
+
+@query("SELECT r_regionkey AS a, NULL AS b, 0 AS _chain_pos FROM region UNION ALL SELECT NULL, n_name, 1 FROM nation")
+def chain(t):
+    parts = [config.Dataset(t("region").select(F.col("r_regionkey").alias("a")), config.DatasetInfo("r")), config.Dataset(t("nation").select(F.col("n_name").alias("b")), config.DatasetInfo("n"))]
+    return config.Chain(parts).table()
+
+
+@query("SELECT lang FROM documents INTERSECT SELECT lang FROM documents WHERE source = 'src1'")
+def set_intersect(t):
+    return t("documents").select("lang").intersect(t("documents").where("source = 'src1'").select("lang"))
+
+
+@query("SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels")
+def set_except(t):
+    return t("documents").select("doc_id").exceptAll(t("labels").select("doc_id"))
+
+
+@query("""WITH u AS (SELECT * FROM documents WHERE lang IN ('en', 'fr') QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
+    m AS (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label FROM (SELECT DISTINCT lang FROM u)) SELECT label, count(*) AS n FROM u JOIN m USING (lang) GROUP BY label""")
+def config_pipeline(t):
+    steps = [{"type": "filter", "property": "lang", "values": ["en", "fr"]}, {"type": "deduplicate", "subset": ["text"]}, {"type": "rename_columns", "mapping": {"lang": "language"}}, {"type": "label_from_feature", "feature": "language"}]
+    return table.histogram(config.transform(t("documents"), steps)[0], "label")
+
+
+# waveforms
+
+
+@query("SELECT vec_id, list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: round((p[1]::DOUBLE + p[2]::DOUBLE) / 2, 6)) AS mono FROM embeddings")
+def stereo_to_mono(t):
+    two = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    return t("embeddings").select("vec_id", F.transform(waveform.to_mono(two), lambda x: F.round(x, 6)).alias("mono"))
+
+
+@query("SELECT vec_id, embedding[(vec_id % 4 * 8 + 1):(vec_id % 4 * 8 + 16)] AS part FROM embeddings")
+def window_slice(t):
+    start = F.col("vec_id") % 4 * F.lit(0.5)
+    return t("embeddings").select("vec_id", waveform.window(F.col("embedding"), start, start + F.lit(1.0), 16).alias("part"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN embedding[1:50] ELSE list_concat(embedding[1:20], list_transform(range(30), lambda i: 0::FLOAT)) END AS fixed FROM embeddings")
+def pad_truncate(t):
+    cut = F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.slice("embedding", 1, 20))
+    return t("embeddings").select("vec_id", waveform.pad_truncate(cut, 50).alias("fixed"))
+
+
+@query("""SELECT vec_id, list_transform(range(16), lambda i: round(greatest(exp(-pow((i - vec_id % 7) / 1.0::DOUBLE, 2) / 2), exp(-pow((i - vec_id % 13) / 2.0::DOUBLE, 2) / 2)), 6)) AS frames FROM embeddings""")
+def frame_anchor(t):
+    starts = F.array(F.col("vec_id") % 7, F.col("vec_id") % 13)
+    return t("embeddings").select("vec_id", F.transform(waveform.anchor(16, starts, F.array(F.lit(6.0), F.lit(12.0))), lambda x: F.round(x, 6)).alias("frames"))
+
+
+@query("SELECT vec_id, len(embedding) / 16.0::DOUBLE AS duration FROM embeddings")
+def duration(t):
+    return t("embeddings").select("vec_id", (F.size("embedding") / F.lit(16.0)).alias("duration"))
+
+
+@query()
+def resample(t):
+    out = waveform.resample(t("embeddings"), "embedding", 64, 48, "signal")
+    return out.select("vec_id", F.size("signal").alias("n"), F.round(F.aggregate("signal", F.lit(0.0), lambda a, x: a + x * x), 3).alias("energy"))
+
+
+# scalars
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_scalar(t):
+    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [] ELSE [lang, source] END AS tags FROM documents")
+def json_labels(t):
+    cell = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.to_json(F.array("lang", "source")))
+    return t("documents").select("doc_id", cell.alias("cell")).select("doc_id", scalars.json_list(F.col("cell")).alias("tags"))
+
+
+@query(r"""SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS parent, split_part(url, '/', -1) AS name, regexp_extract(url, '://([^/]+)', 1) AS host, 'root/a/' || split_part(url, '/', -1) AS joined FROM pages""")
+def path_algebra(t):
+    url = F.col("url")
+    return t("pages").select("page_id", scalars.parent(url).alias("parent"), scalars.file_name(url).alias("name"), F.regexp_extract(url, "://([^/]+)", 1).alias("host"), scalars.join_path("root/", "a", scalars.file_name(url)).alias("joined"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a/' || page_id || '.wav' ELSE 'a/' || page_id || '.mp3' END AS path FROM pages")
+def suffix_rewrite(t):
+    path = F.concat(F.lit("a/"), F.col("page_id").cast("string"), F.lit(".mp3"))
+    return t("pages").select("page_id", F.when(F.col("page_id") % 2 == 0, scalars.with_suffix(path, ".wav")).otherwise(path).alias("path"))
+
+
+@query("SELECT p_partkey, string_split(p_name || '_x_' || p_partkey, '_')[-2] AS picked FROM part")
+def split_pick(t):
+    name = F.concat_ws("_", "p_name", F.lit("x"), F.col("p_partkey").cast("string"))
+    return t("part").select("p_partkey", F.element_at(F.split(name, "_"), -2).alias("picked"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def sha256(t):
+    return t("documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT n_nationkey, regexp_matches(v, '^(0|[1-9]\\d*)\\.(0|[1-9]\\d*)\\.(0|[1-9]\\d*)$') AS ok FROM (SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN '1.' || n_nationkey || '.0' ELSE '01.' || n_nationkey END AS v FROM nation)".replace("\\\\", "\\"))
+def semver_validate(t):
+    number = F.col("n_nationkey").cast("string")
+    version = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("1."), number, F.lit(".0"))).otherwise(F.concat(F.lit("01."), number))
+    return t("nation").select("n_nationkey", scalars.is_semver(version).alias("ok"))
+
+
+@query("SELECT p_partkey, try_cast(replace(p_brand, 'Brand#1', '') AS BIGINT) AS number FROM part")
+def try_cast_numeric(t):
+    return t("part").select("p_partkey", F.replace("p_brand", F.lit("Brand#1"), F.lit("")).try_cast("bigint").alias("number"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'r/' || p_name ELSE p_name END AS path FROM part")
+def resampled_path_choice(t):
+    rows = t("part").select("p_partkey", "p_name", F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("r/"), "p_name")).otherwise("  ").alias("r16"))
+    return rows.select("p_partkey", scalars.chosen_path("p_name", "r16").alias("path"))
+
+
+@query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
+def apply_fn(t):
+    def twice(batches):
+        for b in batches:
+            yield b.assign(twice=b.c_acctbal * 2)[["c_custkey", "twice"]]
+
+    return t("customer").select("c_custkey", "c_acctbal").mapInPandas(twice, "c_custkey long, twice double")
