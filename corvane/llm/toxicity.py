@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .bytebpe import LETTER, NUMBER, classes
 from .langid import fold
+from .shared import saved
 from .textcols import code_points, range_hashes, sub_batches
 
 #: Terms that name groups; a term is swapped for the next of its line.
@@ -46,7 +47,10 @@ LEAST_Z = 3.5
 STEMS = (4, 5, 6)
 
 THRESHOLD = 0.7
-L2, COUNTERFACTUAL, STEPS = 1e-4, 1.0, 400
+#: A toxic example counts as so many clean ones.
+TOXIC_WEIGHT = 3.0
+
+L2, COUNTERFACTUAL, STEPS = 1e-5, 1.0, 400
 
 
 def features_of(texts: list[str | None], stems: tuple[int, ...] = STEMS) -> tuple[np.ndarray, np.ndarray]:
@@ -85,51 +89,42 @@ def swap_terms(text: str | None) -> str | None:
     return _TERM.sub(lambda m: _SWAPS[m[0]], text.lower()) if text else text
 
 
-def train(texts: list[tuple[np.ndarray, np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted feature hashes, their weights, and the bias, from (words, words swapped, label) of each text.
+def train(rows: dict[tuple[bytes, bytes, int], int], n_features: int) -> tuple[np.ndarray, float]:
+    """Weights and bias, from how often each (features, features swapped, label) occurs; features are int32 numbers as bytes.
 
-    Texts of equal words and label count once. With one label only, the score is that label's share.
+    With one label only, the score is that label's share.
     """
-    unique = {(a.tobytes(), y): (a, b, y) for a, b, y in texts}
-    rows = [unique[k] for k in sorted(unique)]
-    labels = np.array([y for _, _, y in rows], np.float64)
-    if not len(rows) or labels.min() == labels.max():
-        share = (labels.sum() + 0.5) / (len(rows) + 1) if len(rows) else 0.0
-        return np.zeros(0, np.uint64), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    vocabulary, inverse = np.unique(np.concatenate([a for a, _, _ in rows]), return_inverse=True)
-    lengths = [len(a) for a, _, _ in rows]
-    of_row = np.repeat(labels, lengths)
-    toxic = np.bincount(inverse, weights=of_row, minlength=len(vocabulary)) + 0.5
-    clean = np.bincount(inverse, weights=1 - of_row, minlength=len(vocabulary)) + 0.5
-    n1, n0 = labels.sum() + 1, (1 - labels).sum() + 1
-    odds = np.log(toxic / (n1 - toxic)) - np.log(clean / (n0 - clean))
-    z = np.abs(odds) / np.sqrt(1 / toxic + 1 / clean + 1 / (n1 - toxic) + 1 / (n0 - clean))
-    best = np.argsort(-z, kind="stable")[:WORDS]
-    features = np.union1d(vocabulary[best[z[best] >= LEAST_Z]], term_hashes())
+    keys = sorted(rows)
+    times = np.array([rows[k] for k in keys], np.float64)
+    labels = np.array([k[2] for k in keys], np.float64)
+    if not len(keys) or labels.min() == labels.max():
+        share = (labels @ times + 0.5) / (times.sum() + 1) if len(keys) else 0.0
+        return np.zeros(n_features), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
 
     def matrix(which: int) -> np.ndarray:
-        out = np.zeros((len(rows), len(features)), np.float32)
-        for i, r in enumerate(rows):
-            spot = np.minimum(np.searchsorted(features, r[which]), len(features) - 1)
-            out[i, spot[features[spot] == r[which]]] = 1
+        out = np.zeros((len(keys), n_features), np.float32)
+        for i, k in enumerate(keys):
+            out[i, np.frombuffer(k[which], np.int32)] = 1
         return out
 
     x = matrix(0)
-    swapped = np.array([i for i, (a, b, _) in enumerate(rows) if a.tobytes() != b.tobytes()], int)
+    swapped = np.array([i for i, k in enumerate(keys) if k[0] != k[1]], int)
     change = matrix(1)[swapped] - x[swapped]
-    share = np.where(labels > 0, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    w, bias = np.zeros(len(features)), 0.0
-    first, second = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
+    weight = times[swapped] / max(1.0, times[swapped].sum())
+    share = times * np.where(labels > 0, TOXIC_WEIGHT, 1.0)
+    share /= share.sum()
+    w, bias = np.zeros(n_features, np.float32), 0.0
+    first, second = np.zeros(n_features + 1), np.zeros(n_features + 1)
     for step in range(1, STEPS + 1):
         error = share * (1 / (1 + np.exp(-np.clip(x @ w + bias, -50, 50))) - labels)
-        gradient = x.T @ error + L2 * w
+        gradient = x.T @ error.astype(np.float32) + L2 * w
         if len(swapped):
-            gradient += COUNTERFACTUAL * change.T @ (change @ w) / len(swapped)
+            gradient += COUNTERFACTUAL * change.T @ (weight * (change @ w)).astype(np.float32)
         g = np.append(gradient, error.sum())
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         move = 0.1 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    return features, w, float(bias)
+        w, bias = (w - move[:-1]).astype(np.float32), bias - move[-1]
+    return w.astype(np.float64), float(bias)
 
 
 def score_batch(texts: list[str | None], features: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
@@ -162,14 +157,43 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
         for part, texts in sub_batches(batches, text_col):
             words, swapped = distinct(texts), distinct([swap_terms(t) for t in texts])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([w.tobytes() for w in words], pa.binary()), pa.array([None if a.tobytes() == b.tobytes() else b.tobytes() for a, b in zip(words, swapped)], pa.binary()), part.column(1).cast(pa.int32())],
-                ["words", "swapped", "label"],
-            )
-
-    rows = sample.mapInArrow(run, "words binary, swapped binary, label int")
-    read = lambda raw: np.frombuffer(bytes(raw), np.uint64)
-    return train([(read(r.words), read(r.swapped if r.swapped is not None else r.words), r.label) for r in rows.toLocalIterator()])
+            listed = [pa.array([w.view(np.int64) for w in some], pa.list_(pa.int64())) for some in (words, swapped)]
+            yield pa.RecordBatch.from_arrays([*listed, part.column(1).cast(pa.int32())], ["words", "swapped", "label"])
+
+    every = sample.mapInArrow(run, "words array<long>, swapped array<long>, label int")
+    # texts of equal words and label count once
+    rows = saved(every.groupBy(F.xxhash64("words").alias("digest"), "label").agg(F.first("words").alias("words"), F.first("swapped").alias("swapped")), "labelled")
+    features = select_features(rows)
+
+    def narrowed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            columns = []
+            for name in ("words", "swapped"):
+                found = []
+                for words in batch.column(name):
+                    own = words.values.to_numpy().view(np.uint64)
+                    spot = np.minimum(np.searchsorted(features, own), len(features) - 1)
+                    found.append(np.unique(spot[features[spot] == own]).astype(np.int32).tobytes())
+                columns.append(pa.array(found, pa.binary()))
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("label")], ["a", "b", "label"])
+
+    counts = rows.mapInArrow(narrowed, "a binary, b binary, label int").groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    weights, bias = train({(bytes(r.a), bytes(r.b), r.label): r.n for r in counts}, len(features))
+    return features, weights, bias
+
+
+def select_features(rows: DataFrame) -> np.ndarray:
+    """Sorted hashes of at most WORDS words and stems that tell the labels apart, and of the identity terms."""
+    sums = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n1, n0 = float(sums.get(1, 0) + 1), float(sum(n for y, n in sums.items() if y != 1) + 1)
+    counts = rows.select(F.explode("words").alias("word"), "label").groupBy("word").agg(F.sum((F.col("label") == 1).cast("long")).alias("toxic"), F.count(F.lit(1)).alias("n"))
+    toxic, clean = F.col("toxic") + F.lit(0.5), F.col("n") - F.col("toxic") + F.lit(0.5)
+    odds = F.log(toxic / (n1 - toxic)) - F.log(clean / (n0 - clean))
+    error = F.sqrt(1 / toxic + 1 / clean + 1 / (n1 - toxic) + 1 / (n0 - clean))
+    best = counts.select("word", F.abs(odds / error).alias("z")).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(WORDS).collect()
+    return np.union1d(np.array([r.word for r in best], np.int64).view(np.uint64), term_hashes())
 
 
 def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
