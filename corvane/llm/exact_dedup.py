@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import join_by_group, saved
+from .shared import join_by_group, saved, unused
 
 BUCKETS = 16
 
@@ -19,10 +19,14 @@ BUCKETS = 16
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
+def digest_of(text: Column) -> Column:
+    """sha256 of the text with each run of blanks as one space; null counts as empty."""
+    return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " "), 256)
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row_no and text_sha256 of every row; null text counts as empty. row_no tells repeated rows apart."""
-    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), BLANKS, " ")
-    return docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.sha2(plain, 256).alias("text_sha256"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), digest_of(F.col(text_col)).alias("text_sha256"))
 
 
 class DigestIndex:
@@ -99,25 +103,46 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that repeat an earlier text; all columns.
 
-    Only the ids of the rows to drop travel to the documents, broadcast where they
-    are few. Of rows repeated with one id a single one stays where the whole
-    row is the same.
+    Only the ids and digests of the rows to drop travel to the documents, broadcast
+    where they are few. Of rows repeated with one id and text a single one stays,
+    whatever their other columns hold; rows of one id but other texts are told
+    apart; a null id is an id like others, and comes last. Columns may have any names.
     """
     marked = deduplicate(docs, id_col, text_col)
     gone = saved(marked.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "text_sha256", "keep_id"), "gone")
-    out = drop_ids(docs, gone.where(F.col("gone_id").isNotNull() & ~F.col("gone_id").eqNullSafe(F.col("keep_id"))).select("gone_id"), id_col)
-    if not gone.where(F.col("gone_id").isNull() | F.col("gone_id").eqNullSafe(F.col("keep_id"))).isEmpty():
-        out = out.dropDuplicates()
-    return out
+    own = F.col("gone_id").eqNullSafe(F.col("keep_id"))
+    digest = unused(docs, "text_sha256")
+    out = _without(docs.withColumn(digest, digest_of(F.col(text_col))), gone.where(~own).select("gone_id", "text_sha256"), [id_col, digest])
+    repeated = gone.where(own).select("gone_id", "text_sha256").distinct()
+    if not repeated.isEmpty():
+        # only the repeated rows are shuffled; of each group the map side keeps one
+        once = _among(out, repeated, [id_col, digest]).dropDuplicates([id_col, digest])
+        out = _without(out, repeated, [id_col, digest]).unionByName(once)
+    return out.drop(digest)
 
 
 #: So many ids are broadcast at most: 8 bytes each.
 BROADCAST_IDS = 2_000_000
 
 
+def _matched(docs: DataFrame, keys: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """docs joined with keys (a saved table) on columns, null equal to null, by broadcast where the keys are few."""
+    names = [unused(docs, f"gone_{k}") for k in range(len(columns))]
+    keys = keys.toDF(*names).distinct()
+    if keys.count() <= BROADCAST_IDS // len(columns):
+        keys = F.broadcast(keys)
+    same = [docs[c].eqNullSafe(keys[n]) for c, n in zip(columns, names)]
+    return docs.join(keys, same, how)
+
+
+def _without(docs: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    return _matched(docs, keys, columns, "left_anti")
+
+
+def _among(docs: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    return _matched(docs, keys, columns, "left_semi")
+
+
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
-    """docs whose id is not in gone (one column, a saved table)."""
-    ids = gone.toDF("gone_id").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, F.col(id_col) == F.col("gone_id"), "left_anti")
+    """docs whose id is not in gone (one column, a saved table). Rows without an id stay."""
+    return _without(docs, gone.where(F.col(gone.columns[0]).isNotNull()), [id_col])

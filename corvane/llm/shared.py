@@ -46,6 +46,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, lengthened until df has no column called so in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by saved() once nothing lazy reads them any more."""
     for table in tables:
