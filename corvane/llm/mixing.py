@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved
+from .shared import saved, unused
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -53,7 +53,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, epochs, taken.
+    """One row per document: doc_id, source, size, source_size, target, epochs, taken.
 
     Every document is taken as often as its source's target holds the source
     whole; once more if its hash is under the source's threshold, which is put
@@ -103,13 +103,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     under = F.col("prefix") + (F.col("cell") - F.col("left") < F.col("left")).cast("long")
     cuts = state.select("key", "source_size", "target", "epochs", under.alias("cut"))
     times = F.col("epochs") + (F.col("hash") < F.col("cut")).cast("long")
-    return narrow.join(cuts, "key").select("doc_id", "size", "source_size", "target", times.alias("epochs"), (F.col("size") * times).alias("taken"))
+    return narrow.join(cuts, "key").select("doc_id", "source", "size", "source_size", "target", times.alias("epochs"), (F.col("size") * times).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns."""
-    cuts = mix(docs, id_col, text_col, source_col, weights, most).select(F.col("doc_id").alias("mix_id"), "epochs").distinct()
-    times = cuts.groupBy("mix_id").agg(F.max("epochs").alias("mix_epochs"))
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("mix_id")), "inner")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_epochs")))
-    return joined.where(F.col("mix_epochs") > 0).withColumn("mix_copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: every document as often as it is taken, with all its columns, whatever their names."""
+    names = [unused(docs, f"mix_{x}") for x in ("id", "source", "epochs", "copy")]
+    # rows of one id and source share a hash, so they are taken equally often
+    cuts = mix(docs, id_col, text_col, source_col, weights, most).where(F.col("epochs") > 0).select("doc_id", "source", "epochs").distinct().toDF(*names[:3])
+    joined = docs.join(cuts, docs[id_col].eqNullSafe(cuts[names[0]]) & docs[source_col].eqNullSafe(cuts[names[1]]), "inner")
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[2])))
+    return joined.withColumn(names[3], copies).select(*[F.col(f"`{c}`") for c in docs.columns])
