@@ -121,6 +121,17 @@ def test_exact_dedup(spark, empty):
     assert exact_dedup.deduplicate(empty).count() == 0
 
 
+def test_exact_dedup_rows_that_stay(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (2, "b", "x"), (2, "c", "x"), (None, "a", "x"), (None, "d", "x"), (None, "d", "y"), (4, None, "x"), (5, "", "x")]
+    docs = spark.createDataFrame([(*r, 0, 0, 0) for r in rows], "doc_id long, text string, gone_id string, gone_0 int, Text_SHA256 int, keep_id int")
+    out = exact_dedup.keep_first(docs)
+    assert out.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in rows_of(out))
+    assert got == collections.Counter([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, None)])
+    gone = spark.createDataFrame([(1,), (None,)], "doc_id long")
+    assert {r["doc_id"] for r in rows_of(exact_dedup.drop_ids(docs, gone, "doc_id"))} == {2, None, 4, 5}
+
+
 def test_digest_index_across_batches(spark):
     index = exact_dedup.DigestIndex(spark, "digest_index_test")
     exact_dedup.deduplicate(documents(spark, ["a", "b"]), index=index).collect()
@@ -157,6 +168,16 @@ def test_mixing(spark, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def test_mix_itself(spark):
+    rows = [(i % 90 if i % 9 else None, "w " * (i % 7), "abc"[i % 3] if i % 11 else None) for i in range(180)]
+    docs = spark.createDataFrame([(*r, i, 0, "z") for i, r in enumerate(rows)], "doc_id long, text string, source string, MIX_id int, mix_epochs int, mix_copy string")
+    cuts = {(r["doc_id"], r["source"]): r["epochs"] for r in rows_of(mixing.mix(docs))}
+    out = mixing.mixed(docs)
+    got = collections.Counter(r["MIX_id"] for r in rows_of(out))
+    assert out.columns == docs.columns
+    assert {i: got[i] for i in range(180)} == {i: cuts[r[0], r[2]] for i, r in enumerate(rows)}
+
+
 def brute_components(nodes, linked):
     root = {n: n for n in nodes}
 
