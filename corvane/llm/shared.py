@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 import uuid
 
@@ -72,7 +74,7 @@ def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: i
     rows share it at most. Up to BROADCAST_ROWS groups are broadcast. Of more, keys
     holding at least 1/HOT_SHARE of the rows are so few that they are broadcast; the
     others are shuffled, and none of them is large. groups is read several times:
-    pass a saved table. Null keys match nothing.
+    pass a saved table. Null keys match nothing, and are not shuffled.
     """
     if groups.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(groups), keys, how)
@@ -80,5 +82,7 @@ def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: i
     hot = groups.where(F.col("group_rows") >= least)
     rest = groups.where(F.col("group_rows") < least)
     many = rows.join(F.broadcast(hot), keys, "inner")
-    few = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    return many.unionByName(few)
+    known = functools.reduce(operator.and_, (F.col(k).isNotNull() for k in keys))
+    few = rows.where(known).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    out = many.unionByName(few)
+    return out.unionByName(rows.where(~known), allowMissingColumns=True) if how == "left" else out

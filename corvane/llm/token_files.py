@@ -122,7 +122,8 @@ def write_files(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
     """Write all documents, ascending by id; (file, documents, ids) of each file, in order.
 
     Null ids come first; null texts have the end id alone. Rows with equal ids follow
-    each other in any order. An empty table gives no files. What is returned has a
+    each other by hash of their text, and may be spread over several files. An empty
+    table gives no files. What is returned has a
     row per file; files of task attempts that failed are in no manifest and are never read.
     """
     spark = docs.sparkSession
@@ -161,7 +162,8 @@ def write_files(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
             )
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = docs.select(id_col, text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col)
+    order = (id_col, F.xxhash64(text_col))
+    ordered = docs.select(id_col, text_col).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     manifest = ordered.mapInArrow(run, "part long, file string, documents long, ids long").collect()
     return [(r.file, r.documents, r.ids) for r in sorted(manifest, key=lambda r: r.part)]
 

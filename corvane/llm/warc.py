@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import fresh_name, open_store
-from .shared import saved, scratch
+from .shared import join_by_group, saved, scratch
 
 # fixed values: the frame that holds the dictionary, and the revisit profile
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
@@ -30,9 +30,6 @@ LEAST_REVISIT = 1000
 #: The dictionary is trained on at most so many records, of each on so many bytes.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 32 << 10, 64 << 10
 
-#: So many groups of equal payloads are broadcast at most; more are joined by shuffle.
-BROADCAST_GROUPS = 500_000
-
 DATE = "1970-01-01T00:00:00Z"
 
 
@@ -96,9 +93,11 @@ def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str)
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, least: int) -> DataFrame:
-    """digest (sha-256 of the payload) and first (largest id) of payloads that several ids have."""
+    """digest (sha-256 of the payload), first (largest id) and group_rows of payloads that several ids have."""
     some = pages.where(F.col(id_col).isNotNull() & (F.octet_length(html_col) >= least))
-    return some.groupBy(F.sha2(F.col(html_col), 256).alias("digest")).agg(F.max(id_col).alias("first"), F.min(id_col).alias("other")).where("first <> other").select("digest", "first")
+    grouped = some.groupBy(F.sha2(F.col(html_col), 256).alias("digest"))
+    counted = grouped.agg(F.max(id_col).alias("first"), F.min(id_col).alias("other"), F.count(F.lit(1)).alias("group_rows"))
+    return counted.where("first <> other").select("digest", "first", "group_rows")
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT) -> list[str]:
@@ -113,10 +112,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     raw = train_dictionary(pages, id_col, url_col, html_col)
     store, at = open_store(folder)
     store.create_dir(at, recursive=True)
-    small = groups.count() <= BROADCAST_GROUPS
     key = F.when(F.octet_length(html_col) >= least, F.sha2(F.col(html_col), 256))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), key.alias("digest"))
-    rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows = join_by_group(rows, groups, ["digest"], pages.count(), "left").select("page_id", "url", "html", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
