@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .components import components
 from .shared import join_by_group, saved
@@ -85,8 +86,14 @@ class _Forest:
                 label[:] = label[label]
 
 
+def _precision(rows: DataFrame, vec_col: str) -> type:
+    """In what numbers vectors travel: those of the column if it has single precision. All arithmetic is in double."""
+    return np.float32 if isinstance(rows.schema[vec_col].dataType.elementType, FloatType) else np.float64
+
+
 def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """vec_id, digest and vector (float64 bytes) of each row; digest null where it links with nothing."""
+    """vec_id, digest and vector (bytes) of each row; digest null where it links with nothing."""
+    kind = _precision(rows, vec_col)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -96,10 +103,10 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             for v in batch.column(1):
                 values = v.values
                 ok = v.is_valid and len(values) and not values.null_count
-                array = np.asarray(values.to_numpy(zero_copy_only=False), np.float64) + 0.0 if ok else None
+                array = np.asarray(values.to_numpy(zero_copy_only=False), kind) + kind(0) if ok else None
                 if ok:
                     with np.errstate(over="ignore"):
-                        size = (array * array).sum()
+                        size = np.square(array, dtype=np.float64).sum()
                     ok = bool(np.isfinite(size) and size > 0)
                 raw = array.tobytes() if ok else None
                 vectors.append(raw)
@@ -109,11 +116,11 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select(id_col, vec_col).mapInArrow(run, "vec_id long, digest string, vector binary")
 
 
-def _matrix(raw: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1)
+def _matrix(raw: list[bytes], kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
 
 
-def _placed(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
+def _placed(classes: DataFrame, pivots: np.ndarray, kind: type) -> DataFrame:
     """classes with the nearest pivot (cell) and the angle to it."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
@@ -122,7 +129,7 @@ def _placed(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                x = _matrix(batch.column(2).to_pylist())
+                x = _matrix(batch.column(2).to_pylist(), kind)
                 cosine = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ shared.value.T
                 cell = cosine.argmax(axis=1)
                 angle = np.arccos(np.clip(cosine[np.arange(len(x)), cell], -1, 1))
@@ -147,7 +154,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     classes = saved(grouped, "vector-classes")
     found = []
     for (width,) in classes.select("width").distinct().orderBy("width").collect():
-        found.append(_tiles(classes.where(F.col("width") == width).select("rep", "group_rows", "vector"), threshold))
+        found.append(_tiles(classes.where(F.col("width") == width).select("rep", "group_rows", "vector"), threshold, _precision(rows, vec_col)))
     empty = classes.sparkSession.createDataFrame([], "a long, b long, n long")
     linked = empty
     for f in found:
@@ -167,30 +174,46 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     )
 
 
-def _tiles(classes: DataFrame, threshold: float) -> DataFrame:
+def _pairs(cells: dict[int, tuple[int, float]], pivots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Cells (a <= b) that may hold a link between them, from the size and radius of each. There are at most PIVOTS cells."""
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
+    limit = np.arccos(threshold) + 1e-6
+    return [(a, b) for a in sorted(cells) for b in sorted(cells) if a == b or (a < b and between[a, b] - cells[a][1] - cells[b][1] <= limit)]
+
+
+_TILES = ["a", "slot_a", "b", "slot_b"]
+
+
+def _dealt(placed: DataFrame, cells: dict[int, tuple[int, float]], pairs: list[tuple[int, int]]) -> DataFrame:
+    """Every row once for each pair of tiles it is part of. Only pairs of cells are broadcast; pairs of tiles are spelled out row by row."""
+    slots = {c: -(-n // TILE) for c, (n, _) in cells.items()}
+    sides = [(a, a, b, 0, slots[a], slots[b]) for a, b in pairs] + [(b, a, b, 1, slots[b], slots[a]) for a, b in pairs]
+    plan = placed.sparkSession.createDataFrame(sides, "cell int, a int, b int, side int, slots int, others int")
+    own = placed.join(F.broadcast(plan), "cell").withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
+    # within a cell a tile meets itself and the later ones; with itself its rows come once, on side 0
+    same = F.col("a") == F.col("b")
+    low = F.when(same & (F.col("side") == 0), F.col("slot")).otherwise(0)
+    high = F.when(same & (F.col("side") == 1), F.col("slot")).otherwise(F.col("others")) - 1
+    met = own.withColumn("other", F.explode(F.when(low <= high, F.sequence(low, high))))
+    first, second = F.when(F.col("side") == 0, F.col("slot")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("slot"))
+    return met.select("a", first.alias("slot_a"), "b", second.alias("slot_b"), "side", "rep", "group_rows", "vector")
+
+
+def _tiles(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
     """a, b, n: for classes with links, n linked rows of other classes, and b in the same component (perhaps a itself)."""
     spark = classes.sparkSession
     total = classes.count()
     k = int(min(PIVOTS, max(1, -(-total // TILE))))
     chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(k).collect()
-    pivots = _matrix([bytes(r.vector) for r in chosen])
+    pivots = _matrix([bytes(r.vector) for r in chosen], kind)
     pivots = pivots / np.sqrt((pivots * pivots).sum(axis=1))[:, None]
-    placed = saved(_placed(classes, pivots), "vector-cells")
+    placed = saved(_placed(classes, pivots, kind), "vector-cells")
     cells = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
-    tiles = [(c, s) for c, (n, _) in sorted(cells.items()) for s in range(-(-n // TILE))]
-    number = {t: i for i, t in enumerate(tiles)}
-    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1))
-    limit = np.arccos(threshold) + 1e-6
-    pairs = [
-        (number[s], number[t], p)
-        for p, (s, t) in enumerate((s, t) for i, s in enumerate(tiles) for t in tiles[i:])
-        if s[0] == t[0] or between[s[0], t[0]] - cells[s[0]][1] - cells[t[0]][1] <= limit
-    ]
-    plan = spark.createDataFrame([(a, p, 0) for a, _, p in pairs] + [(b, p, 1) for a, b, p in pairs if a != b], "tile int, pair long, side int")
-    firsts = spark.createDataFrame([(c, -(-n // TILE), number[(c, 0)]) for c, (n, _) in cells.items()], "cell int, slots int, first int")
-    own = placed.join(F.broadcast(firsts), "cell").withColumn("tile", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("slots"))).cast("int"))
-    dealt = own.join(F.broadcast(plan), "tile").select("pair", "side", "rep", "group_rows", "vector")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(len(pairs), 2000))
+    pairs = _pairs(cells, pivots, threshold)
+    dealt = _dealt(placed, cells, pairs)
+    slots = {c: -(-n // TILE) for c, (n, _) in cells.items()}
+    tasks = sum(slots[c] * (slots[d] if c != d else slots[c] + 1) // (1 if c != d else 2) for c, d in pairs)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks, 2000))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -198,7 +221,7 @@ def _tiles(classes: DataFrame, threshold: float) -> DataFrame:
         def work(rows: list[tuple]) -> Iterator:
             side = np.array([r[0] for r in rows])
             reps, sizes = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            x = _matrix([r[3] for r in rows])
+            x = _matrix([r[3] for r in rows], kind)
             split = int(np.searchsorted(side, 1))
             alone = split == len(rows)
             counts, forest = np.zeros(len(rows), np.int64), _Forest(len(rows))
@@ -217,7 +240,7 @@ def _tiles(classes: DataFrame, threshold: float) -> DataFrame:
 
         at, rows = None, []
         for batch in batches:
-            for pair, side, rep, size, vector in zip(*(c.to_pylist() for c in batch.columns)):
+            for *pair, side, rep, size, vector in zip(*(c.to_pylist() for c in batch.columns)):
                 if pair != at:
                     if rows:
                         yield from work(rows)
@@ -226,4 +249,4 @@ def _tiles(classes: DataFrame, threshold: float) -> DataFrame:
         if rows:
             yield from work(rows)
 
-    return dealt.repartition(parts, "pair").sortWithinPartitions("pair", "side").mapInArrow(run, "a long, b long, n long")
+    return dealt.repartition(parts, *_TILES).sortWithinPartitions(*_TILES, "side").mapInArrow(run, "a long, b long, n long")
