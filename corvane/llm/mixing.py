@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, unused
+from .shared import join_by_group, saved
 
 #: Weights of the sources in code-point order, repeating; null comes last.
 WEIGHTS = (5, 2, 1)
@@ -35,7 +35,7 @@ def document_hash(doc_id: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """source, source_size -> the same with target: shares of the whole by weight, capped, the excess reshared.
+    """source, source_size and any more -> the same with target: shares of the whole by weight, capped, the excess reshared.
 
     The level of the shares is the largest of the levels that follow when the k
     sources of smallest cap by weight are held at their caps, over all k.
@@ -48,28 +48,30 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     return rows.withColumn("level", level).withColumn("level", F.max("level").over(whole)).select(
-        "source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("level")).alias("target")
+        *sources.columns, F.least(F.col("cap"), F.col("weight") * F.col("level")).alias("target")
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, epochs, taken.
+def source_key(source: Column) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("s"), source), F.lit(""))
 
-    Every document is taken as often as its source's target holds the source
-    whole; once more if its hash is under the source's threshold, which is put
-    where the words taken come nearest the target. Null is a source of its own
-    and comes last; documents with equal ids share a hash; empty documents
-    count no words; a source without words has target 0; an empty table
-    gives an empty one. Only id, text and source are read.
+
+def sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """doc_id, source, size, hash and key of every row, written to the shared folder."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("hash"))
+    return saved(rows, "sizes").withColumn("key", source_key(F.col("source")))
+
+
+def thresholds(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """Per source: key, group_rows (its rows), source_size, target, epochs and cut, from what sizes() gives.
+
+    A document is taken `epochs` times, and once more if its hash is under the cut.
     """
-    narrow = saved(
-        docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("hash")),
-        "sizes",
-    ).withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
-    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("group_rows"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     state = targets(sums, weights, most).withColumn("epochs", F.floor(ratio)).select(
-        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("key"), "source_size", "target", "epochs",
+        source_key(F.col("source")).alias("key"), "group_rows", "source_size", "target", "epochs",
         (F.col("target") - F.col("epochs") * F.col("source_size")).alias("left"), F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("cell"),
     )
     state = saved(state, "mix-state")
@@ -88,29 +90,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         )
         state = saved(
             state.join(found, "key").select(
-                "key", "source_size", "target", "epochs", (F.col("left") - F.col("spent")).alias("left"),
+                "key", "group_rows", "source_size", "target", "epochs", (F.col("left") - F.col("spent")).alias("left"),
                 F.coalesce("at.bucket", F.col("last") + 1).alias("prefix"), F.coalesce("at.words", F.lit(0)).alias("cell"),
             ),
             "mix-state",
         ) if level == 0 else saved(
             state.join(found, "key", "left").select(
-                "key", "source_size", "target", "epochs", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"),
+                "key", "group_rows", "source_size", "target", "epochs", (F.col("left") - F.coalesce("spent", F.lit(0))).alias("left"),
                 F.coalesce("at.bucket", F.shiftleft(F.col("prefix"), BITS)).alias("prefix"), F.coalesce("at.words", F.lit(0)).alias("cell"),
             ),
             "mix-state",
         )
     # the last cell is taken whole where that comes nearer the target
     under = F.col("prefix") + (F.col("cell") - F.col("left") < F.col("left")).cast("long")
-    cuts = state.select("key", "source_size", "target", "epochs", under.alias("cut"))
-    times = F.col("epochs") + (F.col("hash") < F.col("cut")).cast("long")
-    return narrow.join(cuts, "key").select("doc_id", "source", "size", "source_size", "target", times.alias("epochs"), (F.col("size") * times).alias("taken"))
+    return state.select("key", "group_rows", "source_size", "target", "epochs", under.alias("cut"))
+
+
+def times() -> Column:
+    """How often a row with hash, epochs and cut is taken."""
+    return F.col("epochs") + (F.col("hash") < F.col("cut")).cast("long")
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, epochs, taken.
+
+    Every document is taken as often as its source's target holds the source
+    whole; once more if its hash is under the source's threshold, which is put
+    where the words taken come nearest the target. Null is a source of its own
+    and comes last; documents with equal ids share a hash; empty documents
+    count no words; a source without words has target 0; an empty table
+    gives an empty one. Only id, text and source are read.
+    """
+    narrow = sizes(docs, id_col, text_col, source_col)
+    rows = join_by_group(narrow, thresholds(narrow, weights, most), ["key"], narrow.count())
+    return rows.select("doc_id", "source", "size", "source_size", "target", times().alias("epochs"), (F.col("size") * times()).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns, whatever their names."""
-    names = [unused(docs, f"mix_{x}") for x in ("id", "source", "epochs", "copy")]
-    # rows of one id and source share a hash, so they are taken equally often
-    cuts = mix(docs, id_col, text_col, source_col, weights, most).where(F.col("epochs") > 0).select("doc_id", "source", "epochs").distinct().toDF(*names[:3])
-    joined = docs.join(cuts, docs[id_col].eqNullSafe(cuts[names[0]]) & docs[source_col].eqNullSafe(cuts[names[1]]), "inner")
-    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col(names[2])))
-    return joined.withColumn(names[3], copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mix itself: every document as often as it is taken, with all its columns, whatever their names.
+
+    The documents are filtered by their own hash against the few thresholds of their
+    sources; their texts are not shuffled.
+    """
+    narrow = sizes(docs, id_col, text_col, source_col)
+    cuts = thresholds(narrow, weights, most)
+    own = [f"own_{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, own))
+    rows = docs.toDF(*own).withColumns({"key": source_key(F.col(at[source_col])), "hash": document_hash(F.col(at[id_col]))})
+    joined = join_by_group(rows, cuts, ["key"], narrow.count())
+    copies = F.explode(F.array_repeat(F.lit(True), times().cast("int")))
+    return joined.select(*own, copies.alias("copy")).select(*own).toDF(*docs.columns)
