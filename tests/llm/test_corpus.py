@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corvane.llm import bytebpe, components, embed_dedup, exact_dedup, langid, minmax, mixing, pieces, token_counts, token_files, toxicity, warc
+from corvane.llm import bytebpe, components, embed_dedup, exact_dedup, langid, minmax, mixing, pieces, shared, token_counts, token_files, toxicity, warc
 from corvane.llm.queries import BYTE_BPE, PIECE_BPE, tokenizer_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -74,6 +74,14 @@ def test_token_files(spark, empty):
     assert token_files.round_trip(empty, path).count() == 0
 
 
+def test_token_files_of_one_id(spark):
+    path = tokenizer_path(BYTE_BPE)
+    docs = documents(spark, [f"text {i} " * (i % 5) for i in range(60)], [7] * 40 + [None] * 20)
+    one, two = (sorted(rows_of(token_files.round_trip(docs, path)), key=lambda r: r["start"]) for _ in range(2))
+    assert one == two and [r["doc_id"] for r in one] == [None] * 20 + [7] * 40
+    assert [r["start"] for r in one] == [sum(r["n_tokens"] for r in one[:i]) for i in range(60)]
+
+
 def test_pieces_without_dropout_are_the_librarys():
     import sentencepiece
 
@@ -251,6 +259,41 @@ def test_embedding_near_dedup(spark):
     assert embed_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("pivots", [2, 256])
+def test_embeddings_in_many_tiles(spark, monkeypatch, pivots):
+    monkeypatch.setattr(embed_dedup, "TILE", 16)
+    monkeypatch.setattr(embed_dedup, "PIVOTS", pivots)
+    test_embedding_near_dedup(spark)
+
+
+def test_tiles_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "TILE", 4)
+    sizes = {0: 11, 1: 3, 2: 8}
+    placed = spark.createDataFrame([(100 * c + i, c, 1, bytearray(b"v")) for c, n in sizes.items() for i in range(n)], "rep long, cell int, group_rows long, vector binary")
+    pairs = [(0, 0), (1, 1), (2, 2), (0, 2)]
+    tiles = collections.defaultdict(lambda: ([], []))
+    for r in embed_dedup._dealt(placed, {c: (n, 0.0) for c, n in sizes.items()}, pairs).collect():
+        tiles[r.a, r.slot_a, r.b, r.slot_b][r.side].append(r.rep)
+    met = collections.Counter()
+    for (a, i, b, j), (x, y) in tiles.items():
+        alone = (a, i) == (b, j)
+        assert not (alone and y)
+        met.update(frozenset(p) for p in (((u, v) for u in x for v in x if u < v) if alone else ((u, v) for u in x for v in y)))
+    every = [r.rep for r in placed.collect()]
+    assert met == {frozenset((u, v)): 1 for u in every for v in every if u < v and (u // 100, v // 100) in pairs}
+
+
+def test_single_precision_embeddings(spark):
+    rng = np.random.default_rng(8)
+    m = (rng.normal(size=(20, 8))[np.arange(60) % 20] + rng.normal(size=(60, 8)) * 0.15).astype(np.float32)
+    m[5] = m[45] = [0.0, -0.0, 1, 2, 3, 4, 5, 6]
+    data = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(90, [1e-30] * 8), (91, [3e38] * 8), (92, [float("inf")] + [1.0] * 7), (93, [0.0, -0.0] * 4)]
+    out = {r["vec_id"]: r["n_links"] for r in rows_of(embed_dedup.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>")))}
+    wide = np.concatenate([m.astype(np.float64), np.ones((2, 8))])
+    cosine = (wide @ wide.T) / np.sqrt((wide * wide).sum(1)[:, None] * (wide * wide).sum(1)[None])
+    assert [out[i] for i in [*range(60), 90, 91]] == ((cosine >= 0.95).sum(1) - 1).tolist() and out[92] == out[93] == 0
+
+
 def test_language_id(spark, empty):
     random.seed(6)
     alphabets = {"aa": "abcde", "bb": "vwxyz"}
@@ -333,3 +376,25 @@ def test_pipeline_stages(spark, tmp_path):
     ids = {r["doc_id"] for r in out}
     assert all(r["restored"] for r in out) and not ids & {401, 402} and 400 in ids
     assert len([i for i in ids if i < 400 and toxic[i]]) <= 5 and len(corpus_pipeline.STAGES) == 5
+
+
+def test_beyond_broadcast(spark, empty, monkeypatch):
+    """The ways taken where a side is too large to broadcast give the same results."""
+    for module, name in ((shared, "BROADCAST_ROWS"), (minmax, "BROADCAST_ROWS"), (minmax, "BROADCAST_IDS"), (exact_dedup, "BROADCAST_IDS")):
+        monkeypatch.setattr(module, name, 0)
+    for check in (test_exact_dedup, test_mixing, test_min_max_near_dedup):
+        check(spark, empty)
+    for check in (test_exact_dedup_rows_that_stay, test_mix_itself, test_min_max_null_ids, test_embedding_near_dedup, test_warc):
+        check(spark)
+
+
+def test_join_by_group(spark, monkeypatch):
+    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    keys = ["hot"] * 60 + [None] * 40 + ["few", "few", "lost"]
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, key string")
+    groups = shared.saved(spark.createDataFrame([("hot", 60, "h"), ("few", 2, "f"), ("new", 1, "n")], "key string, group_rows long, value string"), "groups")
+    monkeypatch.setattr(shared, "HOT_SHARE", 4)
+    value = {"hot": "h", "few": "f"}
+    for how in ("left", "inner"):
+        got = sorted((r.i, r.key, r.value) for r in shared.join_by_group(rows, groups, ["key"], len(keys), how).collect())
+        assert got == [(i, k, value.get(k)) for i, k in enumerate(keys) if how == "left" or k in value]
