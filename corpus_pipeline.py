@@ -33,13 +33,13 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.mixed(docs)
+    """Every document as often as the mix takes it; its copies are numbered."""
+    return mixing.mixed(docs, copy_col="mix_copy")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece counts and checksums of every document, encoded and decoded again."""
-    return pieces.encode_documents(docs, tokenizer_path(PIECE_BPE))
+    return pieces.encode_documents(docs, tokenizer_path(PIECE_BPE), copy_col="mix_copy")
 
 
 STAGES = [

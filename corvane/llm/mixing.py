@@ -126,9 +126,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select("doc_id", "source", "size", "source_size", "target", times().alias("epochs"), (F.col("size") * times()).alias("taken"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS, copy_col: str | None = None) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns, whatever their names.
 
+    If asked for, copy_col numbers the copies of a document from 0.
+
     The documents are filtered by their own hash against the few thresholds of their
     sources; their texts are not shuffled.
     """
@@ -138,5 +140,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     at = dict(zip(docs.columns, own))
     rows = docs.toDF(*own).withColumns({"key": source_key(F.col(at[source_col])), "hash": document_hash(F.col(at[id_col]))})
     joined = join_by_group(rows, cuts, ["key"], narrow.count())
-    copies = F.explode(F.array_repeat(F.lit(True), times().cast("int")))
-    return joined.select(*own, copies.alias("copy")).select(*own).toDF(*docs.columns)
+    copies = F.posexplode(F.array_repeat(F.lit(True), times().cast("int")))
+    out = joined.select(*own, copies.alias("copy", "taken"))
+    return out.select(*own, "copy").toDF(*docs.columns, copy_col) if copy_col else out.select(*own).toDF(*docs.columns)

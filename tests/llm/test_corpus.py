@@ -115,6 +115,51 @@ def test_pieces_with_dropout(spark, empty):
     assert pieces.encode_documents(empty, path).count() == 0
 
 
+def test_pieces_draw_for_every_occurrence(spark):
+    path = tokenizer_path(PIECE_BPE)
+    model, limit = pieces.load(path), round(pieces.DROPOUT * 2**32)
+    # a word of one merge, over many documents and many times in one: dropped at the rate, not by quarters
+    name = next(n for n in ("▁" + c for c in "abcdefgh") if n in model.id_of)
+    whole = [model.id_of[name]]
+    ids, counts = pieces.encode_batch([name[1:]] * 4000, np.arange(4000), path)
+    ends = np.cumsum(counts)
+    share = np.mean([ids[a:b].tolist() != whole for a, b in zip(ends - counts, ends)])
+    assert 0.08 < share < 0.12
+    ids, counts = pieces.encode_batch([" ".join([name[1:]] * 4000)], np.array([1]), path)
+    assert 0.08 < (counts[0] - 4000) / 4000 < 0.12
+    # a longer word is cut in more than VARIANTS ways
+    ids, counts = pieces.encode_batch(["international"] * 4000, np.arange(4000), path)
+    ends = np.cumsum(counts)
+    assert len({tuple(ids[a:b].tolist()) for a, b in zip(ends - counts, ends)}) > 2 * pieces.VARIANTS
+    # every occurrence is cut as the agenda cuts it alone, whatever the table holds by then
+    random.seed(9)
+    words = ["".join(random.choices("aeioünrst日😀", k=random.randint(1, 40))) for _ in range(200)] + ["the", "information"] * 50
+    texts = [" ".join(random.choices(words, k=200)) for _ in range(10)]
+    want = []
+    for d, text in enumerate(texts):
+        at = 0
+        for word in text.split(" "):
+            points = np.array([32, *map(ord, word)], np.uint32)
+            key = pieces.word_keys(pieces.range_hashes(points, np.array([0]), np.array([len(points)])), np.array([d]), np.array([at]), pieces.SEED)[0]
+            want += pieces.agenda(points, key, model, limit)
+            at += len(points)
+    for _ in range(2):
+        assert pieces.encode_batch(texts, np.arange(10), path)[0].tolist() == want
+    # the copies of a document, and rows without an id, differ too
+    rows = spark.createDataFrame([(i, "international information " * 20, c) for i in (1, None) for c in range(3)], "doc_id long, text string, copy int")
+    out = rows_of(pieces.encode_documents(rows, path, copy_col="copy"))
+    assert len({r["ids_crc32"] for r in out}) == 6 and all(r["restored"] for r in out)
+
+
+def test_mixed_numbers_copies(spark):
+    docs = documents(spark, [f"text {i} " * 5 for i in range(60)], None, None, ["a"] * 50 + ["b"] * 10)
+    out = rows_of(mixing.mixed(docs, copy_col="mix_copy"))
+    by = collections.defaultdict(list)
+    for r in out:
+        by[r["doc_id"]].append(r["mix_copy"])
+    assert max(map(len, by.values())) > 1 and all(sorted(v) == list(range(len(v))) for v in by.values())
+
+
 def test_exact_dedup(spark, empty):
     texts = ["a  b", "a b", "a\t\nb", " a b", None, "", "a b", "c"]
     ids = [7, 3, 5, 1, 9, 8, 3, None]
