@@ -245,6 +245,21 @@ def top_and_other(df: DataFrame, name: str, k: int, other: str = "other") -> Dat
     return counts.join(F.broadcast(top), F.col(name) == F.col("_top"), "left").groupBy(label.alias(name)).agg(F.sum("n").alias("n"))
 
 
+def prefix_unique(rows: DataFrame, key: str, name: str, others: DataFrame, other_key: str, other_name: str, sep: str = "-", parts: int = 5) -> DataFrame:
+    """key, parts, hit of every row: the shortest prefix of 1 to `parts` parts that one other name starts with, and the key of that other.
+
+    Both are null where no prefix is unique. Distinct prefixes meet the other names once.
+    """
+    split = F.split(F.col(name), f"\\Q{sep}\\E")
+    longest = F.least(F.size(split), F.lit(parts))
+    paths = F.transform(F.sequence(F.lit(1), longest), lambda k: F.struct(k.alias("parts"), F.array_join(F.slice(split, 1, k), sep).alias("prefix")))
+    tried = rows.where(F.col(name).isNotNull()).select(F.col(key).alias("_key"), F.inline(paths))
+    side = others.select(F.col(other_key).alias("_hit"), F.col(other_name).alias("_name"))
+    alone = tried.select("prefix").distinct().join(F.broadcast(side), F.startswith("_name", "prefix")).groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("_hit").alias("hit")).where("n = 1")
+    found = tried.join(alone, "prefix").groupBy("_key").agg(F.min("parts").alias("parts"), F.min_by("hit", "parts").alias("hit"))
+    return rows.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, "parts", "hit")
+
+
 def resolve_pointers(spark: SparkSession, table: DataFrame, depth: int = 32) -> DataFrame:
     """id, parent, accepted, rank, status -> id, resolved: follow parents up to a species, then accepted ids.
 

@@ -243,6 +243,15 @@ def prefix_unique_match(t):
     return counts.where("n = 1").groupBy("n_nationkey").agg(F.min("k").alias("length"), F.min_by("hit", "k").alias("hit"))
 
 
+@query("""WITH s AS (SELECT n_nationkey, string_split(n_name, '_') AS parts FROM nation),
+    p AS (SELECT n_nationkey, k, array_to_string(parts[1:k], '_') AS prefix FROM s, range(1, 6) r(k) WHERE k <= len(parts)),
+    c AS (SELECT p.n_nationkey, k, count(*) AS n, min(o.n_nationkey) AS hit FROM p JOIN nation o ON starts_with(o.n_name, prefix) GROUP BY ALL),
+    u AS (SELECT n_nationkey, min(k)::INT AS parts, min_by(hit, k) AS hit FROM c WHERE n = 1 GROUP BY n_nationkey)
+    SELECT n.n_nationkey, parts, hit FROM nation n LEFT JOIN u ON n.n_nationkey = u.n_nationkey""")
+def prefix_unique_match_parts(t):
+    return table.prefix_unique(t("nation"), "n_nationkey", "n_name", t("nation").select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("name")), "other", "name", "_")
+
+
 @query("""WITH RECURSIVE p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey WHEN c_custkey % 7 = 0 THEN 10000000 ELSE c_custkey - 1 END AS parent,
         CASE WHEN c_custkey % 5 = 0 THEN 'species' ELSE 'subspecies' END AS rank FROM customer),
     r AS (SELECT id, id AS at, 0 AS depth FROM p UNION ALL SELECT r.id, p.parent, depth + 1 FROM r JOIN p ON r.at = p.id WHERE rank <> 'species' AND depth < 16)

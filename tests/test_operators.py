@@ -1,4 +1,5 @@
 import warnings
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scalars, waveform
 from corvane.operators import intervals, labels, sampling, table
-from corvane.plans import config
+from corvane.plans import catalogue, config
 from corvane.sources import readers
 from corvane.streaming import stream
 
@@ -152,6 +153,22 @@ def test_audio_files(spark, tmp_path):
     assert info == {"a.wav": 80, "b.wav": None}
 
 
+def test_prefix_unique(spark):
+    names = spark.createDataFrame([(1, "XC12-a-b"), (2, "XC12-c"), (3, "XC1-x"), (4, None), (5, "absent-y"), (6, "XC1.-x")], "k int, name string")
+    files = spark.createDataFrame([(10, "XC12-a-z.wav"), (11, "XC12-c-1.wav"), (12, "XC12-c-2.wav"), (13, "XC1-w.wav")], "f int, file string")
+    got = {r["k"]: (r["parts"], r["hit"]) for r in table.prefix_unique(names, "k", "name", files, "f", "file").collect()}
+    # XC12 starts three files, XC12-a one; XC12-c two; XC1 all four
+    assert got == {1: (2, 10), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None)}
+
+
+def test_matching_queries_have_both_outcomes(spark):
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the test tables")
+    hits = [r["hit"] for r in catalogue.QUERIES["prefix_unique_match_parts"](spark, data).collect()]
+    assert len(hits) == 25 and 0 < hits.count(None) < 25
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "x\ny", None), (2, 'q"z', "NA")], "a int, b string, c string")
     readers.to_csv(df, str(tmp_path / "m.csv"))
