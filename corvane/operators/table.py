@@ -260,6 +260,19 @@ def prefix_unique(rows: DataFrame, key: str, name: str, others: DataFrame, other
     return rows.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, "parts", "hit")
 
 
+def contains_first(rows: DataFrame, key: str, text: str, others: DataFrame, other_key: str, other_text: str, sep: str = ",") -> DataFrame:
+    """key, hits of every row: for each word of the text in order, the first other row (by key) whose text contains the whole word.
+
+    Words that no row contains and the word None are passed over; hits is null where there are none.
+    Distinct words meet the other texts once.
+    """
+    words = rows.select(F.col(key).alias("_key"), F.posexplode(F.split(F.col(text), f"\\Q{sep}\\E")).alias("pos", "word")).where("word <> 'None'")
+    side = others.select(F.col(other_key).alias("_other"), F.col(other_text).alias("_text"))
+    first = words.select("word").distinct().join(F.broadcast(side), F.contains("_text", "word")).groupBy("word").agg(F.min("_other").alias("hit"))
+    found = words.join(first, "word").groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("pos", "hit"))).alias("_pairs"))
+    return rows.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, F.transform("_pairs", lambda p: p["hit"]).alias("hits"))
+
+
 def resolve_pointers(spark: SparkSession, table: DataFrame, depth: int = 32) -> DataFrame:
     """id, parent, accepted, rank, status -> id, resolved: follow parents up to a species, then accepted ids.
 

@@ -252,6 +252,14 @@ def prefix_unique_match_parts(t):
     return table.prefix_unique(t("nation"), "n_nationkey", "n_name", t("nation").select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("name")), "other", "name", "_")
 
 
+@query("""WITH w AS (SELECT p_partkey, unnest(string_split(p_brand, '#')) AS word, generate_subscripts(string_split(p_brand, '#'), 1) AS pos FROM part),
+    f AS (SELECT word, min(s_suppkey) AS hit FROM (SELECT DISTINCT word FROM w) JOIN supplier ON contains(s_name, word) GROUP BY word),
+    m AS (SELECT p_partkey, list(hit ORDER BY pos) AS hits FROM w JOIN f USING (word) GROUP BY p_partkey)
+    SELECT p.p_partkey, hits FROM part p LEFT JOIN m ON p.p_partkey = m.p_partkey""")
+def contains_first_match_words(t):
+    return table.contains_first(t("part"), "p_partkey", "p_brand", t("supplier"), "s_suppkey", "s_name", "#")
+
+
 @query("""WITH RECURSIVE p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN c_custkey WHEN c_custkey % 7 = 0 THEN 10000000 ELSE c_custkey - 1 END AS parent,
         CASE WHEN c_custkey % 5 = 0 THEN 'species' ELSE 'subspecies' END AS rank FROM customer),
     r AS (SELECT id, id AS at, 0 AS depth FROM p UNION ALL SELECT r.id, p.parent, depth + 1 FROM r JOIN p ON r.at = p.id WHERE rank <> 'species' AND depth < 16)

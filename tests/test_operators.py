@@ -161,12 +161,21 @@ def test_prefix_unique(spark):
     assert got == {1: (2, 10), 2: (None, None), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None)}
 
 
+def test_contains_first(spark):
+    answers = spark.createDataFrame([(1, "Blue Jay,Jay"), (2, "Crow,Nuthatch"), (3, "None"), (4, "Nothing"), (5, None)], "k int, answer string")
+    birds = spark.createDataFrame([(10, "Steller's Jay"), (11, "Blue Jay"), (12, "Nuthatch"), (13, "Blue Jay")], "b int, common string")
+    got = {r["k"]: r["hits"] for r in table.contains_first(answers, "k", "answer", birds, "b", "common").collect()}
+    assert got == {1: [11, 10], 2: [12], 3: None, 4: None, 5: None}
+
+
 def test_matching_queries_have_both_outcomes(spark):
     data = "/root/testdata/sf0.001"
     if not Path(data).exists():
         pytest.skip("needs the test tables")
     hits = [r["hit"] for r in catalogue.QUERIES["prefix_unique_match_parts"](spark, data).collect()]
     assert len(hits) == 25 and 0 < hits.count(None) < 25
+    found = [r["hits"] for r in catalogue.QUERIES["contains_first_match_words"](spark, data).collect()]
+    assert 0 < found.count(None) < len(found) == spark.read.parquet(f"{data}/part.parquet").count()
 
 
 def test_sources_round_trip(spark, tmp_path):
