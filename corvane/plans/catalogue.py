@@ -100,6 +100,12 @@ def map_column_large(t):
     return table.map_column(rows, "l_partkey", {i: f"p{i}" for i in range(1, 1001)}, "part_name").drop("l_partkey")
 
 
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey BETWEEN 1 AND 1000 THEN 'p' || l_partkey END AS part_name FROM lineitem")
+def map_column_whole(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return table.map_column(rows, "l_partkey", {i: f"p{i}" for i in range(1, 1001)}, "part_name").drop("l_partkey")
+
+
 @query("SELECT c_name AS caller, c_acctbal AS balance FROM customer")
 def output_take_and_give(t):
     return table.take_and_give(t("customer"), {"c_name": "caller", "c_acctbal": "balance"})

@@ -178,6 +178,13 @@ def test_matching_queries_have_both_outcomes(spark):
     assert 0 < found.count(None) < len(found) == spark.read.parquet(f"{data}/part.parquet").count()
 
 
+def test_map_column_whole_keeps_every_row(spark):
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the test tables")
+    assert catalogue.QUERIES["map_column_whole"](spark, data).count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
+
+
 def test_sources_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(1, "x\ny", None), (2, 'q"z', "NA")], "a int, b string, c string")
     readers.to_csv(df, str(tmp_path / "m.csv"))
