@@ -273,19 +273,44 @@ def contains_first(rows: DataFrame, key: str, text: str, others: DataFrame, othe
     return rows.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, F.transform("_pairs", lambda p: p["hit"]).alias("hits"))
 
 
-def resolve_pointers(spark: SparkSession, table: DataFrame, depth: int = 32) -> DataFrame:
+def resolve_pointers(spark: SparkSession, table: DataFrame, depth: int | None = None) -> DataFrame:
     """id, parent, accepted, rank, status -> id, resolved: follow parents up to a species, then accepted ids.
 
-    Iterated joins with a bounded depth; cycles and dangling ids end unresolved (null).
+    Chains of any length are followed: each step doubles the way, so the bits of the
+    number of rows bound the steps, and what is open then goes in a circle. Cycles and
+    dangling ids end unresolved (null). A depth closes chains that are longer.
     """
-    dim = table.select(F.col("id").alias("_id"), F.col("parent").alias("_parent"), F.col("accepted").alias("_accepted"), F.col("rank").alias("_rank"), F.col("status").alias("_status"))
-    state = table.select("id", F.col("id").alias("at"), F.lit(False).alias("done"))
-    good = F.col("_status").isin("accepted", "doubtful")
-    for _ in range(depth):
-        joined = state.join(dim, F.col("at") == F.col("_id"), "left")
-        here = F.when(F.col("_rank") != "species", F.col("_parent")).when(~good, F.col("_accepted")).otherwise(F.col("at"))
-        finished = F.col("done") | ((F.col("_rank") == "species") & good)
-        state = joined.select("id", F.when(finished, F.col("at")).otherwise(here).alias("at"), F.coalesce(finished, F.lit(False)).alias("done"))
+    species = F.col("rank").eqNullSafe("species")
+    done = species & F.coalesce(F.col("status").isin("accepted", "doubtful"), F.lit(False))
+    ahead = F.when(done, F.col("id")).when(species, F.col("accepted")).otherwise(F.col("parent"))
+    if depth is not None:
+        dim = table.select(F.col("id").alias("_id"), ahead.alias("_next"), done.alias("_done"))
+        state = table.select("id", F.col("id").alias("at"), F.lit(False).alias("done"))
+        for _ in range(depth):
+            joined = state.join(dim, F.col("at") == F.col("_id"), "left")
+            state = joined.select("id", F.col("_next").alias("at"), F.coalesce("_done", F.lit(False)).alias("done"))
+        return state.select("id", F.when(F.col("done"), F.col("at")).alias("resolved"))
+    state = table.select("id", ahead.alias("at"), done.alias("done")).localCheckpoint()
+    for _ in range(state.count().bit_length()):
+        if state.where("not done and at is not null").isEmpty():
+            break
+        other = state.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("done").alias("_done"))
+        joined = state.join(other, F.col("at") == F.col("_id"), "left")
+        state = joined.select("id", F.col("_at").alias("at"), F.coalesce("_done", F.lit(False)).alias("done")).localCheckpoint()
     return state.select("id", F.when(F.col("done"), F.col("at")).alias("resolved"))
 
 
+def resolve_names(names: DataFrame, name: str, table: DataFrame) -> DataFrame:
+    """name, resolved of every row: the id that the name leads to; table also has a column name.
+
+    Of rows with the same name the accepted one stands for all (the lowest id if there
+    are several or none), at the start and wherever a pointer leads to the name.
+    """
+    order = F.struct((~F.col("status").eqNullSafe("accepted")).alias("late"), "id")
+    first = table.where("name is not null").groupBy("name").agg(F.min_by(F.struct("id", "parent", "accepted", "rank", "status"), order).alias("r")).select("name", "r.*")
+    stands = table.select(F.col("id").alias("_from"), "name").join(first.select("name", F.col("id").alias("_to")), "name").select("_from", "_to")
+    for pointer in ("parent", "accepted"):
+        first = first.join(stands, F.col(pointer) == F.col("_from"), "left").withColumn(pointer, F.col("_to")).drop("_from", "_to")
+    found = resolve_pointers(table.sparkSession, first.select("id", "parent", "accepted", "rank", "status"))
+    by_name = first.select(F.col("name").alias("_name"), "id").join(found, "id").select("_name", "resolved")
+    return names.select(name).join(by_name, F.col(name) == F.col("_name"), "left").select(name, "resolved")

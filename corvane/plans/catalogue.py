@@ -276,7 +276,7 @@ def recursive_resolve(t):
         key.alias("id"), F.when(key % 5 == 0, key).when(key % 7 == 0, F.lit(10000000)).otherwise(key - 1).alias("parent"), F.lit(None).cast("long").alias("accepted"),
         F.when(key % 5 == 0, "species").otherwise("subspecies").alias("rank"), F.lit("accepted").alias("status"),
     )
-    return table.resolve_pointers(rows.sparkSession, rows, depth=8)
+    return table.resolve_pointers(rows.sparkSession, rows)
 
 
 # nested tables and intervals

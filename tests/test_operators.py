@@ -153,6 +153,22 @@ def test_audio_files(spark, tmp_path):
     assert info == {"a.wav": 80, "b.wav": None}
 
 
+def test_pointers_of_long_chains_and_names(spark):
+    pointers = "id long, parent long, accepted long, rank string, status string"
+    chain = [(i, i - 1, None, "species" if i == 0 else "form", "accepted") for i in range(100)] + [(200, 201, None, "form", "accepted"), (201, 200, None, "form", "accepted")]
+    got = {r["id"]: r["resolved"] for r in table.resolve_pointers(spark, spark.createDataFrame(chain, pointers)).collect()}
+    assert got == {i: 0 for i in range(100)} | {200: None, 201: None}
+    rows_ = [
+        (100, None, None, "species", "accepted", "a"), (101, None, 100, "species", "synonym", "a old"), (201, 300, None, "subspecies", "accepted", "b sub"),
+        (299, None, 101, "species", "synonym", "b"), (300, None, None, "species", "accepted", "b"), (301, None, 100, "species", "synonym", "b"),
+        (302, 299, None, "subspecies", "accepted", "c"), (400, 400, None, "subspecies", "accepted", "d"), (500, 999, None, "subspecies", "accepted", "e"),
+    ]
+    named = spark.createDataFrame(rows_, pointers + ", name string")
+    asked = spark.createDataFrame([(n,) for n in ("a", "a old", "b sub", "b", "c", "d", "e", "absent", None)], "name string")
+    got = {r["name"]: r["resolved"] for r in table.resolve_names(asked, "name", named).collect()}
+    assert got == {"a": 100, "a old": 100, "b sub": 300, "b": 300, "c": 300, "d": None, "e": None, "absent": None, None: None}
+
+
 def test_prefix_unique(spark):
     names = spark.createDataFrame([(1, "XC12-a-b"), (2, "XC12-c"), (3, "XC1-x"), (4, None), (5, "absent-y"), (6, "XC1.-x")], "k int, name string")
     files = spark.createDataFrame([(10, "XC12-a-z.wav"), (11, "XC12-c-1.wav"), (12, "XC12-c-2.wav"), (13, "XC1-w.wav")], "f int, file string")
