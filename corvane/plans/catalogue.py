@@ -213,6 +213,11 @@ def full_outer_merge(t):
     return t("documents").where("doc_id % 2 = 0").join(t("labels"), "doc_id", "outer").select("doc_id", "lang", "quality")
 
 
+@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
+def full_outer_merge_whole(t):
+    return t("documents").join(t("labels"), "doc_id", "outer").select("doc_id", "lang", "quality")
+
+
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def semi_join(t):
     return t("customer").join(t("orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")

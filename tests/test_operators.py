@@ -194,6 +194,13 @@ def test_matching_queries_have_both_outcomes(spark):
     assert 0 < found.count(None) < len(found) == spark.read.parquet(f"{data}/part.parquet").count()
 
 
+def test_full_outer_merge_whole_keeps_both_sides(spark, tmp_path):
+    spark.createDataFrame([(1, "en"), (2, "de"), (3, None)], "doc_id long, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(2, 1), (7, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = catalogue.QUERIES["full_outer_merge_whole"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == {(1, "en", None), (2, "de", 1), (3, None, None), (7, None, 0)} and len(got) == 4
+
+
 def test_map_column_whole_keeps_every_row(spark):
     data = "/root/testdata/sf0.001"
     if not Path(data).exists():
