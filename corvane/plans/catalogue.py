@@ -337,6 +337,20 @@ def selection_table_parse(t):
     return events.select("user_id", F.col("e.begin").alias("begin"), F.col("e.label").alias("label"))
 
 
+@query("SELECT user_id, event_id::DOUBLE AS \"begin\", event_type AS label FROM events")
+def selection_table_parse_whole(t):
+    events = _tables(t).select("user_id", F.explode(intervals.parse_selection_table(F.col("selection_table"))).alias("e"))
+    return events.select("user_id", F.col("e.begin").alias("begin"), F.col("e.label").alias("label"))
+
+
+@query("""SELECT user_id, event_id::DOUBLE AS "begin", event_type AS label FROM events
+    JOIN (SELECT user_id, (min(event_id) + max(event_id)) / 2.0::DOUBLE AS duration FROM events GROUP BY user_id) USING (user_id) WHERE event_id < duration""")
+def selection_table_clip(t):
+    durations = t("events").groupBy("user_id").agg(((F.min("event_id") + F.max("event_id")) / 2.0).alias("duration"))
+    events = _tables(t).join(durations, "user_id").select("user_id", F.explode(intervals.clip_to_duration(intervals.parse_selection_table(F.col("selection_table")), F.col("duration"))).alias("e"))
+    return events.select("user_id", F.col("e.begin").alias("begin"), F.col("e.label").alias("label"))
+
+
 @query("SELECT DISTINCT event_type AS label FROM events")
 def available_labels(t):
     return intervals.available_labels(_tables(t), "selection_table")

@@ -201,6 +201,15 @@ def test_full_outer_merge_whole_keeps_both_sides(spark, tmp_path):
     assert {tuple(r) for r in got} == {(1, "en", None), (2, "de", 1), (3, None, None), (7, None, 0)} and len(got) == 4
 
 
+def test_selection_tables_parse_whole(spark):
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("needs the test tables")
+    n = spark.read.parquet(f"{data}/events.parquet").count()
+    assert catalogue.QUERIES["selection_table_parse_whole"](spark, data).count() == n
+    assert 0 < catalogue.QUERIES["selection_table_clip"](spark, data).count() < n
+
+
 def test_map_column_whole_keeps_every_row(spark):
     data = "/root/testdata/sf0.001"
     if not Path(data).exists():
