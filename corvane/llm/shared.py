@@ -67,6 +67,23 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(conf).delete(target, True)
 
 
+def dictionary_of(samples: list[bytes], most: int) -> bytes:
+    """A zstandard dictionary of an eighth of the sample, `most` bytes at most.
+
+    Empty for fewer than 16 samples, for less than 2 KiB of them (zstandard makes no
+    dictionary under 256 bytes) and where the trainer finds nothing to put into one.
+    """
+    import zstandard
+
+    size = min(most, sum(map(len, samples)) // 8)
+    if len(samples) < 16 or size < 256:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, samples).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
 def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
     """rows join groups (inner or left) on keys, whatever a key's share of the rows.
 

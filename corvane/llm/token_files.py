@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import bytebpe
 from .files import fresh_name, open_store
-from .shared import scratch
+from .shared import dictionary_of, scratch
 from .textcols import WordTable, gather_runs, range_hashes, sub_batches
 
 MAGIC = b"CVTOK\x00\x01\n"
@@ -95,8 +95,6 @@ def _documents(batches: Iterator, path: str, text_col: str) -> Iterator[tuple]:
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
     """A zstandard dictionary from the id arrays of a bounded, hash-chosen sample; empty if it is too small."""
-    import zstandard
-
     chosen = docs.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCUMENTS).distinct()
 
     def run(batches: Iterator) -> Iterator:
@@ -107,9 +105,7 @@ def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) ->
 
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col, "left_semi").limit(SAMPLE_DOCUMENTS)
     samples = sorted(bytes(r[0]) for r in rows.mapInArrow(run, "ids binary").collect())
-    if sum(map(len, samples)) < 8 * DICTIONARY_BYTES or len(samples) < 16:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    return dictionary_of(samples, DICTIONARY_BYTES)
 
 
 def _dictionary(raw: bytes):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import fresh_name, open_store
-from .shared import join_by_group, saved, scratch
+from .shared import dictionary_of, join_by_group, saved, scratch
 
 # fixed values: the frame that holds the dictionary, and the revisit profile
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
@@ -82,14 +82,10 @@ def read_archive(raw_stream) -> Iterator[dict]:
 
 def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> bytes:
     """From the records of a bounded, hash-chosen sample; empty if that is too little."""
-    import zstandard
-
     chosen = pages.select(F.col(id_col).alias("chosen_id")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(SAMPLE_RECORDS).distinct()
     some = pages.select(id_col, url_col, F.substring(html_col, 1, SAMPLE_BYTES).alias("html")).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen_id"), "left_semi")
     samples = sorted(record(r[0], r[1], (r[2] or "").encode())[:SAMPLE_BYTES] for r in some.limit(SAMPLE_RECORDS).collect())
-    if len(samples) < 16 or sum(map(len, samples)) < 8 * DICTIONARY_BYTES:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
+    return dictionary_of(samples, DICTIONARY_BYTES)
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, least: int) -> DataFrame:

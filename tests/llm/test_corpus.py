@@ -384,6 +384,27 @@ def test_swapping_terms():
     assert toxicity.swap_terms("A Muslim man, women's muslims") == "a jewish woman, men's jews"
 
 
+def test_dictionaries_of_short_rows(spark):
+    path = tokenizer_path(BYTE_BPE)
+    random.seed(6)
+    words = ["".join(random.choices("abcdefgh", k=5)) for _ in range(60)]
+    texts = [" ".join(random.choices(words, k=40)) for _ in range(400)]
+    docs = documents(spark, texts)
+    assert token_files.train_dictionary(docs, path, "doc_id", "text")
+    out = rows_of(token_files.round_trip(docs, path))
+    assert len(out) == 400
+    ids, counts = token_files.encode_batch(texts, path)
+    ends = np.cumsum(counts)
+    for r in out:
+        want = [*ids[ends[r["doc_id"]] - counts[r["doc_id"]] : ends[r["doc_id"]]].tolist(), 2]
+        assert r["n_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(np.array(want, "<u4").tobytes())
+    pages = spark.createDataFrame([(i, f"http://a/{i}", t) for i, t in enumerate(texts)], "page_id long, url string, html string")
+    assert warc.train_dictionary(pages, "page_id", "url", "html")
+    back = {r["page_id"]: r["payload_digest"] for r in rows_of(warc.round_trip(pages))}
+    assert back == {i: hashlib.sha1(t.encode()).hexdigest() for i, t in enumerate(texts)}
+    assert shared.dictionary_of([b"x"] * 20, 1 << 16) == b"" == shared.dictionary_of(texts[:3], 1 << 16)
+
+
 def test_warc(spark):
     big = "<html>" + "ü" * 600 + "</html>"
     data = [(1, "http://a/1", big), (2, "http://a/b c\r\nX: y", big), (3, None, "small"), (4, "http://a/4", "small"), (5, "", None), (None, "http://a/5", big), (2, "http://a/2", big)]
