@@ -273,6 +273,11 @@ def contains_first(rows: DataFrame, key: str, text: str, others: DataFrame, othe
     return rows.select(key).join(found, F.col(key) == F.col("_key"), "left").select(key, F.transform("_pairs", lambda p: p["hit"]).alias("hits"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage, in the shared folder of spark.checkpoint.dir where there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def resolve_pointers(spark: SparkSession, table: DataFrame, depth: int | None = None) -> DataFrame:
     """id, parent, accepted, rank, status -> id, resolved: follow parents up to a species, then accepted ids.
 
@@ -290,13 +295,13 @@ def resolve_pointers(spark: SparkSession, table: DataFrame, depth: int | None =
             joined = state.join(dim, F.col("at") == F.col("_id"), "left")
             state = joined.select("id", F.col("_next").alias("at"), F.coalesce("_done", F.lit(False)).alias("done"))
         return state.select("id", F.when(F.col("done"), F.col("at")).alias("resolved"))
-    state = table.select("id", ahead.alias("at"), done.alias("done")).localCheckpoint()
+    state = _cut(table.select("id", ahead.alias("at"), done.alias("done")))
     for _ in range(state.count().bit_length()):
         if state.where("not done and at is not null").isEmpty():
             break
         other = state.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("done").alias("_done"))
         joined = state.join(other, F.col("at") == F.col("_id"), "left")
-        state = joined.select("id", F.col("_at").alias("at"), F.coalesce("_done", F.lit(False)).alias("done")).localCheckpoint()
+        state = _cut(joined.select("id", F.col("_at").alias("at"), F.coalesce("_done", F.lit(False)).alias("done")))
     return state.select("id", F.when(F.col("done"), F.col("at")).alias("resolved"))
 
 
