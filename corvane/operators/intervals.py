@@ -2,35 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
+
 BEGIN, END = "Begin Time (s)", "End Time (s)"
 #: One event of a selection table.
 EVENT = "array<struct<selection:bigint,begin:double,end:double,label:string>>"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_selection_table(cell: Column, label: str = "Label") -> Column:
-    """A tab-separated table in a cell -> array of events; blank and null cells give none. Columns go by the header."""
-    lines = F.filter(F.split(F.coalesce(cell, F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
-    header = F.split(F.get(lines, F.lit(0)), "\t")
+    """A tab-separated table in a cell -> array of events; blank and null cells give none. Columns go by the header.
 
-    def event(line: Column) -> Column:
-        cells = F.split(line, "\t")
-        at = lambda name: F.get(cells, (F.array_position(header, F.lit(name)) - 1).cast("int"))
+    The cell, its header and each line are split once, so time is linear in the length of the cell.
+    """
+    place = lambda header, name: (F.array_position(header, F.lit(name)) - 1).cast("int")
+
+    def event(cells: Column, at: Column) -> Column:
         return F.struct(
-            at("Selection").try_cast("bigint").alias("selection"), at(BEGIN).try_cast("double").alias("begin"),
-            at(END).try_cast("double").alias("end"), at(label).alias("label"),
+            F.get(cells, at["selection"]).try_cast("bigint").alias("selection"), F.get(cells, at["begin"]).try_cast("double").alias("begin"),
+            F.get(cells, at["end"]).try_cast("double").alias("end"), F.get(cells, at["label"]).alias("label"),
         )
 
-    body = F.when(F.size(lines) > 1, F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), event))
-    return F.coalesce(body, F.array().cast(EVENT))
+    def places(lines: Column) -> Column:
+        return _let(
+            F.split(F.get(lines, F.lit(0)), "\t"),
+            lambda header: F.struct(place(header, "Selection").alias("selection"), place(header, BEGIN).alias("begin"), place(header, END).alias("end"), place(header, label).alias("label")),
+        )
+
+    def events(lines: Column) -> Column:
+        body = F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+        return _let(places(lines), lambda at: F.transform(body, lambda line: _let(F.split(line, "\t"), lambda cells: event(cells, at))))
+
+    lines = F.filter(F.split(F.coalesce(cell, F.lit("")), r"\r?\n"), lambda x: F.trim(x) != "")
+    return F.coalesce(_let(lines, lambda x: F.when(F.size(x) > 1, events(x))), F.array().cast(EVENT))
 
 
 def write_selection_table(df: DataFrame, by: Sequence[str], begin: str, end: str, label: str, output: str = "selection_table") -> DataFrame:
-    """Rows -> one tab-separated table per group, ordered by begin, end and label."""
+    """Rows -> one tab-separated table per group, ordered by begin, end and label. A group becomes one cell, as the format asks."""
     events = F.array_sort(F.collect_list(F.struct(F.col(begin).alias("b"), F.col(end).alias("e"), F.col(label).alias("l"))))
     body = F.transform(events, lambda e, i: F.concat_ws("\t", (i + 1).cast("string"), e["b"].cast("string"), e["e"].cast("string"), e["l"]))
     head = "\t".join(["Selection", BEGIN, END, "Label"])
@@ -78,12 +95,41 @@ def overlap_join(clips: DataFrame, events: DataFrame, key: str, start: str, end:
     inner = left.join(right, met).select(*names, *extra)
     if how == "inner":
         return inner
-    lone = clips.join(inner.select(*[F.col(n).alias(f"_{n}") for n in (key, start, end)]).distinct(), (F.col(key) == F.col(f"_{key}")) & (F.col(start) == F.col(f"_{start}")) & (F.col(end) == F.col(f"_{end}")), "left_anti")
+    inner = saved(inner, "overlaps")  # read twice, joined once
+    seen = inner.select(*[F.col(n).alias(f"_{n}") for n in (key, start, end)]).distinct()
+    lone = clips.join(seen, [F.col(n) == F.col(f"_{n}") for n in (key, start, end)], "left_anti")
     return inner.unionByName(lone, allowMissingColumns=True)
 
 
+def clip_relative(met: DataFrame, start: str, end: str, begin: str, stop: str) -> DataFrame:
+    """Events of overlap_join (inner) in the time of their clip: rel_begin and rel_end, cut at its borders."""
+    rel = lambda c: c - F.col(start)
+    return met.withColumns({"rel_begin": rel(F.greatest(begin, start)), "rel_end": rel(F.least(stop, end))})
+
+
+def cut_segments(rows: DataFrame, by: str, signal: str, rate: int, begin: str, stop: str, name: str, least: int = 10) -> DataFrame:
+    """Rows of segments() with times from the segment's start, its samples and a name with the suffix _song<number>, numbered from 0.
+
+    A segment runs from its first begin to its last stop, within the signal; one of fewer than
+    `least` samples is dropped, and keeps its number. The signal is sliced once per segment.
+    """
+    parts = rows.groupBy(by, "segment").agg(F.min(begin).alias("_from"), F.max(stop).alias("_to"), F.first(signal).alias("_signal"), F.first(name).alias("_name"))
+    numbered = parts.withColumn("_number", F.row_number().over(Window.partitionBy(by).orderBy("segment")) - 1)
+    first = F.greatest(F.lit(0), (F.col("_from") * rate).cast("int"))
+    last = F.least(F.size("_signal"), (F.col("_to") * rate).cast("int"))
+    kept = numbered.withColumn("samples", F.slice("_signal", first + 1, F.greatest(last - first, F.lit(0)))).where(F.size("samples") >= least)
+    stem = F.regexp_replace("_name", r"(?<=.)\.[^./]*$", "")
+    kept = kept.select(by, "segment", "_from", "samples", F.concat(stem, F.lit("_song"), F.col("_number").cast("string"), F.lit(".wav")).alias("segment_name"))
+    out = rows.drop(signal).join(kept, [by, "segment"])
+    return out.withColumns({begin: F.col(begin) - F.col("_from"), stop: F.col(stop) - F.col("_from")}).drop("_from")
+
+
 def segments(df: DataFrame, by: str, order: Sequence[str], label: str, first: str, middle: str, last: str) -> DataFrame:
-    """Rows of complete segments: from `first` over `middle`s to the next `last`; a new `first` restarts, other labels are ignored."""
+    """Rows of complete segments: from `first` over `middle`s to the next `last`; a new `first` restarts, other labels are ignored.
+
+    Order matters within a key, so a key is one sorted run of a task (it spills, and is
+    shuffled once for all windows); give a recording, not a whole collection, as the key.
+    """
     rows = df.where(F.col(label).isin(first, middle, last))
     upto = Window.partitionBy(by).orderBy(*order)
     rows = rows.withColumn("_segment", F.sum((F.col(label) == first).cast("int")).over(upto)).where("_segment > 0")

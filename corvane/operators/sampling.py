@@ -1,7 +1,9 @@
 """Exact-count sampling, balancing and splits, deterministic by md5 of seed, category and row key.
 
-No row-level window: a rank is needed only up to a quota, so rows take part by
-a hash threshold found per category, and only the rows below it are ranked.
+Ranks are found by histograms of the draws: rows are counted by category and cell of
+the draw, running sums over the cells say in which cell a quota ends, and only rows of
+such a cell are ranked. So a category of any share is spread over CELLS cells, and
+no window meets a whole category or table.
 """
 
 from __future__ import annotations
@@ -12,29 +14,74 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved, small
+
 OTHER = "other"
 
+#: Cells of the 28-bit draws, and slots that one task spells out at a time.
+CELLS, SLOTS = 1 << 16, 1 << 20
+
+
+def _md5_bits(first: int, digits: int, seed: int, parts: Sequence[str | Column]) -> Column:
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), first, digits), 16, 10).cast("long")
+
 
 def draw(seed: int, *parts: str | Column) -> Column:
     """28 bits of md5 over seed and parts, joined by '|': the same in Spark and in DuckDB."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+    return _md5_bits(1, 7, seed, parts)
+
+
+def draw_rank(seed: int, n: Column, *parts: str | Column) -> Column:
+    """A rank from 1 to n by draw. Beyond 65,536 ranks further bits of the md5 join the 28, so that every rank can come, about equally often."""
+    pages = F.ceil(n / F.lit(CELLS)).cast("long")
+    return (draw(seed, *parts) + F.lit(2**28) * F.pmod(_md5_bits(8, 8, seed, parts), F.greatest(pages, F.lit(1)))) % n + 1
 
 
 def _pooled(df: DataFrame, name: str, listed: Sequence, with_other: bool) -> DataFrame:
     """Adds _pool: the category, or OTHER for all that is not listed (null too); others are dropped."""
     if name not in df.columns:
         raise KeyError(name)
-    inside = F.col(name).isin([v for v in listed if v != OTHER])
-    pool = F.when(inside, F.col(name).cast("string"))
-    if with_other:
-        return df.withColumn("_pool", F.coalesce(pool, F.lit(OTHER)))
-    return df.where(inside).withColumn("_pool", pool)
+    spark = df.sparkSession
+    names = spark.createDataFrame([(str(v),) for v in listed if v != OTHER], "_listed string")
+    out = df.withColumn("_text", F.col(name).cast("string")).join(small(names), F.col("_text") == F.col("_listed"), "left" if with_other else "inner")
+    return out.withColumn("_pool", F.coalesce("_listed", F.lit(OTHER))).drop("_text", "_listed")
+
+
+def _cells(pooled: DataFrame, drawn: Column) -> DataFrame:
+    """_pool, _cell, _in (rows of the cell) and _upto (rows up to its end), written to the shared folder: at most CELLS rows of a pool."""
+    counts = pooled.groupBy("_pool", F.shiftright(drawn, 12).alias("_cell")).agg(F.count(F.lit(1)).alias("_in"))
+    upto = F.sum("_in").over(Window.partitionBy("_pool").orderBy("_cell"))
+    return saved(counts.withColumn("_upto", upto), "cells")
 
 
 def _ranked(df: DataFrame, key: str, seed: int) -> DataFrame:
-    order = Window.partitionBy("_pool").orderBy(draw(seed, "_pool", key), F.col(key))
-    return df.withColumn("_rank", F.row_number().over(order))
+    """Rows with _rank, their place in _pool by draw and key. Rows are dealt by pool and cell."""
+    pooled = df.withColumn("_draw", draw(seed, "_pool", key)).withColumn("_cell", F.shiftright("_draw", 12))
+    cells = _cells(df, draw(seed, "_pool", key)).select("_pool", "_cell", (F.col("_upto") - F.col("_in")).alias("_before"))
+    order = Window.partitionBy("_pool", "_cell").orderBy("_draw", key)
+    return pooled.join(cells, ["_pool", "_cell"]).withColumn("_rank", F.col("_before") + F.row_number().over(order)).drop("_draw", "_cell", "_before")
+
+
+def _below(pooled: DataFrame, drawn: Column, key: str, cells: DataFrame, quotas: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rows with a boolean for each column of quotas (_pool and some numbers): whether their rank is within it.
+
+    Pools without quotas are left out. Rows of a cell in which a quota ends are ranked; the rest are compared by cell.
+    """
+    beyond = lambda q: F.col("_upto") > F.col(q)
+    ends = [F.min(F.when(beyond(q), F.col("_cell"))).alias(f"_cell_{q}") for q in names]
+    left = [(F.first(q) - F.coalesce(F.max(F.when(~beyond(q), F.col("_upto"))), F.lit(0))).alias(f"_left_{q}") for q in names]
+    cuts = saved(cells.join(small(quotas), "_pool").groupBy("_pool").agg(*ends, *left), "cuts")
+    rows = pooled.withColumn("_draw", drawn).withColumn("_at", F.shiftright("_draw", 12)).join(small(cuts), "_pool")
+    edge = F.lit(False)
+    for q in names:
+        edge = edge | ((F.col("_at") == F.coalesce(f"_cell_{q}", F.lit(-1))) & (F.col(f"_left_{q}") > 0))
+    before = {q: F.col("_at") < F.coalesce(f"_cell_{q}", F.lit(CELLS)) for q in names}
+    plain = rows.where(~edge).withColumns(before)
+    rank = F.row_number().over(Window.partitionBy("_pool", "_at").orderBy("_draw", key))
+    ranked = rows.where(edge).withColumn("_rank", rank)
+    ranked = ranked.withColumns({q: before[q] | ((F.col("_at") == F.col(f"_cell_{q}")) & (F.col("_rank") <= F.col(f"_left_{q}"))) for q in names}).drop("_rank")
+    return plain.unionByName(ranked).select(*pooled.columns, *names)
 
 
 def subsample(df: DataFrame, name: str, ratios: dict, key: str, seed: int = 42) -> DataFrame:
@@ -43,58 +90,46 @@ def subsample(df: DataFrame, name: str, ratios: dict, key: str, seed: int = 42)
         if r < 0 or r > 1:
             raise ValueError("ratios lie between 0 and 1")
     pooled = _pooled(df, name, list(ratios), OTHER in ratios)
-    counts = pooled.groupBy("_pool").agg(F.count(F.lit(1)).alias("_n"))
-    found = {r["_pool"]: r["_n"] for r in counts.collect()}
-    for value in ratios:
-        if str(value) not in found:
-            warnings.warn(f"{value!r} does not occur in {name}", UserWarning, stacklevel=2)
-    quota = {pool: int(n * float(ratios[next(v for v in ratios if str(v) == pool)])) for pool, n in found.items()}
-    return _least(pooled, quota, found, key, seed).drop("_pool", "_rank")
-
-
-def _least(pooled: DataFrame, quota: dict[str, int], counts: dict[str, int], key: str, seed: int) -> DataFrame:
-    """The quota of each pool, smallest draws first. Rows whose draw is far above the quota's share never meet the window."""
-    whole = [p for p, q in quota.items() if q >= counts[p]]
-    some = {p: q for p, q in quota.items() if 0 < q < counts[p]}
-    out = pooled.where(F.col("_pool").isin(whole)).withColumn("_rank", F.lit(0)) if whole else None
-    if some or out is None:
-        # six standard errors above the expected draw of the last row wanted; the rank makes it exact
-        bound = {p: min(2**28, int(2**28 * (q + 6 * (q + 1) ** 0.5 + 12) / counts[p]) + 1) for p, q in some.items()}
-        near = F.lit(False)
-        keep = F.lit(False)
-        for p, q in some.items():
-            near = near | ((F.col("_pool") == p) & (F.col("_draw") <= bound[p]))
-            keep = keep | ((F.col("_pool") == p) & (F.col("_rank") <= q))
-        part = _ranked(pooled.withColumn("_draw", draw(seed, "_pool", key)).where(near), key, seed).drop("_draw").where(keep)
-        out = part if out is None else out.unionByName(part)
-    return out
+    drawn = draw(seed, "_pool", key)
+    cells = _cells(pooled, drawn)
+    wanted = df.sparkSession.createDataFrame([(str(v), float(r)) for v, r in ratios.items()], "_pool string, _ratio double")
+    counts = saved(wanted.join(cells.groupBy("_pool").agg(F.sum("_in").alias("_n")), "_pool", "left"), "counts")
+    for (value,) in counts.where("_n is null").select("_pool").collect():
+        warnings.warn(f"{value!r} does not occur in {name}", UserWarning, stacklevel=2)
+    quotas = counts.where("_n is not null").select("_pool", F.floor(F.col("_n") * F.col("_ratio")).alias("_taken"))
+    return _below(pooled, drawn, key, cells, quotas, ["_taken"]).where("_taken").drop("_pool", "_taken")
 
 
 def upsample(df: DataFrame, name: str, targets: dict, key: str, seed: int = 42) -> DataFrame:
     """Exactly targets[v] rows of each listed category.
 
     Up to its count: without replacement. Beyond: that many draws with replacement,
-    so an original may not occur. Slots, not copies of rows, are exploded and joined.
+    so an original may not occur. Slots, not copies of rows, are spelled out and joined.
     """
     for t in targets.values():
         if isinstance(t, bool) or not isinstance(t, int):
             raise TypeError("targets are whole numbers")
         if t < 0:
             raise ValueError("targets are not negative")
-    pooled = _pooled(df, name, list(targets), OTHER in targets)
-    counts = {r["_pool"]: r["n"] for r in pooled.groupBy("_pool").agg(F.count(F.lit(1)).alias("n")).collect()}
-    wanted = {p: targets[next(v for v in targets if str(v) == p)] for p in counts}
-    down = {p: t for p, t in wanted.items() if t <= counts[p]}
-    up = {p: t for p, t in wanted.items() if t > counts[p]}
-    out = _least(pooled, down, counts, key, seed).drop("_pool", "_rank")
-    if not up:
+    return _drawn(_pooled(df, name, list(targets), OTHER in targets), targets, key, seed)
+
+
+def _drawn(pooled: DataFrame, targets: dict, key: str, seed: int, replace: bool = False) -> DataFrame:
+    """The target of each pool; with replace by draws with replacement even where there are rows enough."""
+    spark, drawn = pooled.sparkSession, draw(seed, "_pool", key)
+    cells = _cells(pooled, drawn)
+    wanted = spark.createDataFrame([(str(v), t) for v, t in targets.items()], "_pool string, _target long")
+    counts = saved(cells.groupBy("_pool").agg(F.sum("_in").alias("_n")).join(small(wanted), "_pool"), "counts")
+    many = F.lit(True) if replace else F.col("_target") > F.col("_n")
+    out = _below(pooled, drawn, key, cells, counts.where(~many).select("_pool", F.col("_target").alias("_taken")), ["_taken"]).where("_taken").drop("_pool", "_taken")
+    up = counts.where(many & (F.col("_target") > 0))
+    if up.isEmpty():
         return out
-    slots = None
-    for p, t in sorted(up.items()):
-        one = df.sparkSession.range(t).select(F.lit(p).alias("_pool"), F.col("id").alias("_slot"), F.lit(counts[p]).alias("_n"))
-        slots = one if slots is None else slots.unionByName(one)
-    slots = slots.withColumn("_rank", (draw(seed, "_pool", "_slot") % F.col("_n") + 1).cast("int")).select("_pool", "_rank")
-    ranked = _ranked(pooled.where(F.col("_pool").isin(list(up))), key, seed)
+    chunks = up.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("_target") - 1) / SLOTS)))).repartition("_pool", "_chunk")
+    first = F.col("_chunk") * SLOTS
+    slots = chunks.withColumn("_slot", F.explode(F.sequence(first, F.least(first + SLOTS, F.col("_target")) - 1)))
+    slots = slots.select("_pool", draw_rank(seed, F.col("_n"), "_pool", "_slot").alias("_rank"))
+    ranked = _ranked(pooled.join(small(up.select("_pool")), "_pool", "left_semi"), key, seed)
     return out.unionByName(ranked.join(slots, ["_pool", "_rank"]).drop("_pool", "_rank"))
 
 
@@ -139,35 +174,67 @@ def long_tail(df: DataFrame, name: str, key: str, threshold: int, max_repeats: i
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42, replace: bool = False) -> DataFrame:
     """Exactly n rows; more than there are only with replacement."""
+    pooled = df.withColumn("_pool", F.lit("all"))
+    if replace:
+        return _drawn(pooled, {"all": n}, key, seed, replace=True)
     total = df.count()
-    if not replace:
-        if n > total:
-            raise ValueError(f"{n} of {total} rows without replacement")
-        return df.orderBy(draw(seed, key), key).limit(n)
-    return upsample(df.withColumn("_all", F.lit("all")), "_all", {"all": n}, key, seed).drop("_all") if n > total else _replaced(df, n, total, key, seed)
+    if n > total:
+        raise ValueError(f"{n} of {total} rows without replacement")
+    drawn = draw(seed, key)
+    quotas = df.sparkSession.createDataFrame([("all", n)], "_pool string, _taken long")
+    return _below(pooled, drawn, key, _cells(pooled, drawn), quotas, ["_taken"]).where("_taken").drop("_pool", "_taken")
 
 
-def _replaced(df: DataFrame, n: int, total: int, key: str, seed: int) -> DataFrame:
-    ranked = _ranked(df.withColumn("_pool", F.lit("all")), key, seed)
-    slots = df.sparkSession.range(n).select((draw(seed, F.lit("all"), F.col("id")) % total + 1).cast("int").alias("_rank"))
-    return ranked.join(slots, "_rank").drop("_pool", "_rank")
+def _strata(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds _pool, the columns `by` as text, with nulls told from any value."""
+    marks = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")) for c in by]
+    return df.withColumn("_pool", F.concat_ws("\x1f", *marks))
 
 
 def stratified_split(df: DataFrame, by: Sequence[str], key: str, seed: int = 42, least: int = 3) -> DataFrame:
     """split: train, val or test; strata of fewer than `least` rows are all train, others have each at least one."""
-    stratum = F.concat_ws("_", *by)
-    order = Window.partitionBy(*by).orderBy(draw(seed, stratum, key), key)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    rank = F.row_number().over(order)
-    n_train = F.least(F.greatest(F.lit(1), F.floor(n * F.lit(0.8))), n - 2)
+    pooled, drawn = _strata(df, by), draw(seed, F.concat_ws("_", *by), key)
+    cells = _cells(pooled, drawn)
+    n = F.col("_n")
+    n_train = F.when(n < least, n).otherwise(F.least(F.greatest(F.lit(1), F.floor(n * F.lit(0.8))), n - 2))
     n_val = F.greatest(F.lit(1), F.floor(n * F.lit(0.1)))
-    split = F.when((n < least) | (rank <= n_train), "train").when(rank <= n_train + n_val, "val").otherwise("test")
-    return df.withColumn("split", split)
+    quotas = saved(cells.groupBy("_pool").agg(F.sum("_in").alias("_n")).select("_pool", n_train.alias("_train"), (n_train + n_val).alias("_seen")), "quotas")
+    out = _below(pooled, drawn, key, cells, quotas, ["_train", "_seen"])
+    split = F.when(F.col("_train"), "train").when(F.col("_seen"), "val").otherwise("test")
+    return out.select(*df.columns, split.alias("split"))
 
 
-def group_split(df: DataFrame, group: str, n_test: int, n_val: int, seed: int = 42) -> DataFrame:
-    """split by group, so that no group is in two: the first n_test groups by draw, the next n_val, the rest."""
-    groups = df.select(group).distinct()
-    rank = F.row_number().over(Window.orderBy(draw(seed, group), group))
-    split = F.when(rank <= n_test, "test").when(rank <= n_test + n_val, "val").otherwise("train")
-    return df.join(groups.withColumn("split", split), group)
+def two_step_split(df: DataFrame, by: Sequence[str], key: str, seed: int = 42, share: float = 0.2) -> DataFrame:
+    """split: of each stratum round(n * share) rows are test, of the rest the same share val, others train; a rest of one is train."""
+    pooled, drawn = _strata(df, by), draw(seed, F.concat_ws("_", *by), key)
+    cells = _cells(pooled, drawn)
+    n_test = F.round(F.col("_n") * F.lit(share)).cast("long")
+    n_val = F.round((F.col("_n") - n_test) * F.lit(share)).cast("long")
+    quotas = saved(cells.groupBy("_pool").agg(F.sum("_in").alias("_n")).select("_pool", n_test.alias("_test"), (n_test + n_val).alias("_seen")), "quotas")
+    out = _below(pooled, drawn, key, cells, quotas, ["_test", "_seen"])
+    split = F.when(F.col("_test"), "test").when(F.col("_seen"), "val").otherwise("train")
+    return out.select(*df.columns, split.alias("split"))
+
+
+def group_split(df: DataFrame, group: str, n_test: int, n_val: int, seed: int = 42, always_test: Column | None = None) -> DataFrame:
+    """split by group, so that no group is in two: the first n_test groups by draw, the next n_val, the rest train.
+
+    Groups of rows for which always_test holds are test, and take no part in the draw.
+    Only the n_test + n_val groups drawn meet on the driver. Rows with a null group are train.
+    """
+    rows = df if always_test is None else df.withColumn("_forced", F.coalesce(always_test, F.lit(False)))
+    forced = None if always_test is None else rows.where("_forced").select(F.col(group).alias("_group")).where("_group is not null").distinct()
+    groups = df.select(F.col(group).alias("_group")).where("_group is not null").distinct()
+    if forced is not None:
+        groups = groups.join(forced, "_group", "left_anti")
+    drawn = groups.orderBy(draw(seed, "_group"), "_group").limit(n_test + n_val).collect()
+    side = df.sparkSession.createDataFrame([(r[0], "test" if i < n_test else "val") for i, r in enumerate(drawn)], groups.schema.add("split", "string"))
+    if forced is not None:
+        side = side.unionByName(forced.withColumn("split", F.lit("test")))
+    out = df.join(side, F.col(group) == F.col("_group"), "left")
+    return out.select(*df.columns, F.coalesce("split", F.lit("train")).alias("split"))
+
+
+def drop_share(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """Rows less about `share` of them, each dropped by its own draw; so reruns agree, and an id keeps its fate in a larger table."""
+    return df.where(draw(seed, key) / 2.0**28 >= share)

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, waveform
 from ..operators import intervals, labels, sampling, table
+from ..shared import scratch
+from ..sources import readers
+from ..streaming import stream
 from . import config
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,9 +22,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+class Tables:
+    """The tables of a folder, by name; and a session and scratch paths for queries that write and read back."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return read(self.spark, self.sf_dir, name)
+
+    def path(self, name: str) -> str:
+        return f"{self.sf_dir}/{name}.parquet"
+
+    def scratch(self, name: str) -> str:
+        return scratch(self.spark, name)
+
+
 def query(sql: str | None = None):
     def add(make: Callable) -> Callable:
-        QUERIES[make.__name__] = lambda spark, sf_dir: make(lambda name: read(spark, sf_dir, name))
+        QUERIES[make.__name__] = lambda spark, sf_dir: make(Tables(spark, sf_dir))
         if sql:
             ORACLES[make.__name__] = sql
         return make
@@ -58,6 +77,117 @@ def scan_split_filter(t):
     return t("documents").where("source = 'src0'").select("doc_id", "source", "lang")
 
 
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_index FROM documents")
+def reader_row_index(t):
+    return readers.from_parquet(t.spark, t.path("documents"), row_index="row_index").select("doc_id", "row_index")
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def scan_from_split(t):
+    return readers.from_split(t.spark, readers.from_version({"0.1.0": {"train": t.path("region")}}, "0.1.0"), "train")
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_round_trip(t):
+    path = t.scratch("customer") + ".csv"
+    readers.to_csv(t("customer"), path)
+    return readers.from_path(t.spark, path).select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"))
+
+
+@query("SELECT p_partkey, p_name, p_retailprice FROM part")
+def tsv_strings(t):
+    path = t.scratch("part") + ".tsv"
+    t("part").write.option("header", True).option("sep", "\t").csv(path)
+    rows = readers.from_tsv(t.spark, path, strings=True, quoted=False)
+    return rows.select(scalars.number_of(F.col("p_partkey")).alias("p_partkey"), "p_name", scalars.number_of(F.col("p_retailprice"), "double").alias("p_retailprice"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey FROM supplier")
+def json_lines_by_key(t):
+    path = t.scratch("supplier") + ".jsonl"
+    readers.to_json(t("supplier"), path, by="s_nationkey")
+    return readers.from_path(t.spark, path).select("s_suppkey", "s_name", F.col("s_nationkey").cast("int").alias("s_nationkey"))
+
+
+@query("SELECT n_nationkey::BIGINT AS n_nationkey, n_name FROM nation")
+def json_document(t):
+    path = t.scratch("nation") + ".json"
+    t("nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).coalesce(1).write.text(path)
+    return readers.from_path(t.spark, path)
+
+
+@query("SELECT r_name FROM region UNION ALL SELECT r_name FROM region")
+def csv_append(t):
+    path = t.scratch("regions") + ".csv"
+    for _ in range(2):
+        readers.append_csv(t("region").select("r_name"), path)
+    return readers.from_csv(t.spark, path)
+
+
+@query("SELECT DISTINCT o_custkey FROM orders")
+def append_new_rows(t):
+    path = t.scratch("arrivals")
+    for status in ("F", "O", "P"):
+        readers.append_new(t("orders").where(F.col("o_orderstatus") == status).select("o_custkey"), path, ["o_custkey"])
+    return t.spark.read.parquet(path)
+
+
+@query("SELECT DISTINCT url AS path FROM pages WHERE url LIKE '%x'")
+def distinct_paths(t):
+    files = [t.scratch("split") + ".csv" for _ in range(2)]
+    for f in files:
+        readers.to_csv(t("pages").select("page_id", "url"), f)
+    return readers.distinct_paths(t.spark, files, "url", "x")
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def skip_rows(t):
+    path = t.scratch("headed")
+    text = F.concat(F.lit("a comment\n\nn_nationkey,n_name\n"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name"))), "\n"))
+    t("nation").agg(text.alias("value")).coalesce(1).write.text(path)
+    return readers.from_csv(t.spark, path, skip=2)
+
+
+@query("""SELECT event_id::DOUBLE AS "begin", event_id + 0.5::DOUBLE AS "end", event_type AS label, CASE WHEN event_id % 2 = 0 THEN event_id ELSE 0 END::DOUBLE AS low_hz,
+    CASE WHEN event_id % 2 = 0 THEN event_id * 2 ELSE 8000 END::DOUBLE AS high_hz FROM events WHERE event_type <> 'view'""")
+def two_line_records(t):
+    number = F.col("event_id").cast("string")
+    begin = F.when(F.col("event_type") == "view", "no number").otherwise(number)
+    line = F.concat_ws("\t", begin, F.concat(number, F.lit(".5")), "event_type")
+    band = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("\n\\\t"), number, F.lit("\t"), (F.col("event_id") * 2).cast("string"))).otherwise("")
+    path = t.scratch("records")
+    t("events").select(F.concat(line, band).alias("value")).write.text(path)
+    return readers.two_line_records(t.spark, path).select("begin", "end", "label", "low_hz", "high_hz")
+
+
+@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
+def status_counts(t):
+    return readers.status_counts(t("events").select(F.col("event_type").alias("status")))
+
+
+def _streamed(t, df, make):
+    """What a query over a stream of the table's files writes."""
+    source, out = t.scratch("stream"), t.scratch("streamed")
+    df.write.json(source)
+    rows = make(stream.read_stream(t.spark, source, df.schema, files_per_batch=2))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", t.scratch("stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(rows.schema).parquet(out)
+
+
+@query("SELECT event_id, event_type AS kind, CASE event_type WHEN 'click' THEN 'c' ELSE 'other' END AS code FROM events WHERE event_type IN ('click', 'view')")
+def stream_row_operators(t):
+    def steps(rows):
+        kept = table.dropna(table.filter_isin(rows, "event_type", ["click", "view"]), ["event_id"])
+        return table.rename_columns(table.map_column(kept, "event_type", {"click": "c"}, "code", "other"), {"event_type": "kind"})
+
+    return _streamed(t, t("events").select("event_id", "event_type"), steps)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_distinct(t):
+    return _streamed(t, t("events").select("user_id", "event_type"), lambda rows: stream.distinct_stream(rows, ["user_id", "event_type"]))
+
+
 # projection
 
 
@@ -94,12 +224,6 @@ def map_column_default(t):
     return table.map_column(t("customer"), "c_nationkey", _NATIONS, "zone", "none").select("c_custkey", "zone")
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey BETWEEN 1 AND 1000 THEN 'p' || l_partkey END AS part_name FROM lineitem WHERE l_linenumber = 1")
-def map_column_large(t):
-    rows = t("lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber", "l_partkey")
-    return table.map_column(rows, "l_partkey", {i: f"p{i}" for i in range(1, 1001)}, "part_name").drop("l_partkey")
-
-
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey BETWEEN 1 AND 1000 THEN 'p' || l_partkey END AS part_name FROM lineitem")
 def map_column_whole(t):
     rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
@@ -124,8 +248,7 @@ def drop_empty_columns(t):
 
 @query("SELECT a.n_name, b.r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS i FROM nation) a JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS i FROM region) b USING (i)")
 def horizontal_concat(t):
-    left, right = table.with_ordinal(t("nation"), ["n_nationkey"]), table.with_ordinal(t("region"), ["r_regionkey"])
-    return left.join(right, table.ORDINAL).select("n_name", "r_name")
+    return table.side_by_side(table.with_ordinal(t("nation"), ["n_nationkey"]), table.with_ordinal(t("region"), ["r_regionkey"])).select("n_name", "r_name")
 
 
 # filters
@@ -165,9 +288,9 @@ def dropna_all(t):
     return table.dropna(t("documents").join(t("labels"), "doc_id", "left").select("doc_id", "lang", "toxic", "quality"))
 
 
-@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_type, ' '), ['TIN', 'BRASS'])")
+@query("SELECT p_partkey FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'plate'])")
 def list_contains_any(t):
-    return table.contains_any(t("part").withColumn("words", F.split("p_type", " ")), "words", ["TIN", "BRASS"]).select("p_partkey")
+    return table.contains_any(t("part").withColumn("words", F.split("p_name", " ")), "words", ["red", "plate"]).select("p_partkey")
 
 
 @query("""SELECT vec_id, CASE WHEN len(e) < 10 THEN 'too_short' WHEN list_sum(list_transform(e, lambda x: abs(x))) = 0 THEN 'all_zero' END AS issue
@@ -177,6 +300,20 @@ def qc_report(t):
     return t("embeddings").select("vec_id", waveform.issues(e).alias("issue"))
 
 
+@query("""WITH e AS (SELECT vec_id, vec_id % 5 AS k, CASE WHEN vec_id % 7 = 0 THEN [0.5::DOUBLE, 0.25::DOUBLE] WHEN vec_id % 7 = 1 THEN list_transform(embedding, lambda x: 0::DOUBLE)
+        WHEN vec_id % 7 = 2 THEN list_concat(embedding[1:63]::DOUBLE[], ['nan'::DOUBLE]) ELSE embedding::DOUBLE[] END AS e FROM embeddings),
+    i AS (SELECT vec_id, unnest([CASE WHEN len(e) < 10 THEN 'too_short' END, CASE WHEN vec_id % 7 = 2 THEN 'nan_in_audio' END, CASE WHEN vec_id % 7 = 1 THEN 'all_zeros' END,
+        CASE WHEN k > len(e) / 16.0::DOUBLE + 1e-6::DOUBLE THEN 'events_after_audio' END, CASE WHEN k = 3 THEN 'events of dur <= 0' END,
+        CASE WHEN vec_id % 3 = 0 THEN 'unknown_species' WHEN vec_id % 3 = 1 THEN 'non_canonical_species' END]) AS issue FROM e) SELECT vec_id, issue FROM i WHERE issue IS NOT NULL""")
+def qc_issues(t):
+    v, wide = F.col("vec_id"), F.col("embedding").cast("array<double>")
+    e = F.when(v % 7 == 0, F.array(F.lit(0.5), F.lit(0.25))).when(v % 7 == 1, F.transform(wide, lambda x: F.lit(0.0))).when(v % 7 == 2, F.concat(F.slice(wide, 1, 63), F.array(F.lit(float("nan"))))).otherwise(wide)
+    begin = (v % 5).cast("double")
+    events = F.array(F.struct(begin.alias("begin"), F.when(v % 5 == 3, begin).otherwise(begin + 1).alias("end")))
+    species = F.element_at(F.array(F.lit("x"), F.lit("b"), F.lit("a")), (v % 3 + 1).cast("int"))
+    return t("embeddings").select("vec_id", F.explode(waveform.qc_issues(e, 16, events, species, ["a", "b"], ["a"])).alias("issue"))
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus <> 'F' AND (o_orderpriority LIKE '1%' OR o_totalprice > 200000)")
 def filter_conditions(t):
     kept = (F.col("o_orderstatus") != "F") & (F.col("o_orderpriority").startswith("1") | (F.col("o_totalprice") > 200000))
@@ -185,9 +322,7 @@ def filter_conditions(t):
 
 @query("SELECT o_orderkey, o_custkey FROM orders QUALIFY o_totalprice = max(o_totalprice) OVER (PARTITION BY o_custkey)")
 def max_view_rows(t):
-    rows = t("orders")
-    best = rows.groupBy("o_custkey").agg(F.max("o_totalprice").alias("o_totalprice"))
-    return rows.join(best, ["o_custkey", "o_totalprice"]).select("o_orderkey", "o_custkey")
+    return table.max_rows(t("orders"), ["o_custkey"], "o_totalprice").select("o_orderkey", "o_custkey")
 
 
 # joins
@@ -208,50 +343,53 @@ def taxonomic_name(t):
     return labels.add_taxonomy(rows, "name", dimension, "name", ["kingdom", "order"], {"absent": "x"}, "taxonomic_name")[0].select("s_suppkey", "taxonomic_name")
 
 
-@query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id")
-def full_outer_merge(t):
-    return t("documents").where("doc_id % 2 = 0").join(t("labels"), "doc_id", "outer").select("doc_id", "lang", "quality")
-
-
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id")
 def full_outer_merge_whole(t):
-    return t("documents").join(t("labels"), "doc_id", "outer").select("doc_id", "lang", "quality")
+    return table.outer_merge(t("documents"), t("labels"), ["doc_id"]).select("doc_id", "lang", "quality")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def semi_join(t):
-    return t("customer").join(t("orders").where("o_orderstatus = 'F'"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return table.rows_in(t("customer"), "c_custkey", t("orders").where("o_orderstatus = 'F'"), "o_custkey").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def anti_join(t):
-    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return table.rows_in(t("documents"), "doc_id", t("labels"), "doc_id", negate=True).select("doc_id")
 
 
-@query("SELECT p_partkey, list_transform(string_split(p_type, ' '), lambda w: CASE w WHEN 'TIN' THEN 'sn' WHEN 'COPPER' THEN 'cu' END) AS codes FROM part")
+@query("SELECT p_partkey, list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'red' THEN 'r' WHEN 'plate' THEN 'pl' END) AS codes FROM part")
 def label_list_lookup(t):
-    codes = table.map_literal({"TIN": "sn", "COPPER": "cu"})
-    return t("part").select("p_partkey", F.transform(F.split("p_type", " "), lambda w: F.element_at(codes, w)).alias("codes"))
+    return table.map_list(t("part").withColumn("words", F.split("p_name", " ")), "words", {"red": "r", "plate": "pl"}, "codes").select("p_partkey", "codes")
+
+
+@query("SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def key_lookup(t):
+    return table.look_up(t("documents").select("doc_id"), "doc_id", t("labels"), "doc_id", ["quality", "toxic"])
+
+
+@query("""SELECT r_regionkey, coalesce(names, '') AS names FROM region LEFT JOIN (SELECT n_regionkey, string_agg(DISTINCT lower(n_name), ',' ORDER BY lower(n_name)) AS names
+    FROM nation WHERE n_nationkey < 3 GROUP BY n_regionkey) ON r_regionkey = n_regionkey""")
+def index_map(t):
+    names = table.string_sets(t("nation").where("n_nationkey < 3"), "n_regionkey", "n_name", "names")
+    return table.look_up(t("region").select("r_regionkey"), "r_regionkey", names, "n_regionkey", ["names"], missing="")
 
 
-@query("""WITH w AS (SELECT n_nationkey, unnest(string_split(n_name, '_')) AS word, generate_subscripts(string_split(n_name, '_'), 1) AS pos FROM nation),
-    m AS (SELECT n_nationkey, pos, min(r_regionkey) AS region FROM w LEFT JOIN region ON contains(r_name, substr(word, 1, 1)) GROUP BY ALL)
-    SELECT n_nationkey, list(region ORDER BY pos) AS regions FROM m GROUP BY n_nationkey""")
-def contains_first_match(t):
-    words = t("nation").select("n_nationkey", F.posexplode(F.split("n_name", "_")).alias("pos", "word"))
-    found = words.join(F.broadcast(t("region")), F.contains("r_name", F.substring("word", 1, 1)), "left").groupBy("n_nationkey", "pos").agg(F.min("r_regionkey").alias("region"))
-    pairs = F.array_sort(F.collect_list(F.struct("pos", "region")))
-    return found.groupBy("n_nationkey").agg(F.transform(pairs, lambda p: p["region"]).alias("regions"))
+@query("""WITH p AS (SELECT split_part(url, '/', -1) AS name, min(url) AS path FROM pages GROUP BY ALL) SELECT page_id, path FROM
+    (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'absent' ELSE split_part(url, '/', -1) END AS name FROM pages) LEFT JOIN p USING (name)""")
+def file_name_to_path(t):
+    files = t("pages").select(scalars.file_name(F.col("url")).alias("name"), F.col("url").alias("path"))
+    rows = t("pages").select("page_id", F.when(F.col("page_id") % 3 == 0, "absent").otherwise(scalars.file_name(F.col("url"))).alias("name"))
+    return table.look_up(rows, "name", files, "name", ["path"]).select("page_id", "path")
 
 
-@query("""WITH p AS (SELECT n_nationkey, unnest(range(1, 6)) AS k, substr(n_name, 1, unnest(range(1, 6))::INT) AS prefix FROM nation),
-    c AS (SELECT p.n_nationkey, k, count(*) AS n, min(o.n_nationkey) AS hit FROM p JOIN nation o ON starts_with(o.n_name, prefix) GROUP BY ALL)
-    SELECT n_nationkey, min(k)::INT AS length, min_by(hit, k) AS hit FROM c WHERE n = 1 GROUP BY n_nationkey""")
-def prefix_unique_match(t):
-    prefixes = t("nation").select("n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("k"), "n_name").select("n_nationkey", "k", F.substring("n_name", F.lit(1), F.col("k")).alias("prefix"))
-    other = F.broadcast(t("nation").select(F.col("n_nationkey").alias("other"), F.col("n_name").alias("name")))
-    counts = prefixes.join(other, F.startswith("name", "prefix")).groupBy("n_nationkey", "k").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("hit"))
-    return counts.where("n = 1").groupBy("n_nationkey").agg(F.min("k").alias("length"), F.min_by("hit", "k").alias("hit"))
+@query("""SELECT c_custkey, CASE WHEN n_nationkey < 10 THEN n_name WHEN n_nationkey % 2 = 0 THEN 'fetched ' || n_nationkey END AS name, (SELECT count(*) FROM nation WHERE n_nationkey < 10)
+    + (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_nationkey >= 10 AND c_nationkey % 2 = 0) AS known FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def lookup_with_fallback(t):
+    known = t("nation").where("n_nationkey < 10").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("name"))
+    fetch = lambda missing: missing.where("key % 2 = 0").select("key", F.concat(F.lit("fetched "), F.col("key").cast("string")).alias("name"))
+    rows, grown = table.look_up_or_fill(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey", known, "key", ["name"], fetch)
+    return rows.select("c_custkey", "name", F.lit(grown.count()).alias("known"))
 
 
 @query("""WITH s AS (SELECT n_nationkey, string_split(n_name, '_') AS parts FROM nation),
@@ -316,8 +454,7 @@ def interval_overlap_join(t):
     FROM g JOIN e ON g.user_id = e.user_id AND "end" > "begin" AND "begin" < clip_end AND "end" > clip_start""")
 def clip_relative_intervals(t):
     met = intervals.overlap_join(_clips(t), _events(t).select("user_id", "event_id", "begin", "end"), "user_id", "clip_start", "clip_end", "begin", "end", 25.0, "inner")
-    rel = lambda c: c - F.col("clip_start")
-    return met.select("user_id", "event_id", "clip_start", rel(F.greatest("begin", "clip_start")).alias("rel_begin"), rel(F.least("end", "clip_end")).alias("rel_end"))
+    return intervals.clip_relative(met, "clip_start", "clip_end", "begin", "end").select("user_id", "event_id", "clip_start", "rel_begin", "rel_end")
 
 
 def _tables(t):
@@ -331,12 +468,6 @@ def selection_table_roundtrip(t):
     return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("e.begin").alias("begins"), F.min("e.label").alias("first_label"))
 
 
-@query("SELECT user_id, event_id::DOUBLE AS \"begin\", event_type AS label FROM events WHERE event_id < 100")
-def selection_table_parse(t):
-    events = _tables(t).select("user_id", F.explode(intervals.clip_to_duration(intervals.parse_selection_table(F.col("selection_table")), F.lit(100.0))).alias("e"))
-    return events.select("user_id", F.col("e.begin").alias("begin"), F.col("e.label").alias("label"))
-
-
 @query("SELECT user_id, event_id::DOUBLE AS \"begin\", event_type AS label FROM events")
 def selection_table_parse_whole(t):
     events = _tables(t).select("user_id", F.explode(intervals.parse_selection_table(F.col("selection_table"))).alias("e"))
@@ -372,6 +503,21 @@ def song_segments(t):
     return rows.select("user_id", F.col("segment").cast("long").alias("segment"), "event_id", (micros - F.min(micros).over(Window.partitionBy("user_id", "segment"))).alias("rel_us"))
 
 
+@query("""WITH e AS (SELECT *, sum((event_type = 'view')::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+    f AS (SELECT *, coalesce(max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, s ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM e WHERE s > 0),
+    w AS (SELECT *, max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id, s) AS whole FROM f WHERE ended = 0),
+    g AS (SELECT user_id, s, min(event_id) AS a, max(event_id) + 1 AS z, row_number() OVER (PARTITION BY user_id ORDER BY s) - 1 AS k FROM w WHERE whole = 1 GROUP BY user_id, s)
+    SELECT w.event_id, w.event_id::DOUBLE - a AS rel_begin, 'f' || w.user_id || '_song' || k || '.wav' AS segment_name, z - a AS n FROM w JOIN g ON w.user_id = g.user_id AND w.s = g.s WHERE whole = 1 AND z - a >= 10""")
+def cut_segments(t):
+    begin = F.col("event_id").cast("double")
+    last = t("events").agg(F.max("event_id")).first()[0]
+    samples = F.transform(F.sequence(F.lit(0), F.lit(last)), lambda i: i.cast("float"))
+    rows = t("events").select("event_id", "user_id", "event_type", begin.alias("begin"), (begin + 1).alias("end"), F.concat(F.lit("f"), F.col("user_id").cast("string"), F.lit(".flac")).alias("file"))
+    found = intervals.segments(rows, "user_id", ["event_id"], "event_type", "view", "click", "purchase").withColumn("signal", samples)
+    cut = intervals.cut_segments(found, "user_id", "signal", 1, "begin", "end", "file")
+    return cut.select("event_id", F.col("begin").alias("rel_begin"), "segment_name", F.size("samples").cast("long").alias("n"))
+
+
 # aggregation and distinct
 
 
@@ -413,28 +559,33 @@ def dedup_text(t):
 
 @query("SELECT event_type, count(*) / sum(count(*)) OVER () AS share FROM events WHERE event_type <> 'error' GROUP BY event_type")
 def label_proportions(t):
-    counts = table.histogram(t("events").where("event_type <> 'error'"), "event_type")
-    return counts.select("event_type", (F.col("n") / F.sum("n").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("share"))
+    return table.proportions(t("events").where("event_type <> 'error'"), "event_type")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, round(avg(value), 6) AS mean_value FROM events GROUP BY day")
 def groupby_mean_daily(t):
-    return t("events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean_value"))
+    return table.grouped_mean(t("events"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "value", "mean_value")
 
 
 @query("SELECT n_regionkey, string_agg(DISTINCT lower(n_name), ',' ORDER BY lower(n_name)) AS names FROM nation GROUP BY n_regionkey")
 def string_set_agg(t):
-    return t("nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_set(F.lower("n_name"))), ",").alias("names"))
+    return table.string_sets(t("nation"), "n_regionkey", "n_name", "names")
 
 
 @query("SELECT user_id, min(event_id) AS low, max(event_id) AS high, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id")
 def group_extremes(t):
-    return t("events").groupBy("user_id").agg(F.min("event_id").alias("low"), F.max("event_id").alias("high"), F.countDistinct("event_type").alias("kinds"))
+    return table.group_extremes(t("events"), "user_id", "event_id", "event_type")
 
 
 @query("SELECT count(*) AS n, count(*) - count(DISTINCT text) AS copies FROM documents")
 def duplicate_count(t):
-    return t("documents").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) - F.countDistinct("text")).alias("copies"))
+    return table.duplicate_count(t("documents"), "text")
+
+
+@query("SELECT count(*) AS n, count(DISTINCT user_id) AS callers, (SELECT count(DISTINCT event_type) FROM events) AS kinds FROM events")
+def distinct_callers(t):
+    n, _ = table.shape(t("events"))
+    return t.spark.createDataFrame([(n, table.n_distinct(t("events"), "user_id"), table.n_distinct(t("events"), "event_type"))], "n long, callers long, kinds long")
 
 
 # sampling
@@ -530,15 +681,27 @@ def stratified_split(t):
     return sampling.stratified_split(t("customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "c_custkey")
 
 
+@query(f"""WITH d AS (SELECT *, round(n * 0.2::DOUBLE)::BIGINT AS t FROM {_drawn('customer', 'c_mktsegment', 'c_custkey')})
+    SELECT c_custkey, CASE WHEN r <= t THEN 'test' WHEN r <= t + round((n - t) * 0.2::DOUBLE)::BIGINT THEN 'val' ELSE 'train' END AS split FROM d""")
+def two_step_split(t):
+    return sampling.two_step_split(t("customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], "c_custkey").select("c_custkey", "split")
+
+
 @query(f"""WITH g AS (SELECT c_nationkey, row_number() OVER (ORDER BY {md5_draw("'42'", 'c_nationkey')}, c_nationkey) AS r FROM (SELECT DISTINCT c_nationkey FROM customer))
     SELECT c_custkey, c_nationkey, CASE WHEN r <= 5 THEN 'test' WHEN r <= 10 THEN 'val' ELSE 'train' END AS split FROM customer JOIN g USING (c_nationkey)""")
 def group_disjoint_split(t):
     return sampling.group_split(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey", 5, 5)
 
 
+@query(f"""WITH g AS (SELECT c_nationkey, row_number() OVER (ORDER BY {md5_draw("'42'", 'c_nationkey')}, c_nationkey) AS r FROM (SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey >= 4))
+    SELECT c_custkey, CASE WHEN c_nationkey < 4 THEN 'test' WHEN r <= 3 THEN 'test' WHEN r <= 6 THEN 'val' ELSE 'train' END AS split FROM customer LEFT JOIN g USING (c_nationkey)""")
+def group_split_forced(t):
+    return sampling.group_split(t("customer").select("c_custkey", "c_nationkey"), "c_nationkey", 3, 3, always_test=F.col("c_nationkey") < 4).select("c_custkey", "split")
+
+
 @query(f"SELECT event_id FROM events WHERE {md5_draw(chr(39) + '42' + chr(39), 'event_id')} / 268435456.0::DOUBLE >= 0.7")
 def drop_with_probability(t):
-    return t("events").where(sampling.draw(42, "event_id") / 2.0**28 >= 0.7).select("event_id")
+    return sampling.drop_share(t("events"), 0.7, "event_id").select("event_id")
 
 
 # labels
@@ -567,10 +730,10 @@ def multilabel(t):
     return labels.multilabel(_parts(t), ["words", "brand"])[0].select("p_partkey", "labels")
 
 
-@query("SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform(string_split(p_type, ' '), lambda w: CASE w WHEN 'TIN' THEN 3 WHEN 'COPPER' THEN 1 END::BIGINT), lambda i: i IS NOT NULL))) AS labels FROM part WHERE list_has_any(string_split(p_type, ' '), ['TIN', 'COPPER'])")
+@query("SELECT p_partkey, list_sort(list_distinct(list_filter(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'red' THEN 3 WHEN 'plate' THEN 1 END::BIGINT), lambda i: i IS NOT NULL))) AS labels FROM part WHERE list_has_any(string_split(p_name, ' '), ['red', 'plate'])")
 def multilabel_drop_missing(t):
-    rows = t("part").select("p_partkey", F.split("p_type", " ").alias("words"))
-    return labels.multilabel(rows, "words", mapping={"TIN": 3, "COPPER": 1}, allow_missing=False)[0].select("p_partkey", "labels")
+    rows = t("part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return labels.multilabel(rows, "words", mapping={"red": 3, "plate": 1}, allow_missing=False)[0].select("p_partkey", "labels")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 OR p_size % 3 = 1 THEN [] ELSE list_transform(string_split(replace(p_name, ' ', ' , '), ','), lambda x: trim(x)) END AS names FROM part")
@@ -613,7 +776,7 @@ def iter_batches(t):
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 3")
 def top_k(t):
-    return table.histogram(t("part"), "p_brand").orderBy(F.desc("n"), "p_brand").limit(3)
+    return table.top_k(t("part"), "p_brand", 3)
 
 
 def _two(t):
@@ -655,12 +818,12 @@ def chain(t):
 
 @query("SELECT lang FROM documents INTERSECT SELECT lang FROM documents WHERE source = 'src1'")
 def set_intersect(t):
-    return t("documents").select("lang").intersect(t("documents").where("source = 'src1'").select("lang"))
+    return table.intersect(t("documents").select("lang"), t("documents").where("source = 'src1'").select("lang"))
 
 
 @query("SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM labels")
 def set_except(t):
-    return t("documents").select("doc_id").exceptAll(t("labels").select("doc_id"))
+    return table.except_all(t("documents").select("doc_id"), t("labels").select("doc_id"))
 
 
 @query("""WITH u AS (SELECT * FROM documents WHERE lang IN ('en', 'fr') QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
@@ -670,6 +833,20 @@ def config_pipeline(t):
     return table.histogram(config.transform(t("documents"), steps)[0], "label")
 
 
+@query(f"SELECT event_id, kind FROM (SELECT event_id, event_type AS kind, r, n FROM {_drawn('events', 'event_type', 'event_id')}) WHERE r <= floor(n * CASE kind WHEN 'click' THEN 0.29::DOUBLE WHEN 'view' THEN 0.5::DOUBLE ELSE 0 END)")
+def config_subsample(t):
+    rows = table.with_ordinal(t("events"), ["event_id"])
+    steps = [{"type": "subsample", "property": "event_type", "ratios": {"click": 0.29, "view": 0.5}}, {"type": "select_columns", "columns": ["event_id", "event_type"]}, {"type": "rename_columns", "mapping": {"event_type": "kind"}}]
+    return config.transform(rows, steps)[0]
+
+
+@query("""WITH w AS (SELECT DISTINCT word FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)), m AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS i FROM w),
+    l AS (SELECT p_partkey, list(DISTINCT i ORDER BY i) AS labels FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) JOIN m USING (word) GROUP BY p_partkey) SELECT p_partkey, labels FROM l""")
+def config_multilabel(t):
+    rows = t("part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    return config.transform(rows, [{"type": "labels_from_features", "features": "words"}])[0].select("p_partkey", "labels")
+
+
 # waveforms
 
 
@@ -679,6 +856,28 @@ def stereo_to_mono(t):
     return t("embeddings").select("vec_id", F.transform(waveform.to_mono(two), lambda x: F.round(x, 6)).alias("mono"))
 
 
+@query("SELECT vec_id, embedding[1:32] AS first, list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: round((p[1]::DOUBLE + p[2]::DOUBLE) / 2, 6)) AS mono FROM embeddings")
+def mono_channels_last(t):
+    pairs = F.transform(F.arrays_zip(F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b")), lambda p: F.array(p["a"], p["b"]))
+    rows = t("embeddings").select("vec_id", pairs.alias("pairs"))
+    rows = waveform.mono(waveform.mono(rows, "pairs", "mono"), "pairs", "first", "keep_first")
+    return rows.select("vec_id", "first", F.transform("mono", lambda x: F.round(x, 6)).alias("mono"))
+
+
+@query("SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN embedding WHEN vec_id % 3 = 1 THEN embedding[1:16] ELSE embedding END AS audio FROM embeddings")
+def short_decode_fallback(t):
+    v, whole = F.col("vec_id"), F.col("embedding")
+    resampled = F.when(v % 3 == 0, F.slice(whole, 1, 5)).when(v % 3 == 1, F.slice(whole, 1, 16))
+    return t("embeddings").select("vec_id", waveform.usable(resampled, whole, 16).alias("audio"))
+
+
+@query("""WITH r AS (SELECT vec_id, embedding AS e, vec_id // 10 AS batch FROM embeddings), c AS (SELECT vec_id, batch, CASE WHEN vec_id % 4 = 0 THEN e[1:8] ELSE e[1:12] END AS e FROM r)
+    SELECT batch, list(list_concat(e, list_transform(range(m - len(e)), lambda i: 0::FLOAT)) ORDER BY vec_id) AS stacked FROM (SELECT *, max(len(e)) OVER (PARTITION BY batch) AS m FROM c) GROUP BY batch""")
+def stack_batches(t):
+    rows = table.with_ordinal(t("embeddings").select("vec_id", F.when(F.col("vec_id") % 4 == 0, F.slice("embedding", 1, 8)).otherwise(F.slice("embedding", 1, 12)).alias("e")), ["vec_id"])
+    return waveform.stack_batches(rows, "e", 10)
+
+
 @query("SELECT vec_id, embedding[(vec_id % 4 * 8 + 1):(vec_id % 4 * 8 + 16)] AS part FROM embeddings")
 def window_slice(t):
     start = F.col("vec_id") % 4 * F.lit(0.5)
@@ -697,12 +896,36 @@ def frame_anchor(t):
     return t("embeddings").select("vec_id", F.transform(waveform.anchor(16, starts, F.array(F.lit(6.0), F.lit(12.0))), lambda x: F.round(x, 6)).alias("frames"))
 
 
+@query("""WITH e AS (SELECT vec_id, vec_id % 7 AS a, vec_id % 7 + 3 AS z, vec_id % 3 - 1 AS c, vec_id % 13 AS a2 FROM embeddings)
+    SELECT vec_id, list_transform(range(16), lambda i: round(greatest(exp(-pow((i - a) / 0.5::DOUBLE, 2) / 2), exp(-pow((i - a2) / (1 / 6.0::DOUBLE), 2) / 2)), 6)) AS anchor,
+    list_transform(range(16), lambda i: CASE WHEN i = a2 THEN 1.0 / 2 WHEN i = a THEN 3.0 / 2 ELSE 0 END::DOUBLE) AS regression,
+    list_transform(range(16), lambda i: list_transform(range(2), lambda k: CASE WHEN i = a2 AND k = 1 THEN 1 WHEN i = a AND c = -1 THEN 0.5 WHEN i = a AND c = k THEN 1 ELSE 0 END::DOUBLE)) AS classes,
+    list_transform(range(16), lambda i: CASE WHEN i = a2 + 1 THEN 1.0 / 2 WHEN i = z THEN 3.0 / 2 ELSE 0 END::DOUBLE) AS rev_regression FROM e""")
+def frame_targets(t):
+    v = F.col("vec_id")
+    event = lambda first, frames, label: F.struct((first / F.lit(2.0)).alias("begin"), ((first + frames) / F.lit(2.0)).alias("end"), label.cast("int").alias("label"))
+    events = F.array(event(v % 7, 6 / 2, v % 3 - 1), event(v % 13, 1, F.lit(1)))
+    made = waveform.frame_targets(16, events, 2.0, 2)
+    rows = t("embeddings").select("vec_id", made.alias("m"))
+    return rows.select("vec_id", F.transform("m.anchor", lambda x: F.round(x, 6)).alias("anchor"), "m.regression", "m.classes", "m.rev_regression")
+
+
+@query("""SELECT vec_id, list_transform(range(16), lambda i: list_transform(range(2), lambda k: CASE WHEN k = vec_id % 2 AND i >= vec_id % 7 AND i < vec_id % 7 + 3 THEN 1 ELSE 0 END::DOUBLE)) AS classes FROM embeddings""")
+def frame_segmentation(t):
+    v = F.col("vec_id")
+    events = F.array(F.struct((v % 7 / F.lit(2.0)).alias("begin"), ((v % 7 + 3) / F.lit(2.0)).alias("end"), (v % 2).cast("int").alias("label")), F.struct(F.lit(0.0).alias("begin"), F.lit(1.0).alias("end"), F.lit(-1).alias("label")))
+    return t("embeddings").select("vec_id", waveform.frame_targets(16, events, 2.0, 2, segmentation=True)["classes"].alias("classes"))
+
+
 @query("SELECT vec_id, len(embedding) / 16.0::DOUBLE AS duration FROM embeddings")
 def duration(t):
     return t("embeddings").select("vec_id", (F.size("embedding") / F.lit(16.0)).alias("duration"))
 
 
-@query()
+@query("""WITH y AS (SELECT vec_id, list_transform(range(48), lambda i: list_sum(list_transform(range(-43, 44), lambda k: coalesce(CASE WHEN i * 4 // 3 + k >= 0 THEN embedding[i * 4 // 3 + k + 1] END, 0)::DOUBLE
+        * 0.75::DOUBLE * CASE WHEN k = 0 AND i * 4 % 3 = 0 THEN 1 ELSE sin(pi() * 0.75::DOUBLE * (k - i * 4 % 3 / 3.0::DOUBLE)) / (pi() * 0.75::DOUBLE * (k - i * 4 % 3 / 3.0::DOUBLE)) END
+        * (0.5::DOUBLE + 0.5::DOUBLE * cos(pi() * (k - i * 4 % 3 / 3.0::DOUBLE) / 44))))::FLOAT) AS y FROM embeddings)
+    SELECT vec_id, len(y)::INT AS n, round(list_sum(list_transform(y, lambda x: x::DOUBLE * x::DOUBLE)), 3) AS energy FROM y""")
 def resample(t):
     out = waveform.resample(t("embeddings"), "embedding", 64, 48, "signal")
     return out.select("vec_id", F.size("signal").alias("n"), F.round(F.aggregate("signal", F.lit(0.0), lambda a, x: a + x * x), 3).alias("energy"))
@@ -713,7 +936,7 @@ def resample(t):
 
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_scalar(t):
-    return t("events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    return t("events").select("event_id", scalars.json_value(F.col("props"), "$.k", "bigint").alias("k"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN [] ELSE [lang, source] END AS tags FROM documents")
@@ -728,6 +951,36 @@ def path_algebra(t):
     return t("pages").select("page_id", scalars.parent(url).alias("parent"), scalars.file_name(url).alias("name"), F.regexp_extract(url, "://([^/]+)", 1).alias("host"), scalars.join_path("root/", "a", scalars.file_name(url)).alias("joined"))
 
 
+@query(r"""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'gs://b/d e/f' || page_id || '.tar.gz' WHEN 1 THEN 'r2://b/x/y' || page_id ELSE '/root/a/.hid' || page_id END AS p FROM pages)
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN ['gs://b', 'd e', 'f' || page_id || '.tar.gz'] WHEN 1 THEN ['r2://b', 'x', 'y' || page_id] ELSE ['/', 'root', 'a', '.hid' || page_id] END AS parts,
+    CASE page_id % 3 WHEN 0 THEN ['gs://b/d e', 'gs://b'] WHEN 1 THEN ['r2://b/x', 'r2://b'] ELSE ['/root/a', '/root', '/'] END AS parents,
+    CASE page_id % 3 WHEN 0 THEN ['.tar', '.gz'] ELSE [] END AS suffixes, CASE page_id % 3 WHEN 2 THEN '' ELSE 'b' END AS bucket,
+    regexp_replace(p, '[^/]*$', 'n') AS named, CASE page_id % 3 WHEN 0 THEN 'gs://b/d e/s.gz' WHEN 1 THEN 'r2://b/x/s' ELSE '/root/a/s' END AS stemmed,
+    page_id % 3 = 0 AS matched, replace(p, 'r2://', 's3://') AS s3 FROM p""")
+def path_parts(t):
+    number = F.col("page_id").cast("string")
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("gs://b/d e/f"), number, F.lit(".tar.gz"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("r2://b/x/y"), number)).otherwise(F.concat(F.lit("/root/a/.hid"), number))
+    p = F.col("path")
+    rows = t("pages").select("page_id", path.alias("path"))
+    return rows.select(
+        "page_id", scalars.parts(p).alias("parts"), scalars.parents(p).alias("parents"), scalars.suffixes(p).alias("suffixes"), scalars.bucket(p).alias("bucket"), scalars.with_name(p, "n").alias("named"),
+        scalars.with_stem(p, "s").alias("stemmed"), scalars.matches(p, "d*/*.gz").alias("matched"), scalars.s3_path(p).alias("s3"),
+    )
+
+
+@query("SELECT p_partkey, 'https://storage.googleapis.com/b/' || replace(p_name, ' ', '%20') || '%231%25%3F~%2A.wav' AS url FROM part")
+def object_url(t):
+    path = F.concat(F.when(F.col("p_partkey") % 2 == 0, "gs://b/").otherwise("//b/"), F.col("p_name"), F.lit("#1%?~*.wav"))
+    return t("part").select("p_partkey", scalars.https_url(path).alias("url"))
+
+
+@query("SELECT page_id, 'audio/audio_44k/' || page_id || '/audio_44k' AS kept, 'audio/x/' || page_id || '/audio_44k' AS replaced FROM pages")
+def path_rules(t):
+    bare = F.concat(F.lit("audio_44k/"), F.col("page_id").cast("string"), F.lit("/audio_44k"))
+    path = scalars.with_folder(F.when(F.col("page_id") % 2 == 0, bare).otherwise(F.concat(F.lit("audio/"), bare)), "audio")
+    return t("pages").select("page_id", path.alias("kept"), scalars.replace_once(path, "audio_44k", "x").alias("replaced"))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'a/' || page_id || '.wav' ELSE 'a/' || page_id || '.mp3' END AS path FROM pages")
 def suffix_rewrite(t):
     path = F.concat(F.lit("a/"), F.col("page_id").cast("string"), F.lit(".mp3"))
@@ -737,7 +990,7 @@ def suffix_rewrite(t):
 @query("SELECT p_partkey, string_split(p_name || '_x_' || p_partkey, '_')[-2] AS picked FROM part")
 def split_pick(t):
     name = F.concat_ws("_", "p_name", F.lit("x"), F.col("p_partkey").cast("string"))
-    return t("part").select("p_partkey", F.element_at(F.split(name, "_"), -2).alias("picked"))
+    return t("part").select("p_partkey", scalars.split_pick(name, "_", -2).alias("picked"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
@@ -752,9 +1005,19 @@ def semver_validate(t):
     return t("nation").select("n_nationkey", scalars.is_semver(version).alias("ok"))
 
 
+@query("""SELECT event_id, event_id % 6 < 2 AS utc, event_id % 2 = 0 AS json, event_id % 2 = 1 AS uuid FROM events""")
+def text_checks(t):
+    v = F.col("event_id")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    forms = F.array(F.concat(day, F.lit("T10:00:00Z")), F.concat(day, F.lit(" 10:00:00.5+00:00")), F.concat(day, F.lit("T10:00:00")), F.concat(day, F.lit("T10:00:00+01:00")), F.lit("2023-13-45T99:99:99Z"), day)
+    key = F.sha2(v.cast("string"), 256)
+    uuid = F.concat_ws("-", *[F.substring(key, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return t("events").select("event_id", scalars.is_utc(F.get(forms, (v % 6).cast("int"))).alias("utc"), scalars.is_json(F.when(v % 2 == 0, F.col("props")).otherwise("{k")).alias("json"), scalars.is_uuid(F.when(v % 2 == 1, uuid).otherwise(key)).alias("uuid"))
+
+
 @query("SELECT p_partkey, try_cast(replace(p_brand, 'Brand#1', '') AS BIGINT) AS number FROM part")
 def try_cast_numeric(t):
-    return t("part").select("p_partkey", F.replace("p_brand", F.lit("Brand#1"), F.lit("")).try_cast("bigint").alias("number"))
+    return t("part").select("p_partkey", scalars.number_of(F.replace("p_brand", F.lit("Brand#1"), F.lit(""))).alias("number"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'r/' || p_name ELSE p_name END AS path FROM part")
@@ -765,8 +1028,4 @@ def resampled_path_choice(t):
 
 @query("SELECT c_custkey, c_acctbal * 2 AS twice FROM customer")
 def apply_fn(t):
-    def twice(batches):
-        for b in batches:
-            yield b.assign(twice=b.c_acctbal * 2)[["c_custkey", "twice"]]
-
-    return t("customer").select("c_custkey", "c_acctbal").mapInPandas(twice, "c_custkey long, twice double")
+    return table.apply(t("customer").select("c_custkey", "c_acctbal"), lambda b: b.assign(twice=b.c_acctbal * 2)[["c_custkey", "twice"]], "c_custkey long, twice double")

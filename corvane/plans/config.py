@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from pathlib import PurePosixPath
 from typing import Any, Literal, get_args, get_origin
 
 from pydantic import BaseModel, ConfigDict, Field, field_validator
@@ -11,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import labels, sampling, table
-from ..sources import readers
+from ..sources import files, readers
+from ..streaming import stream
+from . import audio
 
 Result = tuple[DataFrame, dict]
 
@@ -106,9 +111,19 @@ class TaxonomyConfig(Strict):
     path: str
     key: str = "canonicalName"
     add_taxonomic_name: bool = False
+    corrections: dict[str, str] | None = None
+    corrections_path: str | None = None
+
+    @field_validator("path", "corrections_path")
+    @classmethod
+    def there(cls, value: str | None) -> str | None:
+        if value is not None and not files.exists(value):
+            raise ValueError(f"{value} does not exist")
+        return value
 
 
 def _key(df: DataFrame) -> tuple[DataFrame, str]:
+    """df with numbered rows; numbers are given once, and kept."""
     return (df, table.ORDINAL) if table.ORDINAL in df.columns else (table.with_ordinal(df), table.ORDINAL)
 
 
@@ -126,14 +141,16 @@ def _sampled(run: Callable) -> Callable:
         df, key = _key(df)
         before = sampling.histogram_of(df, c.property)
         out = run(df, c, key)
-        return out, {"histogram_before": before}
+        return out, {"histogram_before": before, "histogram_after": sampling.histogram_of(out, c.property)}
 
     return apply
 
 
 def _taxonomy(df: DataFrame, c: TaxonomyConfig) -> Result:
     dimension = readers.from_path(df.sparkSession, c.path)
-    return labels.add_taxonomy(df, c.feature, dimension, c.key, name_column="taxonomic_name" if c.add_taxonomic_name else None)
+    ranks = [r for r in labels.RANKS if r in dimension.columns]
+    corrections = c.corrections if c.corrections_path is None else readers.from_path(df.sparkSession, c.corrections_path)
+    return labels.add_taxonomy(df, c.feature, dimension, c.key, ranks, corrections, "taxonomic_name" if c.add_taxonomic_name else None)
 
 
 _TRANSFORMS: dict[str, tuple[type[BaseModel], Callable[[DataFrame, Any], Result]]] = {}
@@ -225,22 +242,39 @@ class Dataset:
         df = self.process(self.df) if self.process else self.df
         return table.take_and_give(df, self.take_and_give) if self.take_and_give else df
 
+    @property
+    def columns(self) -> list[str]:
+        return table.columns(self.df)
+
     def __iter__(self):
         return table.iterate(self.samples())
 
     def __len__(self) -> int:
+        if self.df.isStreaming:
+            raise NotImplementedError("Cannot get length in streaming mode")
         return self.df.count()
 
     def __getitem__(self, i: int) -> dict:
+        """Row i. The table is numbered once, before its rows are processed; only the row asked for is."""
+        if self.df.isStreaming:
+            raise RuntimeError("Cannot use __getitem__ in streaming mode")
         if i < 0:
             raise IndexError(i)
-        df, _ = _key(self.samples())
-        return table.row_at(df, i)
+        self.df, key = _key(self.df)
+        one = Dataset(self.df.where(F.col(key) == i).drop(key), self.info, self.take_and_give, self.process).samples()
+        row = one.first()
+        if row is None:
+            raise IndexError(i)
+        return {c: row[c] for c in table.columns(one)}
 
     def apply(self, configs: Sequence[dict | BaseModel]) -> tuple[Dataset, dict]:
         df, found = transform(self.df, configs)
         return Dataset(df, self.info, self.take_and_give, self.process), found
 
+    def map(self, fn: Callable, schema) -> Dataset:
+        """fn on batches of rows as pandas frames: table.apply on the table."""
+        return Dataset(table.apply(self.df, fn, schema), self.info, self.take_and_give, self.process)
+
 
 def concatenate(parts: Sequence[Dataset], level: str = "soft") -> Dataset:
     """One table of all, each row with the number of its source and its place there."""
@@ -264,13 +298,15 @@ class Chain:
             raise ChainException("nothing to chain")
         if len({p.df.isStreaming for p in parts}) > 1:
             raise ChainException("all datasets stream, or none does")
-        self.parts = list(parts)
+        self.parts, self._ends = list(parts), None
 
     @property
     def columns(self) -> list[str]:
         return sorted({c for p in self.parts for c in table.columns(p.samples())})
 
     def __len__(self) -> int:
+        if self.parts[0].df.isStreaming:
+            raise RuntimeError("Cannot get length in streaming mode")
         return sum(len(p) for p in self.parts)
 
     def __iter__(self):
@@ -278,13 +314,16 @@ class Chain:
             yield from p
 
     def __getitem__(self, i: int) -> dict:
+        if self.parts[0].df.isStreaming:
+            raise RuntimeError("Cannot use __getitem__ in streaming mode")
         if i < 0:
             raise IndexError(i)
-        for p in self.parts:
-            if i < (n := len(p)):
-                return p[i]
-            i -= n
-        raise IndexError(i)
+        if self._ends is None:
+            self._ends = list(itertools.accumulate(len(p) for p in self.parts))
+        place = bisect.bisect_right(self._ends, i)
+        if place == len(self.parts):
+            raise IndexError(i)
+        return self.parts[place][i - (self._ends[place - 1] if place else 0)]
 
     def table(self) -> DataFrame:
         return table.concat([p.samples().withColumn("_chain_pos", F.lit(k)) for k, p in enumerate(self.parts)])
@@ -314,21 +353,30 @@ def dataset_class(name: str) -> Callable[..., Dataset]:
 
 
 @register_dataset("manifest")
-def manifest(spark: SparkSession, split: str = "train", version: str | None = None, versions: dict | None = None, split_paths: dict | None = None, info: dict | None = None, output_take_and_give: dict | None = None) -> Dataset:
-    """A named table by split and version: the one parametrised class that stands for all built-in manifests."""
+def manifest(
+    spark: SparkSession, split: str = "train", version: str | None = None, versions: dict | None = None, split_paths: dict | None = None, info: dict | None = None,
+    output_take_and_give: dict | None = None, streaming: bool = False, audio_spec: dict | None = None,
+) -> Dataset:
+    """A named table by split and version: the one parametrised class that stands for all built-in manifests.
+
+    audio_spec says where the audio of a row lies and how it is given out: root, path column, resampled
+    paths, window, selection table, labels (see audio.AudioSpec). streaming takes new files as they come.
+    """
     paths = readers.from_version(versions, version) if versions else (split_paths or {})
-    return Dataset(readers.from_split(spark, paths, split), DatasetInfo(**({"name": "manifest"} | (info or {})), split_paths=paths), output_take_and_give)
+    spec = audio.AudioSpec(**audio_spec) if audio_spec else None
+    if streaming:
+        still = readers.from_split(spark, paths, split)
+        df = stream.read_stream(spark, paths[split], still.schema, {".jsonl": "json", ".ndjson": "json"}.get(PurePosixPath(paths[split]).suffix, PurePosixPath(paths[split]).suffix[1:]))
+    else:
+        df = readers.from_split(spark, paths, split)
+    known = {"name": "manifest"} | (info or {}) | ({"sample_rate": spec.sample_rate} if spec else {})
+    return Dataset(df, DatasetInfo(**known, split_paths=paths), output_take_and_give, (lambda rows: audio.samples(rows, spec)) if spec else None)
 
 
 def dataset_from_config(spark: SparkSession, config: dict | str, key: str | None = None) -> tuple[Dataset | Chain, dict]:
     """A dataset, concat or chain from a config or a YAML file; exactly one of the three."""
     if isinstance(config, str):
-        import yaml
-
-        text = "\n".join(r[0] for r in spark.read.option("wholetext", True).text(config).collect())
-        config = yaml.safe_load(text)
-        if not config:
-            raise ValueError("the config is empty")
+        config = files.read_yaml(config)
     if key is not None:
         if key not in config:
             raise KeyError(key)
