@@ -126,68 +126,6 @@ def stack_batches(df: DataFrame, name: str, size: int, n: int | None = None) ->
     return groups.select("batch", F.transform("rows", lambda r: zeros(r["signal"], to)).alias("stacked"))
 
 
-def frame_targets(n: int, events: Column, rate: float, n_classes: int, segmentation: bool = False) -> Column:
-    """Frame-level targets from events (begin, end, label index): anchor, regression, classes, and the same reversed (from the ends).
-
-    An anchor is a Gaussian peak of a sixth of the duration's frames, the largest of all
-    events; regression is the duration at the event's frame, of the last event there. Classes
-    are a row per frame: 1 over the event's frames (segmentation) or at its frame, where the
-    unknown label -1 spreads evenly; in segmentation it marks nothing. No events give zeros.
-    """
-    frame = lambda x: F.greatest(F.least(x.cast("int"), F.lit(n - 1)), F.lit(0))
-    placed = F.transform(
-        events,
-        lambda e: F.struct(
-            frame(F.floor(e["begin"] * rate)).alias("first"), frame(F.ceil(e["end"] * rate)).alias("last"), (e["end"] - e["begin"]).alias("seconds"),
-            F.ceil((e["end"] - e["begin"]) * rate).cast("int").alias("frames"), e["label"].alias("label"),
-        ),
-    )
-    frames, labels = F.sequence(F.lit(0), F.lit(n - 1)), F.sequence(F.lit(0), F.lit(n_classes - 1))
-    none = F.array().cast("array<double>")
-
-    def anchors(at: str) -> Column:
-        peak = lambda i: F.transform(placed, lambda e: F.exp(-F.pow((i - e[at]) / (e["frames"] / F.lit(6.0)), F.lit(2.0)) / F.lit(2.0)))
-        return F.transform(frames, lambda i: F.coalesce(F.array_max(peak(i)), F.lit(0.0)))
-
-    def durations(at: str) -> Column:
-        here = lambda i: F.transform(F.filter(placed, lambda e: e[at] == i), lambda e: e["seconds"])
-        return F.transform(frames, lambda i: F.coalesce(F.try_element_at(F.coalesce(here(i), none), F.lit(-1)), F.lit(0.0)))
-
-    def marks(at: str) -> Column:
-        if segmentation:
-            inside = lambda e, i, c: (e["label"] == c) & (i >= e["first"]) & (i < e["first"] + e["frames"])
-            if at == "last":
-                return F.transform(frames, lambda i: F.transform(labels, lambda c: F.lit(0.0)))
-            return F.transform(frames, lambda i: F.transform(labels, lambda c: F.exists(placed, lambda e: inside(e, i, c)).cast("double")))
-        value = lambda e, c: F.when(e["label"] == -1, F.lit(1.0 / n_classes)).when(e["label"] == c, 1.0)
-        last = lambda i, c: F.filter(F.transform(F.filter(placed, lambda e: e[at] == i), lambda e: value(e, c)), lambda v: v.isNotNull())
-        return F.transform(frames, lambda i: F.transform(labels, lambda c: F.coalesce(F.try_element_at(last(i, c), F.lit(-1)), F.lit(0.0))))
-
-    return F.struct(
-        anchors("first").alias("anchor"), durations("first").alias("regression"), marks("first").alias("classes"),
-        anchors("last").alias("rev_anchor"), durations("last").alias("rev_regression"), marks("last").alias("rev_classes"),
-    )
-
-
-def n_frames(samples: int, scale: int) -> int:
-    """Frames of a signal at one per `scale` samples, the last perhaps short."""
-    return math.ceil(samples / scale)
-
-
-def usable(resampled: Column, original: Column, rate: int) -> Column:
-    """The resampled signal, or the original where that is missing (its decode failed) or shorter than a second."""
-    return F.when(F.coalesce(F.size(resampled), F.lit(-1)) >= rate, resampled).otherwise(original)
-
-
-def stack_batches(df: DataFrame, name: str, size: int, n: int | None = None) -> DataFrame:
-    """batch, stacked: signals of `size` numbered rows at a time, in order, all padded to n samples or to the batch's longest."""
-    rows = table.batches(df, size).select("batch", F.col(table.ORDINAL).alias("at"), F.col(name).alias("signal"))
-    groups = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("at", "signal"))).alias("rows"), F.max(F.size("signal")).alias("longest"))
-    zeros = lambda x, to: F.concat(F.slice(x, F.lit(1), to), F.array_repeat(F.lit(0.0).cast("float"), F.greatest(to - F.size(x), F.lit(0))))
-    to = F.col("longest") if n is None else F.lit(n)
-    return groups.select("batch", F.transform("rows", lambda r: zeros(r["signal"], to)).alias("stacked"))
-
-
 def issues(signal: Column, least: int = 10) -> Column:
     """The first quality issue of a signal, or null: too short, not a number, silent."""
     return (
@@ -229,38 +167,6 @@ def _taps(rate: int, target: int, zeros: int) -> tuple[int, int, np.ndarray]:
     return up, down, cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / (half + 1), -1, 1)))
 
 
-def qc_issues(signal: Column, rate: Column | int, events: Column, species: Column | None = None, known: Sequence[str] = (), canonical: Sequence[str] = (), least: int = 10) -> Column:
-    """All quality issues of a row, in order: of the signal, of the events against it, and of the species.
-
-    A signal that is null could not be read, and has no other issue. Of the species only the first
-    is named: unknown (not in `known`) or non-canonical (known, not in `canonical`).
-    """
-    rate = F.lit(rate) if isinstance(rate, int) else rate
-    begins = F.array_max(F.transform(events, lambda e: e["begin"]))
-    found = [
-        F.when(F.size(signal) < least, "too_short"),
-        F.when(F.exists(signal, lambda x: F.isnan(x) | x.isNull()), "nan_in_audio"),
-        F.when(F.forall(signal, lambda x: x == 0), "all_zeros"),
-        F.when(F.coalesce(begins, F.lit(0.0)) > F.size(signal) / rate + 1e-6, "events_after_audio"),
-        F.when(F.exists(events, lambda e: e["end"] - e["begin"] <= 0), "events of dur <= 0"),
-    ]
-    if species is not None:
-        inside = lambda names: species.isin(list(names))
-        found.append(F.when(~F.coalesce(inside(known), F.lit(False)), "unknown_species").when(~inside(canonical), "non_canonical_species"))
-    return F.when(signal.isNull(), F.array(F.lit("read_audio_failed"))).otherwise(F.filter(F.array(*found), lambda x: x.isNotNull()))
-
-
-@functools.cache
-def _taps(rate: int, target: int, zeros: int) -> tuple[int, int, np.ndarray]:
-    """Steps (up, down) and the weights of each of the `up` phases, made once per pair of rates."""
-    g = math.gcd(rate, target)
-    up, down = target // g, rate // g
-    cut = min(1.0, target / rate)
-    half = int(np.ceil(zeros / cut))
-    t = np.arange(-half, half + 1)[None, :] - (np.arange(up) / up)[:, None]
-    return up, down, cut * np.sinc(cut * t) * (0.5 + 0.5 * np.cos(np.pi * np.clip(t / (half + 1), -1, 1)))
-
-
 def resample_array(signal: np.ndarray, rate: int, target: int, zeros: int = 32) -> np.ndarray:
     """Band-limited resampling by a Hann-windowed sinc, in blocks, so memory is bounded by the signal."""
     if rate == target or not len(signal):
@@ -316,7 +222,7 @@ def register_decoder(recognises: Callable[[bytes], bool], decode: Callable) -> N
     _DECODERS.insert(0, (recognises, decode))
 
 
-def decode_audio(source, start: float | None = None, end: float | None = None) -> tuple[np.ndarray, int]:
+def decode_audio(source, start: float | None = None, end: float | None = None, decoders: Sequence[tuple] | None = None) -> tuple[np.ndarray, int]:
     """Samples (frames, channels) as float32 and the rate, from bytes or a seekable file; a window reads only its frames.
 
     The first decoder that recognises the head and does not fail counts, so a second one for a format is a fall-back.
@@ -325,7 +231,7 @@ def decode_audio(source, start: float | None = None, end: float | None = None) -
         raise ValueError("the window ends before it starts")
     file = io.BytesIO(source) if isinstance(source, (bytes, bytearray, memoryview)) else source
     head, failed = file.read(16), []
-    for recognises, decode in _DECODERS:
+    for recognises, decode in _DECODERS if decoders is None else decoders:
         if recognises(head):
             file.seek(0)
             try:
@@ -368,17 +274,15 @@ def encode_wav(signal: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-register_decoder(_is_wav, decode_wav)
-
 register_decoder(_is_wav, decode_wav)
 
 AUDIO = "path string, sample_rate int, channels int, signal array<array<float>>, error string"
 WINDOW = ("_start", "_end")
 
 
-def _audio_row(open_file: Callable, start: float | None, end: float | None) -> tuple:
+def _audio_row(open_file: Callable, start: float | None, end: float | None, decoders: Sequence[tuple]) -> tuple:
     try:
-        signal, rate = decode_audio(open_file(), start, end)
+        signal, rate = decode_audio(open_file(), start, end, decoders)
         return rate, signal.shape[1], np.ascontiguousarray(signal.T), None
     except (UnreadableAudio, wave.Error, EOFError, ValueError, OSError) as e:
         return None, None, None, f"{type(e).__name__}: {e}"
@@ -399,26 +303,28 @@ def _audio_batch(paths: list, found: list[tuple]):
 def decode_files(files: DataFrame, start: str | None = None, end: str | None = None) -> DataFrame:
     """A table of path and content -> samples by channel, of the window that two columns may give; what cannot be decoded has an error instead."""
     bound = lambda c: (F.lit(None) if c is None else F.col(c)).cast("double")
+    decoders = list(_DECODERS)
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 paths, contents, starts, ends = (batch.column(k)[at : at + 16].to_pylist() for k in range(4))
-                yield _audio_batch(paths, [_audio_row(lambda c=c: io.BytesIO(c), a, b) for c, a, b in zip(contents, starts, ends)])
+                yield _audio_batch(paths, [_audio_row(lambda c=c: io.BytesIO(c), a, b, decoders) for c, a, b in zip(contents, starts, ends)])
 
     return files.select("path", "content", bound(start).alias(WINDOW[0]), bound(end).alias(WINDOW[1])).mapInArrow(run, AUDIO)
 
 
-def read_audio(df: DataFrame, path: str, root: str = "", start: str | None = None, end: str | None = None) -> DataFrame:
-    """The rows of a manifest with path (under root), sample_rate, channels, signal and error: each file is opened where its row is, and of a window only its frames are read.
+def read_audio(df: DataFrame, path: str, root: str = "", start: str | None = None, end: str | None = None, fall_back: str | None = None) -> DataFrame:
+    """The rows of a manifest with sample_rate, channels, signal and error: each file is opened where its row is, and of a window only its frames are read.
 
     Null bounds take the whole file; a window that ends before it starts, a missing file and an unknown codec give an error row.
+    fall_back names a second path, read where the first cannot be or is shorter than a second.
     """
     bound = lambda c: (F.lit(None) if c is None else F.col(c)).cast("double")
     extra = [T.StructField("sample_rate", T.IntegerType()), T.StructField("channels", T.IntegerType()), T.StructField("signal", T.ArrayType(T.ArrayType(T.FloatType()))), T.StructField("error", T.StringType())]
     kept = [c for c in df.columns if c not in {f.name for f in extra}]
     rows = df.select(*[F.col(f"`{c}`") for c in kept], bound(start).alias(WINDOW[0]), bound(end).alias(WINDOW[1]))
-    schema = T.StructType([*[df.schema[c] for c in kept], *extra])
+    schema, decoders = T.StructType([*[df.schema[c] for c in kept], *extra]), list(_DECODERS)
 
     def opened(name: str | None):
         if name is None:
@@ -426,6 +332,11 @@ def read_audio(df: DataFrame, path: str, root: str = "", start: str | None = Non
         store, at = open_store(f"{root.rstrip('/')}/{name}" if root else name)
         return store.open_input_file(at)
 
+    def one(first: str | None, second: str | None, a: float | None, b: float | None) -> tuple:
+        found = _audio_row(lambda: opened(first), a, b, decoders)
+        poor = found[2] is None or found[2].shape[1] < found[0]
+        return _audio_row(lambda: opened(second), a, b, decoders) if poor and second is not None and second != first else found
+
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -433,7 +344,8 @@ def read_audio(df: DataFrame, path: str, root: str = "", start: str | None = Non
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
                 paths, starts, ends = (part.column(c).to_pylist() for c in (path, *WINDOW))
-                audio = _audio_batch(paths, [_audio_row(lambda p=p: opened(p), a, b) for p, a, b in zip(paths, starts, ends)])
+                seconds = part.column(fall_back).to_pylist() if fall_back else [None] * len(paths)
+                audio = _audio_batch(paths, [one(*x) for x in zip(paths, seconds, starts, ends)])
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *audio.columns[1:]], [*kept, *audio.schema.names[1:]])
 
     return rows.mapInArrow(run, schema)
@@ -476,7 +388,7 @@ def write_resampled(df: DataFrame, path: str, root: str, export: str, target: in
     A file is written under a name of its own and then moved, so a lost task leaves no half file.
     It runs when the result does: write the status rows once, then read them.
     """
-    folder = rate_folder(target)
+    folder, decoders = rate_folder(target), list(_DECODERS)
 
     def run(batches: Iterator) -> Iterator:
         import os
@@ -497,7 +409,7 @@ def write_resampled(df: DataFrame, path: str, root: str, export: str, target: in
                         continue
                     store, at = open_store(f"{root.rstrip('/')}/{name}")
                     with store.open_input_file(at) as f:
-                        signal, rate = decode_audio(f)
+                        signal, rate = decode_audio(f, decoders=decoders)
                     raw = encode_wav(resample_array(signal.mean(axis=1), rate, target), target)
                     store, at = open_store(goal)
                     store.create_dir(at.rpartition("/")[0], recursive=True)
