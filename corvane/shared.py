@@ -99,8 +99,8 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def fits(table: DataFrame) -> bool:
-    """Whether a table's rows take at most BROADCAST_BYTES: 8 bytes a row and a column, and its strings and binaries.
+def fits(table: DataFrame, most: int | None = None) -> bool:
+    """Whether a table's rows take at most `most` bytes (BROADCAST_BYTES): 8 bytes a row and a column, and its strings and binaries.
 
     Columns of other kinds without a fixed size do not fit. One narrow aggregate; pass a saved or small table.
     """
@@ -108,7 +108,7 @@ def fits(table: DataFrame) -> bool:
     if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in table.schema.fields):
         return False
     sums = table.agg(F.count(F.lit(1)), *[F.sum(F.octet_length(F.col(f"`{c}`")) + 8) for c in wide]).first()
-    return sums[0] * (16 + 8 * len(table.columns)) + sum(s or 0 for s in sums[1:]) <= BROADCAST_BYTES
+    return sums[0] * (16 + 8 * len(table.columns)) + sum(s or 0 for s in sums[1:]) <= (BROADCAST_BYTES if most is None else most)
 
 
 def small(table: DataFrame) -> DataFrame:
