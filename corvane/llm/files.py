@@ -4,12 +4,9 @@ from __future__ import annotations
 
 import uuid
 
+from ..sources.files import open_store
 
-def open_store(uri: str):
-    """File system and plain path of a folder URI or path."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith(("/", "file:")) else (fs.LocalFileSystem(), uri)
+__all__ = ["fresh_name", "open_store"]
 
 
 def fresh_name(folder: str, stem: str, suffix: str) -> str:

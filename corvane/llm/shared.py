@@ -1,105 +1,81 @@
-"""Shared-folder tables and joins that stay even when one key is hot."""
+"""What the corpus operators share beyond the engine: zstandard dictionaries and slices of samples."""
 
 from __future__ import annotations
 
-import functools
-import operator
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of the rows on; so there are at most HOT_SHARE hot keys.
-HOT_SHARE = 1000
+from ..shared import discard, fits, join_by_group, only, saved, scratch, shared_root, small, unused
 
-#: Groups of up to so many rows are broadcast; more are split into hot and other keys.
-BROADCAST_ROWS = 300_000
+__all__ = [
+    "dictionary_of", "discard", "fits", "join_by_group", "keep_once", "only", "saved", "scratch", "shared_root", "slices", "small", "text_mark", "unused", "without",
+]
 
-_LOCAL: dict[str, str] = {}
+#: Keys of rows to drop are broadcast up to so many bytes; the other way is to shuffle whole documents.
+KEY_BYTES = 32 << 20
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see (spark.checkpoint.dir).
+def text_mark(digest: Column) -> Column:
+    """60 bits of a digest in hexadecimal: with the id of a row they tell its text from others of that id."""
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-    Where the setting is missing (tests on one machine) a temporary folder
-    takes its place.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="corvane-")
-    return _LOCAL[app]
 
+def _matched(docs: DataFrame, keys: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """docs joined with distinct keys (a saved table) on columns, null equal to null, by broadcast where the keys are few."""
+    names = [unused(docs, f"gone_{k}") for k in range(len(columns))]
+    keys = keys.toDF(*names)
+    if fits(keys, KEY_BYTES):
+        keys = F.broadcast(keys)
+    return docs.join(keys, [docs[c].eqNullSafe(keys[n]) for c, n in zip(columns, names)], how)
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+def without(docs: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    """docs without the rows whose columns are in keys."""
+    return _matched(docs, keys, columns, "left_anti")
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._corvane_path = path
-    return out
 
+def keep_once(docs: DataFrame, gone: DataFrame, again: DataFrame, columns: list[str]) -> DataFrame:
+    """docs without the rows whose columns are in gone, and with one row of each that is in again. Both are saved tables of distinct keys."""
+    out = without(docs, gone, columns)
+    if again.isEmpty():
+        return out
+    # only the repeated rows are shuffled; of each group the map side keeps one
+    once = _matched(out, again, columns, "left_semi").dropDuplicates(columns)
+    return without(out, again, columns).unionByName(once)
 
-def unused(df: DataFrame, name: str) -> str:
-    """name, lengthened until df has no column called so in any case of letters."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+#: The smallest dictionary that zstandard makes, and the fewest samples that its trainer takes.
+LEAST_DICTIONARY, LEAST_SAMPLES = 256, 8
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by saved() once nothing lazy reads them any more."""
-    for table in tables:
-        path = getattr(table, "_corvane_path", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            target.getFileSystem(conf).delete(target, True)
+def slices(raw: bytes, most: int, parts: int = 8, unit: int = 1) -> bytes:
+    """Up to `most` bytes of raw, in equal slices spread evenly over it, each beginning at a multiple of unit."""
+    if len(raw) <= most:
+        return raw
+    size = most // parts // unit * unit
+    starts = [(len(raw) - size) * k // (parts - 1) // unit * unit for k in range(parts)]
+    return b"".join(raw[at : at + size] for at in starts)
 
 
 def dictionary_of(samples: list[bytes], most: int) -> bytes:
-    """A zstandard dictionary of an eighth of the sample, `most` bytes at most.
+    """A zstandard dictionary of an eighth of the samples, of 256 bytes at least and `most` at most.
 
-    Empty for fewer than 16 samples, for less than 2 KiB of them (zstandard makes no
-    dictionary under 256 bytes) and where the trainer finds nothing to put into one.
+    Samples too few or too short for the trainer are cut into pieces; where it still finds nothing
+    that repeats, the samples themselves, the last `most` bytes of them, are the dictionary's content.
+    Empty only if all samples are.
     """
     import zstandard
 
-    size = min(most, sum(map(len, samples)) // 8)
-    if len(samples) < 16 or size < 256:
+    samples = [s for s in samples if s]
+    total = sum(map(len, samples))
+    if not total:
         return b""
+    size = max(LEAST_DICTIONARY, min(most, total // 8))
+    pieces = samples
+    if len(samples) < LEAST_SAMPLES:
+        step = max(8, total // (4 * LEAST_SAMPLES))
+        pieces = [s[at : at + step] for s in samples for at in range(0, len(s), step)]
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, pieces).as_bytes()
     except zstandard.ZstdError:
-        return b""
-
-
-def join_by_group(rows: DataFrame, groups: DataFrame, keys: list[str], n_rows: int, how: str = "inner") -> DataFrame:
-    """rows join groups (inner or left) on keys, whatever a key's share of the rows.
-
-    groups has one row per key and a column group_rows: how many of the n_rows
-    rows share it at most. Up to BROADCAST_ROWS groups are broadcast. Of more, keys
-    holding at least 1/HOT_SHARE of the rows are so few that they are broadcast; the
-    others are shuffled, and none of them is large. groups is read several times:
-    pass a saved table. Null keys match nothing, and are not shuffled.
-    """
-    if groups.count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(groups), keys, how)
-    least = max(2, -(-n_rows // HOT_SHARE))
-    hot = groups.where(F.col("group_rows") >= least)
-    rest = groups.where(F.col("group_rows") < least)
-    many = rows.join(F.broadcast(hot), keys, "inner")
-    known = functools.reduce(operator.and_, (F.col(k).isNotNull() for k in keys))
-    few = rows.where(known).join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
-    out = many.unionByName(few)
-    return out.unionByName(rows.where(~known), allowMissingColumns=True) if how == "left" else out
+        # content without the magic number of a trained dictionary is a raw one
+        return b"".join(samples)[-most:]
