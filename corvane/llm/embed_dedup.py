@@ -4,13 +4,16 @@ A unit vector u is quantised as u = s*q + d with q in int8 and |d| known. For tw
 |u.v - s*t*(q.p)| <= |d_u| + (1 + |d_u|) * |d_v|, so only pairs whose product plus bound
 reaches the threshold are computed in double precision. Equal vectors form a class
 first. Classes are dealt to cells around pivots; two cells whose angle, less their
-radii, exceeds the angle of the threshold hold no links and are never paired. A
+radii, exceeds the angle of the threshold hold no links and are never paired. Tiles,
+parts of cells, meet twice: first as codes alone, which tell the rows that may have a
+link in the other tile; then those rows alone, with their whole vectors. A
 pair of tiles yields link counts and a spanning forest of its links, not the pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .components import components
-from .shared import join_by_group, saved
+from .components import class_components, repeated_ids, with_components
+from .shared import only, saved, small
 
-#: Vectors of a tile, of a block of products within it, and pivots at most.
-TILE, BLOCK, PIVOTS = 4096, 1024, 256
+#: Vectors of a tile at most and, unless the table has fewer, at least; of a block of products within it; and pivots at most, of each length of vectors.
+TILE, LEAST_TILE, BLOCK, PIVOTS = 1 << 15, 1024, 1024, 256
+
+#: Pairs of tiles are dealt to so many tasks at most; more pairs share tasks.
+MOST_TASKS = 20_000
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,28 +48,42 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def links(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with cosine >= threshold, block by block. No row may be zero or non-finite."""
-    def prepared(v: np.ndarray) -> tuple:
-        norm = np.sqrt((v * v).sum(axis=1))
-        codes, scale, error = quantise(v / norm[:, None])
-        return norm, codes, scale, error
-
-    nx, qx, sx, ex = prepared(x)
-    ny, qy, sy, ey = prepared(y)
-    for i in range(0, len(x), BLOCK):
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Rows times the power of two that brings their largest component near 1: exact, and no square overflows or vanishes."""
+    _, exponent = np.frexp(np.abs(v).max(axis=1, initial=0.0))
+    return np.ldexp(v, -exponent[:, None])
+
+
+def prepared(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Norms of scaled rows, and codes, scales and error norms of their unit vectors."""
+    norm = np.sqrt((v * v).sum(axis=1))
+    return norm, *quantise(v / norm[:, None])
+
+
+def possible(a: tuple, b: tuple, threshold: float) -> Iterator[tuple[slice, slice, np.ndarray]]:
+    """Blocks of rows of a and of b (codes, scales, errors each), and which of their pairs may reach the threshold."""
+    (qx, sx, ex), (qy, sy, ey) = a, b
+    for i in range(0, len(qx), BLOCK):
         rows = slice(i, i + BLOCK)
-        for j in range(0, len(y), BLOCK):
+        for j in range(0, len(qy), BLOCK):
             cols = slice(j, j + BLOCK)
             upper = products(qx[rows], qy[cols]) * sx[rows, None] * sy[None, cols]
             upper += ex[rows, None] + (1 + ex[rows, None]) * ey[None, cols] + 1e-6
-            a, b = np.nonzero(upper >= threshold)
-            a, b = a + i, b + j
-            for k in range(0, len(a), 1 << 16):
-                p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                cosine = (x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q])
-                yes = cosine >= threshold
-                yield p[yes], q[yes]
+            yield rows, cols, upper >= threshold
+
+
+def links(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with cosine >= threshold, block by block. Rows are scaled; none may be zero or non-finite."""
+    nx, *cx = prepared(x)
+    ny, *cy = prepared(y)
+    for rows, cols, may in possible(cx, cy, threshold):
+        a, b = np.nonzero(may)
+        a, b = a + rows.start, b + cols.start
+        for k in range(0, len(a), 1 << 16):
+            p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+            cosine = (x[p] * y[q]).sum(axis=1) / (nx[p] * ny[q])
+            yes = cosine >= threshold
+            yield p[yes], q[yes]
 
 
 class _Forest:
@@ -104,10 +124,7 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                 values = v.values
                 ok = v.is_valid and len(values) and not values.null_count
                 array = np.asarray(values.to_numpy(zero_copy_only=False), kind) + kind(0) if ok else None
-                if ok:
-                    with np.errstate(over="ignore"):
-                        size = np.square(array, dtype=np.float64).sum()
-                    ok = bool(np.isfinite(size) and size > 0)
+                ok = bool(ok and np.isfinite(array).all() and array.any())
                 raw = array.tobytes() if ok else None
                 vectors.append(raw)
                 digests.append(hashlib.blake2b(raw, digest_size=16).hexdigest() if ok else None)
@@ -117,61 +134,69 @@ def _vectors(rows: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _matrix(raw: list[bytes], kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64)
+    return scaled(np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64))
+
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
-def _placed(classes: DataFrame, pivots: np.ndarray, kind: type) -> DataFrame:
-    """classes with the nearest pivot (cell) and the angle to it."""
+
+def _coded(classes: DataFrame, pivots: dict[int, np.ndarray], kind: type) -> DataFrame:
+    """cid, rep, group_rows, width, the nearest pivot (cell) and the angle to it, and codes, scale and error; widths without pivots are one cell, 0."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            if batch.num_rows:
-                x = _matrix(batch.column(2).to_pylist(), kind)
-                cosine = (x / np.sqrt((x * x).sum(axis=1))[:, None]) @ shared.value.T
-                cell = cosine.argmax(axis=1)
-                angle = np.arccos(np.clip(cosine[np.arange(len(x)), cell], -1, 1))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], [*batch.schema.names, "cell", "angle"])
-
-    return classes.mapInArrow(run, "rep long, group_rows long, vector binary, cell int, angle double")
+            widths = batch.column(3).to_numpy()
+            for width in np.unique(widths).tolist():
+                part = batch.filter(pa.array(widths == width))
+                x = _matrix(part.column(4).to_pylist(), kind)
+                cell, angle = np.zeros(len(x), np.int32), np.zeros(len(x))
+                if width in shared.value:
+                    cosine = _unit(x) @ shared.value[width].T
+                    cell = cosine.argmax(axis=1).astype(np.int32)
+                    angle = np.arccos(np.clip(cosine[np.arange(len(x)), cell], -1, 1))
+                _, codes, scale, error = prepared(x)
+                columns = [*part.columns[:4], pa.array(cell), pa.array(angle), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(scale), pa.array(error)]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "rep", "group_rows", "width", "cell", "angle", "codes", "scale", "error"])
+
+    schema = "cid long, rep long, group_rows long, width int, cell int, angle double, codes binary, scale double, error double"
+    return classes.select("cid", "rep", "group_rows", "width", "vector").mapInArrow(run, schema)
 
 
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row per input row: vec_id, n_links, component_id (smallest id reachable), kept.
 
-    All vectors of one length are compared by cosine in double precision. Null and
-    empty vectors, zero vectors and those with null or non-finite components (or so
-    large that their length is) link with nothing, nor do rows with a null id, whose
+    All vectors of one length are compared by cosine in double precision, whatever their size.
+    Null and empty vectors, zero vectors and those with null or non-finite components
+    link with nothing, nor do rows with a null id, whose
     component is null; all these are kept. Rows that repeat a vector link with each
-    other; rows of one id count as one node of the components. Only id and vector are
+    other; n_links counts the other rows that a row's vector links with. Rows of one
+    id are one node of the components, whatever their vectors: all have one
+    component_id, and all are kept or none. Only id and vector are
     read; an empty table gives an empty one.
     """
-    vectors = saved(_vectors(rows, id_col, vec_col), "vectors")
-    known = vectors.where("digest is not null and vec_id is not null")
-    grouped = known.groupBy("digest", F.length("vector").alias("width")).agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("group_rows"), F.first("vector").alias("vector"))
-    classes = saved(grouped, "vector-classes")
-    found = []
-    for (width,) in classes.select("width").distinct().orderBy("width").collect():
-        found.append(_tiles(classes.where(F.col("width") == width).select("rep", "group_rows", "vector"), threshold, _precision(rows, vec_col)))
-    empty = classes.sparkSession.createDataFrame([], "a long, b long, n long")
-    linked = empty
-    for f in found:
-        linked = linked.unionByName(f)
-    linked = saved(linked, "vector-links")
-    counts = linked.groupBy("a").agg(F.sum("n").alias("n"))
-    parts = saved(components(linked.select("a", "b")), "components")
-    placed = classes.select("digest", "rep", "group_rows").join(counts, F.col("rep") == F.col("a"), "left").drop("a").join(parts, F.col("rep") == F.col("id"), "left")
-    groups = placed.select("digest", "group_rows", F.coalesce("component_id", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("group_rows") - 1).alias("n_links"))
-    groups = saved(groups, "vector-groups")
-    n = classes.agg(F.sum("group_rows")).first()[0] or 0
-    usable = F.when(F.col("vec_id").isNotNull(), F.col("digest"))
-    every = join_by_group(vectors.select("vec_id", usable.alias("digest")), groups, ["digest"], n, "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
-    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    )
+    with only() as keep:
+        vectors = saved(_vectors(rows, id_col, vec_col), "vectors")
+        known = vectors.where("digest is not null and vec_id is not null")
+        grouped = known.groupBy("digest").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("group_rows"), F.first("vector").alias("vector"))
+        kind = _precision(rows, vec_col)
+        width = (F.length("vector") / np.dtype(kind).itemsize).cast("int")
+        classes = saved(grouped.withColumns({"cid": F.monotonically_increasing_id(), "width": width}), "vector-classes")
+        linked = saved(_linked(classes, threshold, kind), "vector-links")
+        counts = linked.groupBy(F.col("c").alias("cid")).agg(F.sum("n").alias("n"))
+        usable = F.when(F.col("vec_id").isNotNull(), F.col("digest"))
+        narrow = saved(vectors.select(F.col("vec_id").alias("id"), usable.alias("digest")), "vector-rows")
+        by_digest, by_id = class_components(narrow, classes, linked.select(F.col("c").alias("a"), F.col("d").alias("b")), repeated_ids(narrow))
+        placed = classes.select("digest", "cid", "rep", "group_rows").join(counts, "cid", "left").join(by_digest, "digest", "left").where("group_rows > 1 or n is not null or component_id is not null")
+        links_of = F.coalesce("n", F.lit(0)) + F.col("group_rows") - 1
+        groups = saved(placed.select("digest", "group_rows", F.coalesce("component_id", "rep").alias("component_id"), links_of.alias("n_links")), "vector-groups")
+        every = saved(with_components(narrow, groups, by_id, narrow.count()).select("id", "n_links", "component_id"), "vector-result")
+        keep.append(every)
+    out = every.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def _pairs(cells: dict[int, tuple[int, float]], pivots: np.ndarray, threshold: float) -> list[tuple[int, int]]:
@@ -181,49 +206,111 @@ def _pairs(cells: dict[int, tuple[int, float]], pivots: np.ndarray, threshold: f
     return [(a, b) for a in sorted(cells) for b in sorted(cells) if a == b or (a < b and between[a, b] - cells[a][1] - cells[b][1] <= limit)]
 
 
-_TILES = ["a", "slot_a", "b", "slot_b"]
+_TILES = ["width", "a", "slot_a", "b", "slot_b"]
+
 
+def tile_size(n: int, tasks: int) -> int:
+    """Vectors per tile: so many that pairs of tiles keep `tasks` tasks busy about twice, within LEAST_TILE and TILE.
 
-def _dealt(placed: DataFrame, cells: dict[int, tuple[int, float]], pairs: list[tuple[int, int]]) -> DataFrame:
-    """Every row once for each pair of tiles it is part of. Only pairs of cells are broadcast; pairs of tiles are spelled out row by row."""
-    slots = {c: -(-n // TILE) for c, (n, _) in cells.items()}
-    sides = [(a, a, b, 0, slots[a], slots[b]) for a, b in pairs] + [(b, a, b, 1, slots[b], slots[a]) for a, b in pairs]
-    plan = placed.sparkSession.createDataFrame(sides, "cell int, a int, b int, side int, slots int, others int")
-    own = placed.join(F.broadcast(plan), "cell").withColumn("slot", F.pmod(F.xxhash64("rep"), F.col("slots")).cast("int"))
+    Up to TILE * sqrt(4 * tasks) vectors a row is dealt to the same number of tiles, whatever n.
+    """
+    return max(min(LEAST_TILE, TILE), min(TILE, math.ceil(n / math.ceil(math.sqrt(4 * tasks)))))
+
+
+def _dealt(coded: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Every row once for each pair of tiles it is part of. plan: width, cells a <= b and the slots (tiles) of each.
+
+    Only pairs of cells are joined; pairs of tiles are spelled out row by row.
+    """
+    sides = [(w, a, a, b, 0, m, n) for w, a, b, m, n in plan] + [(w, b, a, b, 1, n, m) for w, a, b, m, n in plan]
+    table = coded.sparkSession.createDataFrame(sides, "width int, cell int, a int, b int, side int, slots int, others int")
+    own = coded.join(small(table), ["width", "cell"]).withColumn("slot", F.pmod(F.xxhash64("cid"), F.col("slots")).cast("int"))
     # within a cell a tile meets itself and the later ones; with itself its rows come once, on side 0
     same = F.col("a") == F.col("b")
     low = F.when(same & (F.col("side") == 0), F.col("slot")).otherwise(0)
     high = F.when(same & (F.col("side") == 1), F.col("slot")).otherwise(F.col("others")) - 1
     met = own.withColumn("other", F.explode(F.when(low <= high, F.sequence(low, high))))
     first, second = F.when(F.col("side") == 0, F.col("slot")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("slot"))
-    return met.select("a", first.alias("slot_a"), "b", second.alias("slot_b"), "side", "rep", "group_rows", "vector")
+    return met.select("width", "a", first.alias("slot_a"), "b", second.alias("slot_b"), "side", "cid", "codes", "scale", "error")
+
+
+def _by_tiles(batches: Iterator, work) -> Iterator:
+    """work(tile pair, sides, rows of the other columns) for the rows of each pair of tiles, which follow one another."""
+    at, rows = None, []
+    for batch in batches:
+        for *pair, side, row in zip(*(batch.column(c).to_pylist() for c in range(6)), zip(*(batch.column(c).to_pylist() for c in range(6, batch.num_columns)))):
+            if pair != at:
+                if rows:
+                    yield from work(at, rows)
+                at, rows = pair, []
+            rows.append((side, row))
+    if rows:
+        yield from work(at, rows)
 
 
-def _tiles(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
-    """a, b, n: for classes with links, n linked rows of other classes, and b in the same component (perhaps a itself)."""
+def _linked(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
+    """c, d, n: for classes with links, n linked rows of other classes, and a class d in the same component (perhaps c itself)."""
     spark = classes.sparkSession
-    total = classes.count()
-    k = int(min(PIVOTS, max(1, -(-total // TILE))))
-    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(k).collect()
-    pivots = _matrix([bytes(r.vector) for r in chosen], kind)
-    pivots = pivots / np.sqrt((pivots * pivots).sum(axis=1))[:, None]
-    placed = saved(_placed(classes, pivots, kind), "vector-cells")
-    cells = {r.cell: (r.n, r.radius) for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
-    pairs = _pairs(cells, pivots, threshold)
-    dealt = _dealt(placed, cells, pairs)
-    slots = {c: -(-n // TILE) for c, (n, _) in cells.items()}
-    tasks = sum(slots[c] * (slots[d] if c != d else slots[c] + 1) // (1 if c != d else 2) for c, d in pairs)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(tasks, 2000))
+    tasks = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = {r.width: r.n for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(TILE, LEAST_TILE)).collect()}
+    pivots, plan = {}, []
+    for width, n in sorted(sizes.items()):
+        k = min(PIVOTS, max(1, math.ceil(n / tile_size(n, tasks))))
+        chosen = classes.where(F.col("width") == width).orderBy(F.xxhash64("cid"), "cid").limit(k).select("vector").collect()
+        pivots[width] = _unit(_matrix([bytes(r.vector) for r in chosen], kind))
+    coded = saved(_coded(classes, pivots, kind), "vector-codes")
+    found: dict[int, dict[int, tuple[int, float]]] = {}
+    for r in coded.where(F.col("width").isin(list(sizes))).groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
+        found.setdefault(r.width, {})[r.cell] = (r.n, r.radius)
+    for width, cells in sorted(found.items()):
+        tile = tile_size(sizes[width], tasks)
+        slots = {c: math.ceil(n / tile) for c, (n, _) in cells.items()}
+        plan += [(width, a, b, slots[a], slots[b]) for a, b in _pairs(cells, pivots[width], threshold)]
+    # vectors of lengths that few have are one tile each
+    few = coded.where(~F.col("width").isin(list(sizes)))
+    alone = few.select("width", *[F.lit(0).alias(c) for c in (*_TILES[1:], "side")], "cid", "codes", "scale", "error")
+    dealt = _dealt(coded, plan).unionByName(alone) if plan else alone
+    pairs = sum(m * n if a != b else m * (m + 1) // 2 for _, a, b, m, n in plan)
+    parts = max(tasks, min(pairs, MOST_TASKS))
+
+    def survivors(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
+        def work(pair: list, rows: list[tuple]) -> Iterator:
+            split = sum(1 for side, _ in rows if side == 0)
+            alone = split == len(rows)
+            codes = np.frombuffer(b"".join(r[1] for _, r in rows), np.int8).reshape(len(rows), -1)
+            scale, error = np.array([r[2] for _, r in rows]), np.array([r[3] for _, r in rows])
+            first = codes[:split], scale[:split], error[:split]
+            second = first if alone else (codes[split:], scale[split:], error[split:])
+            hit = np.zeros(len(rows), bool)
+            for i, j, may in possible(first, second, threshold):
+                if alone:
+                    if i.start > j.start:
+                        continue
+                    if i.start == j.start:
+                        np.fill_diagonal(may, False)
+                hit[:split][i] |= may.any(axis=1)
+                (hit if alone else hit[split:])[j] |= may.any(axis=0)
+            some = np.flatnonzero(hit).tolist()
+            if some:
+                names = [*_TILES, "side", "cid"]
+                columns = [pa.array([x] * len(some), pa.int32()) for x in pair] + [pa.array([rows[i][0] for i in some], pa.int32()), pa.array([rows[i][1][0] for i in some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        yield from _by_tiles(batches, work)
+
+    schema = "width int, a int, slot_a int, b int, slot_b int, side int, cid long"
+    left = saved(dealt.repartition(parts, *_TILES).sortWithinPartitions(*_TILES, "side").mapInArrow(survivors, schema), "survivors")
+
+    def confirmed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def work(rows: list[tuple]) -> Iterator:
-            side = np.array([r[0] for r in rows])
-            reps, sizes = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
-            x = _matrix([r[3] for r in rows], kind)
-            split = int(np.searchsorted(side, 1))
+        def work(pair: list, rows: list[tuple]) -> Iterator:
+            split = sum(1 for side, _ in rows if side == 0)
             alone = split == len(rows)
+            cids, sizes = np.array([r[0] for _, r in rows], np.int64), np.array([r[1] for _, r in rows], np.int64)
+            x = _matrix([r[2] for _, r in rows], kind)
             counts, forest = np.zeros(len(rows), np.int64), _Forest(len(rows))
             for i, j in links(x[:split], x if alone else x[split:], threshold):
                 if alone:
@@ -236,17 +323,9 @@ def _tiles(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
                 forest.add(i, j)
             hit = np.flatnonzero(counts)
             if len(hit):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[hit]), pa.array(reps[forest.label[hit]]), pa.array(counts[hit])], ["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(cids[hit]), pa.array(cids[forest.label[hit]]), pa.array(counts[hit])], ["c", "d", "n"])
 
-        at, rows = None, []
-        for batch in batches:
-            for *pair, side, rep, size, vector in zip(*(c.to_pylist() for c in batch.columns)):
-                if pair != at:
-                    if rows:
-                        yield from work(rows)
-                    at, rows = pair, []
-                rows.append((side, rep, size, vector))
-        if rows:
-            yield from work(rows)
-
-    return dealt.repartition(parts, *_TILES).sortWithinPartitions(*_TILES, "side").mapInArrow(run, "a long, b long, n long")
+        yield from _by_tiles(batches, work)
+
+    whole = small(left).join(classes.select("cid", "group_rows", "vector"), "cid").select(*_TILES, "side", "cid", "group_rows", "vector")
+    return whole.repartition(parts, *_TILES).sortWithinPartitions(*_TILES, "side").mapInArrow(confirmed, "c long, d long, n long")
