@@ -22,25 +22,22 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import components
-from .shared import BROADCAST_ROWS, discard, join_by_group, saved
+from .components import class_components, components, repeated_ids, with_components
+from .shared import join_by_group, keep_once, only, saved, small, text_mark, unused
 from .textcols import code_points, lower_ascii, mix64, range_hashes, sub_batches, word_ranges
 
 #: Permutations; each gives a minimum and a maximum.
 PERMUTATIONS = 96
 
 #: Members outside a bucket's largest component are compared in blocks of so many, against so many others at a time.
-BLOCK, OTHERS = 256, 8192
+BLOCK, OTHERS = 256, 1024
 
 #: Standard errors under the threshold down to which a signature's estimate counts as perhaps similar enough.
 MARGIN = 5.0
 
-#: So many ids are broadcast at most, to fetch the sets of candidates: 8 bytes each.
-BROADCAST_IDS = 2_000_000
-
 _ODD = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
 _ADD = mix64(np.arange(1001, PERMUTATIONS + 1001, dtype=np.uint64)).astype(np.uint32)
 
@@ -78,17 +75,6 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     return out
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted hashes, 6 bytes each: enough to tell the shingles of two documents apart."""
-    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel()
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """Minimum and maximum under each permutation, side by side; shingles may be of any number."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -112,10 +98,10 @@ def bands(values: np.ndarray, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, band keys, and one byte of each signature value."""
+def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int, mark: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, digest of the set, band keys, one byte of each signature value, and the mark (a long) of the row, if one is asked for."""
     rows = band_rows(percent)
-    schema = "doc_id long, n_shingles long, digest string, bands array<long>, sig binary"
+    schema = "doc_id long, n_shingles long, digest string, bands array<long>, sig binary, mark long"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -124,31 +110,44 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, words: int, percent: i
             sizes, digests, keys, sigs = [], [], [], []
             for s in shingle_sets(texts, words):
                 sizes.append(len(s))
-                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
+                digests.append(_digest(s))
                 values = signature(s)
                 keys.append(bands(values, rows) if len(s) else None)
                 sigs.append(values.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                ["doc_id", "n_shingles", "digest", "bands", "sig"],
+                [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), part.column(2)],
+                ["doc_id", "n_shingles", "digest", "bands", "sig", "mark"],
             )
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    mark = F.lit(None).cast("long") if mark is None else mark
+    return docs.select(id_col, text_col, mark.alias(unused(docs, "own_mark"))).mapInArrow(run, schema)
+
+
+def _digest(shingles: np.ndarray) -> str:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).hexdigest()
 
 
-def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """rep, set (its shingle hashes as bytes) of the documents named."""
+def _sets(docs: DataFrame, wanted: DataFrame, repeated: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """cid, set (its shingle hashes as bytes) of the classes wanted (cid, rep, digest), from the document rep of each.
+
+    Only where ids repeat are rows reduced to one per class; the others are not shuffled if the ids fit a broadcast.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for part, texts in sub_batches(batches, text_col):
-            sets = [packed(s) for s in shingle_sets(texts, words)]
-            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "set"])
+            sets = shingle_sets(texts, words)
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([_digest(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "digest", "set"])
 
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    some = docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("rep"), "left_semi")
-    return some.mapInArrow(run, "rep long, set binary")
+    ids = wanted.select(F.col("rep").alias("_rep")).distinct()
+    some = docs.select(id_col, text_col).join(small(ids), F.col(id_col) == F.col("_rep"), "left_semi").mapInArrow(run, "id long, digest string, set binary")
+    if not repeated.isEmpty():
+        some = saved(some, "sets-of-rows")
+        again = repeated.select("id")
+        once = some.join(small(again), "id", "left_semi").dropDuplicates(["digest"])
+        some = some.join(small(again), "id", "left_anti").unionByName(once)
+    return some.drop("id").join(small(wanted.select("cid", "digest")), "digest").select("cid", "set")
 
 
 def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -161,17 +160,16 @@ def similar(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets are similar enough. Pairs are dealt by a, in chunks, and stream past a's set."""
+    """Those pairs (a, b) of cids whose full sets are similar enough. Pairs are dealt by a, in chunks, and stream past a's set."""
     n = pairs.count()
     degrees = saved(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("group_rows")), "degrees")
     chunk = F.pmod(F.xxhash64("b"), F.ceil(F.col("group_rows") / 256)).cast("int")
     dealt = saved(join_by_group(pairs, degrees, ["a"], n).select("a", "b", chunk.alias("chunk")), "dealt")
-    wanted = dealt.select("a", "chunk", F.col("b").alias("rep"), F.lit(1).alias("turn")).unionByName(
-        dealt.select("a", "chunk", F.col("a").alias("rep"), F.lit(0).alias("turn")).distinct()
+    wanted = dealt.select("a", "chunk", F.col("b").alias("cid"), F.lit(1).alias("turn")).unionByName(
+        dealt.select("a", "chunk", F.col("a").alias("cid"), F.lit(0).alias("turn")).distinct()
     )
     wanted = saved(wanted, "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    rows = sets.join(F.broadcast(wanted) if few else wanted, "rep").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn")
+    rows = sets.join(small(wanted), "cid").repartition("a", "chunk").sortWithinPartitions("a", "chunk", "turn")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -179,19 +177,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at, own = None, []
         for batch in batches:
             found = []
-            for a, chunk, rep, turn, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "chunk", "rep", "turn", "set"))):
-                shingles = unpacked(raw)
+            for a, chunk, cid, turn, raw in zip(*(batch.column(k).to_pylist() for k in ("a", "chunk", "cid", "turn", "set"))):
+                shingles = np.frombuffer(raw, np.uint64)
                 if at != (a, chunk):
                     at, own = (a, chunk), []
                 if turn == 0:
                     own.append(shingles)
                     continue
                 if any(similar(mine, shingles, percent) for mine in own):
-                    found.append((a, rep))
+                    found.append((a, cid))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return rows.select("a", "chunk", "rep", "turn", "set").mapInArrow(run, "a long, b long")
+    return rows.select("a", "chunk", "cid", "turn", "set").mapInArrow(run, "a long, b long")
 
 
 def _blocks(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
@@ -200,17 +198,17 @@ def _blocks(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     In a block, the rows of turn 0 (outside the bucket's largest component) are to be
     compared with those of turn 1 (any).
     """
-    placed = members.join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    placed = saved(placed.select("key", "band", "rep", F.coalesce("component_id", "rep").alias("part")), "placed")
+    placed = members.join(found.select(F.col("id").alias("cid"), "component_id"), "cid", "left")
+    placed = saved(placed.select("key", "band", "cid", F.coalesce("component_id", "cid").alias("part")), "placed")
     parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("group_rows"), F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     buckets = saved(mixed.select("key", "group_rows", F.col("top.part").alias("main"), (F.col("group_rows") - F.col("top.n")).alias("others")), "mixed")
     rows = join_by_group(placed, buckets, ["key"], placed.count())
     blocks, lanes = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("group_rows") / OTHERS).cast("int")
-    block, lane = F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("rep", F.lit(2)), lanes).cast("int")
-    asking = rows.where("part <> main").select("key", "band", "rep", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
-    asked = rows.select("key", "band", "rep", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
-    return asking.unionByName(asked).join(classes.select("rep", "n_shingles", "sig", "bands"), "rep")
+    block, lane = F.pmod(F.xxhash64("cid", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("cid", F.lit(2)), lanes).cast("int")
+    asking = rows.where("part <> main").select("key", "band", "cid", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
+    asked = rows.select("key", "band", "cid", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
+    return asking.unionByName(asked).join(classes.select("cid", "n_shingles", "sig", "bands"), "cid")
 
 
 _PLACE = ["key", "block", "lane"]
@@ -225,7 +223,7 @@ class _Block:
     """The rows of turn 0 of one block, to compare rows of turn 1 with."""
 
     def __init__(self, rows: list[tuple], percent: int):
-        self.reps, self.parts, self.sizes = (np.array([r[k] for r in rows]) for k in range(3))
+        self.cids, self.parts, self.sizes = (np.array([r[k] for r in rows]) for k in range(3))
         self.sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
         self.percent, self.least = percent, _least(percent)
 
@@ -237,7 +235,7 @@ class _Block:
 
 def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
     """The rows of blocks that may be similar enough to one of the other turn; a pair counts in the first band it shares."""
-    schema = "key long, block int, lane int, turn int, rep long, part long, n_shingles int, sig binary"
+    schema = "key long, block int, lane int, turn int, cid long, part long, n_shingles int, sig binary"
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -254,13 +252,13 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
         at, queries, block, hit, their = None, [], None, np.zeros(0, bool), None
         for batch in batches:
             out = []
-            for *key, turn, rep, part, n, sig, band, keys in zip(*(batch.column(k) if k == "bands" else batch.column(k).to_pylist() for k in (*_PLACE, "turn", "rep", "part", "n_shingles", "sig", "band", "bands"))):
+            for *key, turn, cid, part, n, sig, band, keys in zip(*(batch.column(k) if k == "bands" else batch.column(k).to_pylist() for k in (*_PLACE, "turn", "cid", "part", "n_shingles", "sig", "band", "bands"))):
                 if at != key:
                     out += asked()
                     at, queries, block = key, [], None
                 bands = keys.values.to_numpy()
                 if turn == 0:
-                    queries.append((rep, part, n, sig, bands))
+                    queries.append((cid, part, n, sig, bands))
                     continue
                 if not queries:
                     continue
@@ -270,7 +268,7 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
                 may = may[(their[may] == bands).argmax(axis=1) == band] if len(may) else may
                 if len(may):
                     hit[may] = True
-                    out.append((*at, 1, rep, part, n, sig))
+                    out.append((*at, 1, cid, part, n, sig))
             if out:
                 yield batch_of(out)
         if last := asked():
@@ -282,8 +280,7 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
 
 def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A spanning forest of the links (a, b) between components, from each block, on the full sets."""
-    few = candidates.count() <= BROADCAST_ROWS
-    rows = sets.join(F.broadcast(candidates) if few else candidates, "rep")
+    rows = sets.join(small(candidates), "cid")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -297,22 +294,22 @@ def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             found = []
-            for *key, turn, rep, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*_PLACE, "turn", "rep", "part", "n_shingles", "sig", "set"))):
+            for *key, turn, cid, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*_PLACE, "turn", "cid", "part", "n_shingles", "sig", "set"))):
                 if at != key:
                     at, queries, block, joined = key, [], None, {}
                 if turn == 0:
-                    queries.append((rep, part, n, sig, unpacked(raw)))
+                    queries.append((cid, part, n, sig, np.frombuffer(raw, np.uint64)))
                     continue
                 if not queries:
                     continue
                 if block is None:
                     block = _Block(queries, percent)
-                shingles = unpacked(raw)
+                shingles = np.frombuffer(raw, np.uint64)
                 for i in block.may(part, n, sig).tolist():
                     one, other = root(part), root(queries[i][1])
                     if one != other and similar(queries[i][4], shingles, percent):
                         joined[max(one, other)] = min(one, other)
-                        found.append((rep, queries[i][0]))
+                        found.append((cid, queries[i][0]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -323,35 +320,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: doc_id, n_shingles, component_id (smallest id reachable by links), kept.
 
     Documents are linked when 100 * common shingles >= percent * all shingles of the two,
-    shingles being runs of `words` words (blanks by the contract, A-Z lower-cased).
+    shingles being runs of `words` words (blanks by the contract, A-Z lower-cased), told apart by 64 bits of hash.
     Documents without words and rows with a null id are linked with nothing and kept
-    (a null id has a null component). Rows of one id count as one node: what any of them is linked with, all are.
-    Only id and text are read; an empty table gives an empty one. A pair at the
+    (a null id has a null component). Rows of one id are one node: what any of them is linked with, all
+    are, so all are kept or none; keep_one() tells single rows. Columns besides id and text are
+    not read; an empty table gives an empty one. A pair at the
     threshold shares no band in fewer than one case in a million.
     """
-    sketch = saved(sketches(docs, id_col, text_col, words, percent), "sketches")
-    known = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = saved(
-        known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
-        "classes",
-    )
-    n = classes.count()
-    banded = classes.select(F.posexplode("bands").alias("band", "key"), "rep")
-    buckets = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.min("rep").alias("center")).where("group_rows > 1"), "buckets")
-    members = saved(join_by_group(banded, buckets, ["key"], n).select("key", "band", "rep", "center"), "members")
-    stars = saved(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    sets = saved(_sets(docs, members.select("rep").distinct(), id_col, text_col, words), "sets")
-    links = saved(_confirmed(stars, sets, percent), "links")
-    found = saved(components(links), "components")
-    candidates = saved(_candidates(_blocks(members.select("key", "band", "rep"), classes, found), percent), "candidates")
-    more = saved(_across(candidates, sets, percent), "links")
-    if not more.isEmpty():
-        found = saved(components(links.unionByName(more)), "components")
-    placed = classes.select("digest", "rep", "group_rows").join(found.select(F.col("id").alias("rep"), "component_id"), "rep", "left")
-    placed = placed.where("group_rows > 1 or component_id is not null")
-    groups = saved(placed.select("digest", "group_rows", F.coalesce("component_id", "rep").alias("component_id")), "groups")
-    discard(sets, buckets, members, stars, candidates)
-    narrow = sketch.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
-    every = join_by_group(narrow, groups, ["digest"], n, "left")
-    component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component_id", "doc_id"))
-    return every.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _found(docs, id_col, text_col, words, percent).drop("digest")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component of near copies; all columns, whatever their names.
+
+    Here every row is a node of its own, also among rows of one id; so a text that is like no other
+    stays whatever its id. Of a component the row with the smallest id stays, then with the smallest
+    60 bits of the SHA-256 of its text; of rows that repeat id and text a single one. Rows without
+    words or with a null id are like nothing and stay. An empty table gives an empty one.
+    """
+    mark = text_mark(F.sha2(F.col(text_col), 256))
+    with only() as keep:
+        sketch = saved(sketches(docs, id_col, text_col, words, percent, mark), "sketches")
+        known = sketch.where("n_shingles > 0 and doc_id is not null")
+        classes = _classes(known)
+        repeated = repeated_ids(sketch.select(F.col("doc_id").alias("id"), "digest"))
+        links = _links(docs, classes, repeated, id_col, text_col, words, percent)
+        found = components(links).select(F.col("id").alias("cid"), F.col("component_id").alias("label"))
+        labels = classes.select("digest", "cid", "group_rows").join(found, "cid", "left").where("group_rows > 1 or label is not null")
+        labels = saved(labels.select("digest", "group_rows", F.coalesce("label", "cid").alias("label")), "labels")
+        rows = saved(join_by_group(known.select("doc_id", "mark", "digest"), labels, ["digest"], classes.count()).select("doc_id", "mark", "label"), "near-rows")
+        best = saved(rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("best"), F.count(F.lit(1)).alias("group_rows")).select("label", "group_rows", F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark")), "best")
+        decided = join_by_group(rows, best, ["label"], rows.count()).select("doc_id", "mark", ((F.col("doc_id") == F.col("best_id")) & (F.col("mark") == F.col("best_mark"))).alias("stays"))
+        counted = saved(decided.groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "near-copies")
+        keep.append(counted)
+    gone, again = (counted.where(c).select("doc_id", "mark") for c in ("not stays", "stays"))
+    name = unused(docs, "own_mark")
+    return keep_once(docs.withColumn(name, mark), gone, again, [id_col, name]).drop(name)
+
+
+def _classes(known: DataFrame) -> DataFrame:
+    """One row per set: digest, cid (a number of its own), rep (smallest id), group_rows, n_shingles, bands and sig."""
+    firsts = [F.first(c).alias(c) for c in ("n_shingles", "bands", "sig")]
+    grouped = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_rows"), *firsts)
+    return saved(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
+
+
+def _links(docs: DataFrame, classes: DataFrame, repeated: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """Links (a, b) of cids, whose components are those of all links."""
+    with only() as keep:
+        n = classes.count()
+        banded = classes.select(F.posexplode("bands").alias("band", "key"), "cid")
+        buckets = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.min("cid").alias("center")).where("group_rows > 1"), "buckets")
+        members = saved(join_by_group(banded, buckets, ["key"], n).select("key", "band", "cid", "center"), "members")
+        stars = saved(members.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
+        wanted = saved(classes.select("cid", "rep", "digest").join(members.select("cid").distinct(), "cid", "left_semi"), "wanted-sets")
+        sets = saved(_sets(docs, wanted, repeated, id_col, text_col, words), "sets")
+        links = saved(_confirmed(stars, sets, percent), "links")
+        found = saved(components(links), "components")
+        candidates = saved(_candidates(_blocks(members.select("key", "band", "cid"), classes, found), percent), "candidates")
+        every = saved(links.unionByName(_across(candidates, sets, percent)), "links")
+        keep.append(every)
+    return every
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    with only() as keep:
+        sketch = saved(sketches(docs, id_col, text_col, words, percent), "sketches")
+        known = sketch.where("n_shingles > 0 and doc_id is not null")
+        classes = _classes(known)
+        narrow = saved(sketch.select(F.col("doc_id").alias("id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")), "rows")
+        repeated = repeated_ids(narrow)
+        links = _links(docs, classes, repeated, id_col, text_col, words, percent)
+        by_digest, by_id = class_components(narrow.select("id", "digest"), classes, links, repeated)
+        placed = classes.select("digest", "rep", "group_rows").join(by_digest, "digest", "left").where("group_rows > 1 or component_id is not null")
+        groups = saved(placed.select("digest", "group_rows", F.coalesce("component_id", "rep").alias("component_id")), "groups")
+        every = saved(with_components(narrow, groups, by_id, classes.count()), "near-result")
+        keep.append(every)
+    out = every.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "digest")
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
