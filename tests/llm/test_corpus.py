@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 
 from corvane.llm import bytebpe, components, embed_dedup, exact_dedup, langid, minmax, mixing, pieces, shared, token_counts, token_files, toxicity, warc
+from corvane import shared as engine
 from corvane.llm.queries import BYTE_BPE, PIECE_BPE, tokenizer_path
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -314,17 +315,18 @@ def test_embeddings_in_many_tiles(spark, monkeypatch, pivots):
 def test_tiles_meet_once(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "TILE", 4)
     sizes = {0: 11, 1: 3, 2: 8}
-    placed = spark.createDataFrame([(100 * c + i, c, 1, bytearray(b"v")) for c, n in sizes.items() for i in range(n)], "rep long, cell int, group_rows long, vector binary")
+    placed = spark.createDataFrame([(100 * c + i, 9, c, bytearray(b"v"), 1.0, 0.0) for c, n in sizes.items() for i in range(n)], "cid long, width int, cell int, codes binary, scale double, error double")
     pairs = [(0, 0), (1, 1), (2, 2), (0, 2)]
+    plan = [(9, a, b, -(-sizes[a] // 4), -(-sizes[b] // 4)) for a, b in pairs]
     tiles = collections.defaultdict(lambda: ([], []))
-    for r in embed_dedup._dealt(placed, {c: (n, 0.0) for c, n in sizes.items()}, pairs).collect():
-        tiles[r.a, r.slot_a, r.b, r.slot_b][r.side].append(r.rep)
+    for r in embed_dedup._dealt(placed, plan).collect():
+        tiles[r.a, r.slot_a, r.b, r.slot_b][r.side].append(r.cid)
     met = collections.Counter()
     for (a, i, b, j), (x, y) in tiles.items():
         alone = (a, i) == (b, j)
         assert not (alone and y)
         met.update(frozenset(p) for p in (((u, v) for u in x for v in x if u < v) if alone else ((u, v) for u in x for v in y)))
-    every = [r.rep for r in placed.collect()]
+    every = [r.cid for r in placed.collect()]
     assert met == {frozenset((u, v)): 1 for u in every for v in every if u < v and (u // 100, v // 100) in pairs}
 
 
@@ -402,7 +404,9 @@ def test_dictionaries_of_short_rows(spark):
     assert warc.train_dictionary(pages, "page_id", "url", "html")
     back = {r["page_id"]: r["payload_digest"] for r in rows_of(warc.round_trip(pages))}
     assert back == {i: hashlib.sha1(t.encode()).hexdigest() for i, t in enumerate(texts)}
-    assert shared.dictionary_of([b"x"] * 20, 1 << 16) == b"" == shared.dictionary_of(texts[:3], 1 << 16)
+    for few in ([b"x"] * 20, [t.encode() for t in texts[:3]], [b"", b"abc"]):
+        assert 0 < len(shared.dictionary_of(few, 1 << 16)) <= 1 << 16
+    assert shared.dictionary_of([], 1 << 16) == b"" == shared.dictionary_of([b""] * 20, 1 << 16)
 
 
 def test_warc(spark):
@@ -446,8 +450,8 @@ def test_pipeline_stages(spark, tmp_path):
 
 def test_beyond_broadcast(spark, empty, monkeypatch):
     """The ways taken where a side is too large to broadcast give the same results."""
-    for module, name in ((shared, "BROADCAST_ROWS"), (minmax, "BROADCAST_ROWS"), (minmax, "BROADCAST_IDS"), (exact_dedup, "BROADCAST_IDS")):
-        monkeypatch.setattr(module, name, 0)
+    monkeypatch.setattr(engine, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(shared, "KEY_BYTES", 0)
     for check in (test_exact_dedup, test_mixing, test_min_max_near_dedup):
         check(spark, empty)
     for check in (test_exact_dedup_rows_that_stay, test_mix_itself, test_min_max_null_ids, test_embedding_near_dedup, test_warc):
@@ -455,11 +459,11 @@ def test_beyond_broadcast(spark, empty, monkeypatch):
 
 
 def test_join_by_group(spark, monkeypatch):
-    monkeypatch.setattr(shared, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(engine, "BROADCAST_BYTES", 0)
     keys = ["hot"] * 60 + [None] * 40 + ["few", "few", "lost"]
     rows = spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, key string")
     groups = shared.saved(spark.createDataFrame([("hot", 60, "h"), ("few", 2, "f"), ("new", 1, "n")], "key string, group_rows long, value string"), "groups")
-    monkeypatch.setattr(shared, "HOT_SHARE", 4)
+    monkeypatch.setattr(engine, "HOT_SHARE", 4)
     value = {"hot": "h", "few": "f"}
     for how in ("left", "inner"):
         got = sorted((r.i, r.key, r.value) for r in shared.join_by_group(rows, groups, ["key"], len(keys), how).collect())
