@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .bytebpe import LETTER, classes
 from .textcols import code_points, mix64, sub_batches
 
-#: The model is fitted on at most so many documents, chosen by hash of their id.
+#: The model is fitted on at most so many documents, chosen by hash of their id and text.
 SAMPLE_DOCUMENTS = 20_000
 
 #: n-grams of 1 to ORDER letters and spaces, in so many bins each.
@@ -60,20 +60,31 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return bins, bounds, np.diff(n_letters) > 0
 
 
+def sample_of(rows: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """At most `most` rows, chosen by hash of id and text; rows that repeat both count as one, so a repeated id cannot widen or fill the sample.
+
+    Adds own_mark, a hash of the text.
+    """
+    marked = rows.withColumn("own_mark", F.xxhash64(text_col))
+    order = (F.xxhash64("chosen_id", "chosen_mark"), "chosen_id", "chosen_mark")
+    chosen = marked.select(F.col(id_col).alias("chosen_id"), F.col("own_mark").alias("chosen_mark")).distinct().orderBy(*order).limit(most)
+    same = F.col(id_col).eqNullSafe(F.col("chosen_id")) & (F.col("own_mark") == F.col("chosen_mark"))
+    return marked.join(F.broadcast(chosen), same, "left_semi").dropDuplicates([id_col, "own_mark"])
+
+
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and the matrix of log-probabilities with the log-priors as its last row.
 
     Fitted on at most SAMPLE_DOCUMENTS rows for which `learn` holds, text and language not null.
     """
-    usable = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    chosen = usable.select(F.col(id_col).alias("chosen_id")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(SAMPLE_DOCUMENTS).distinct()
-    sample = usable.select(id_col, text_col, lang_col).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen_id"), "left_semi")
+    usable = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    sample = sample_of(usable, "own_id", "text", SAMPLE_DOCUMENTS).select("own_id", "text", "lang")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         sums: dict[str, np.ndarray] = {}
-        for part, texts in sub_batches(batches, text_col):
+        for part, texts in sub_batches(batches, "text"):
             bins, bounds, _ = ngrams(texts)
             for lang, a, b in zip(part.column(2).to_pylist(), bounds.tolist(), bounds[1:].tolist()):
                 row = sums.setdefault(lang, np.zeros(ORDER * BINS + 1))
@@ -140,7 +151,8 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, id_col: str = "
 
     Learned from rows outside the held-out fold only; rows with a null id are never
     learned from and not held out. Null texts, texts without a letter, and all texts if
-    nothing could be learned, are `und` with score 0. Equal texts get equal results;
+    nothing could be learned, are `und` with score 0. Of equally likely languages the first in code-point order
+    counts. Equal texts get equal results;
     repeated rows repeat; an empty table gives an empty one.
     """
     part = fold(id_col, folds)
