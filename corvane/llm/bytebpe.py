@@ -8,6 +8,7 @@ Special-token strings in a text are cut out first, as the library does.
 from __future__ import annotations
 
 import functools
+import json
 import sys
 
 import numpy as np
@@ -18,6 +19,28 @@ SPECIAL = "<|endoftext|>"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
+@functools.cache
+def alphabet() -> dict[int, str]:
+    """The letter that stands for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the byte-level alphabet
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def check(path: str) -> None:
+    """Raise ValueError unless the tokenizer file has the pre-tokens and the added token that this module cuts."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    cut = made.get("pre_tokenizer") or {}
+    if made.get("normalizer") is not None or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or cut.get("use_regex") is False:
+        raise ValueError(f"{path}: other pre-tokens than the byte-level ones")
+    plain = [t for t in made.get("added_tokens", []) if not (t["content"] == SPECIAL and not any(t[k] for k in ("single_word", "lstrip", "rstrip")))]
+    if plain:
+        raise ValueError(f"{path}: added tokens {[t['content'] for t in plain]} are not cut")
+    if (made.get("model") or {}).get("type") not in (None, "BPE"):
+        raise ValueError(f"{path} is no BPE")
+
+
 @functools.cache
 def classes() -> np.ndarray:
     """Class of every code point, from the Unicode properties the pattern names."""

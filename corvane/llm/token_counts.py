@@ -28,9 +28,8 @@ def merge_ranks(path: str) -> dict[tuple[bytes, bytes], int]:
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the byte-level alphabet
-    letters = {chr(b): b for b in plain}
-    letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+    bytebpe.check(path)
+    letters = {c: b for b, c in bytebpe.alphabet().items()}
     as_bytes = functools.cache(lambda piece: bytes(letters[c] for c in piece))
     pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
     return {(as_bytes(a), as_bytes(b)): rank for rank, (a, b) in enumerate(pairs)}

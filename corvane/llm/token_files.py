@@ -10,6 +10,7 @@ The dictionary lies beside the files as dictionary-<sha256>.zdict.
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import os
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import bytebpe
 from .files import fresh_name, open_store
-from .shared import dictionary_of, scratch
+from .shared import dictionary_of, scratch, slices
 from .textcols import WordTable, gather_runs, range_hashes, sub_batches
 
 MAGIC = b"CVTOK\x00\x01\n"
@@ -31,9 +32,12 @@ HEADER = len(MAGIC) + 32 + 4
 FOOTER = 8 + 8 + len(MAGIC)
 END_ID = 2
 
-#: The dictionary is trained on at most so many documents, and of each on so many bytes of ids.
+#: The dictionary is trained on at most so many documents, and of each on so many bytes of ids, spread over it.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 32 << 10, 64 << 10
 
+#: A file is closed once it holds so many ids; a document is never split.
+FILE_IDS = 1 << 27
+
 
 @functools.cache
 def _library(path: str):
@@ -41,10 +45,9 @@ def _library(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # fixed values: the byte-level alphabet
-    rest = [b for b in range(256) if b not in set(plain)]
-    alphabet = str.maketrans({chr(b): chr(256 + i) for i, b in enumerate(rest)})
+    alphabet = str.maketrans({chr(b): c for b, c in bytebpe.alphabet().items() if ord(c) != b})
     tokenizer = Tokenizer.from_file(path)
+    bytebpe.check(path)
     dtype = np.uint16 if tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
     return tokenizer, alphabet, WordTable(dtype=dtype), tokenizer.token_to_id(bytebpe.SPECIAL)
 
@@ -94,14 +97,14 @@ def _documents(batches: Iterator, path: str, text_col: str) -> Iterator[tuple]:
 
 
 def train_dictionary(docs: DataFrame, path: str, id_col: str, text_col: str) -> bytes:
-    """A zstandard dictionary from the id arrays of a bounded, hash-chosen sample; empty if it is too small."""
+    """A zstandard dictionary from the id arrays of a bounded, hash-chosen sample; empty only without documents."""
     chosen = docs.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE_DOCUMENTS).distinct()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for _, ids in _documents(batches, path, text_col):
-            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()[:SAMPLE_BYTES]], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([slices(ids.tobytes(), SAMPLE_BYTES, unit=ids.itemsize)], pa.binary())], ["ids"])
 
     rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col, "left_semi").limit(SAMPLE_DOCUMENTS)
     samples = sorted(bytes(r[0]) for r in rows.mapInArrow(run, "ids binary").collect())
@@ -136,39 +139,44 @@ def write_files(docs: DataFrame, folder: str, path: str, id_col: str = "doc_id",
 
         store, at = open_store(folder)
         pack = zstandard.ZstdCompressor(level=3, **_dictionary(raw)).compress
-        number = TaskContext.get().partitionId()
-        name, out, offset = fresh_name(at, f"part-{number:06d}", ".cvtok"), None, 0
-        index: list[list] = [[], [], [], [], []]
+        number, turn, out = TaskContext.get().partitionId(), 0, None
+
+        def closed() -> pa.RecordBatch:
+            for column in index:
+                out.write(column.tobytes())
+            out.write(np.asarray([offset, len(index[0])], np.uint64).tobytes() + MAGIC)
+            out.close()
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([turn]), pa.array([name]), pa.array([len(index[0])]), pa.array([total])], ["part", "turn", "file", "documents", "ids"])
+
         for doc_id, ids in _documents(batches, path, text_col):
+            if out is not None and total >= FILE_IDS:
+                yield closed()
+                turn, out = turn + 1, None
             if out is None:
+                name, total, index = fresh_name(at, f"part-{number:06d}-{turn:04d}", ".cvtok"), 0, [array.array(c) for c in INDEX_CODES]
                 out = store.open_output_stream(name)
                 offset = out.write(MAGIC + digest + np.uint32(ids.itemsize).tobytes())
             blob = pack(ids.tobytes())
             for column, value in zip(index, (doc_id or 0, doc_id is not None, offset, len(blob), len(ids))):
                 column.append(value)
             out.write(blob)
-            offset += len(blob)
+            offset, total = offset + len(blob), total + len(ids)
         if out is not None:
-            for column, kind in zip(index, INDEX_TYPES):
-                out.write(np.asarray(column, kind).tobytes())
-            out.write(np.asarray([offset, len(index[0])], np.uint64).tobytes() + MAGIC)
-            out.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([number]), pa.array([name]), pa.array([len(index[0])]), pa.array([sum(index[4])])], ["part", "file", "documents", "ids"]
-            )
+            yield closed()
 
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = (id_col, F.xxhash64(text_col))
     ordered = docs.select(id_col, text_col).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    manifest = ordered.mapInArrow(run, "part long, file string, documents long, ids long").collect()
-    return [(r.file, r.documents, r.ids) for r in sorted(manifest, key=lambda r: r.part)]
+    manifest = ordered.mapInArrow(run, "part long, turn long, file string, documents long, ids long").collect()
+    return [(r.file, r.documents, r.ids) for r in sorted(manifest, key=lambda r: (r.part, r.turn))]
 
 
-INDEX_TYPES = (np.int64, np.uint8, np.uint64, np.uint32, np.uint64)
+#: Types of the columns of the index, in numpy and as codes of arrays.
+INDEX_TYPES, INDEX_CODES = (np.int64, np.uint8, np.uint64, np.uint32, np.uint64), "qBQIQ"
 
 
 class TokenFile:
-    """One file, opened for documents by place: reads the footer and index, then only the blobs asked for."""
+    """One file, opened for documents by place or id: reads the footer and index, then only the blobs asked for."""
 
     def __init__(self, folder: str, name: str):
         import zstandard
@@ -195,6 +203,14 @@ class TokenFile:
     def _at(self, offset: int, size: int) -> bytes:
         return self.source.read_at(size, offset)
 
+    def places(self, doc_id: int | None) -> list[int]:
+        """Places of the documents of an id in this file, found by halving: ids ascend, null ids come first."""
+        nulls = int(np.searchsorted(self.present, 1))
+        if doc_id is None:
+            return list(range(nulls))
+        some = self.doc_ids[nulls:]
+        return list(range(nulls + int(np.searchsorted(some, doc_id)), nulls + int(np.searchsorted(some, doc_id, "right"))))
+
     def ids(self, place: int) -> np.ndarray:
         """All ids of the document at that place in the file."""
         blob = self._at(int(self.offsets[place]), int(self.sizes[place]))
