@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import fresh_name, open_store
-from .shared import dictionary_of, join_by_group, saved, scratch
+from .shared import dictionary_of, join_by_group, saved, scratch, slices
 
 # fixed values: the frame that holds the dictionary, and the revisit profile
 SKIPPABLE = (0x184D2A5D).to_bytes(4, "little")
@@ -27,7 +27,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT = 1000
 
-#: The dictionary is trained on at most so many records, of each on so many bytes.
+#: The dictionary is trained on at most so many records, of each on so many bytes, spread over it.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 32 << 10, 64 << 10
 
 DATE = "1970-01-01T00:00:00Z"
@@ -81,11 +81,20 @@ def read_archive(raw_stream) -> Iterator[dict]:
 
 
 def train_dictionary(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> bytes:
-    """From the records of a bounded, hash-chosen sample; empty if that is too little."""
+    """From the records of a bounded, hash-chosen sample; empty only without records. Records are cut to slices where they lie."""
     chosen = pages.select(F.col(id_col).alias("chosen_id")).orderBy(F.xxhash64("chosen_id"), "chosen_id").limit(SAMPLE_RECORDS).distinct()
-    some = pages.select(id_col, url_col, F.substring(html_col, 1, SAMPLE_BYTES).alias("html")).join(F.broadcast(chosen), F.col(id_col) == F.col("chosen_id"), "left_semi")
-    samples = sorted(record(r[0], r[1], (r[2] or "").encode())[:SAMPLE_BYTES] for r in some.limit(SAMPLE_RECORDS).collect())
-    return dictionary_of(samples, DICTIONARY_BYTES)
+    some = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    some = some.join(F.broadcast(chosen), F.col("page_id").eqNullSafe(F.col("chosen_id")), "left_semi")
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                page_id, url, html = (batch.column(c)[k].as_py() for c in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array([slices(record(page_id, url, (html or "").encode()), SAMPLE_BYTES)], pa.binary())], ["sample"])
+
+    return dictionary_of(sorted(bytes(r[0]) for r in some.mapInArrow(run, "sample binary").limit(SAMPLE_RECORDS).collect()), DICTIONARY_BYTES)
 
 
 def revisits(pages: DataFrame, id_col: str, html_col: str, least: int) -> DataFrame:
