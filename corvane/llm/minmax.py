@@ -33,7 +33,7 @@ from .textcols import code_points, lower_ascii, mix64, range_hashes, sub_batches
 PERMUTATIONS = 96
 
 #: Members outside a bucket's largest component are compared in blocks of so many, against so many others at a time.
-BLOCK, OTHERS = 256, 1024
+BLOCK, OTHERS = 256, 256
 
 #: Standard errors under the threshold down to which a signature's estimate counts as perhaps similar enough.
 MARGIN = 5.0
