@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import class_components, components, repeated_ids, with_components
-from .shared import join_by_group, keep_once, only, saved, small, text_mark, unused
+from .shared import discard, join_by_group, keep_once, only, saved, small, text_mark, unused
 from .textcols import code_points, lower_ascii, mix64, range_hashes, sub_batches, word_ranges
 
 #: Permutations; each gives a minimum and a maximum.
@@ -199,15 +199,15 @@ def _blocks(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
     compared with those of turn 1 (any).
     """
     placed = members.join(found.select(F.col("id").alias("cid"), "component_id"), "cid", "left")
-    placed = saved(placed.select("key", "band", "cid", F.coalesce("component_id", "cid").alias("part")), "placed")
+    placed = saved(placed.select("key", "cid", F.coalesce("component_id", "cid").alias("part")), "placed")
     parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("group_rows"), F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     buckets = saved(mixed.select("key", "group_rows", F.col("top.part").alias("main"), (F.col("group_rows") - F.col("top.n")).alias("others")), "mixed")
     rows = join_by_group(placed, buckets, ["key"], placed.count())
     blocks, lanes = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("group_rows") / OTHERS).cast("int")
     block, lane = F.pmod(F.xxhash64("cid", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("cid", F.lit(2)), lanes).cast("int")
-    asking = rows.where("part <> main").select("key", "band", "cid", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
-    asked = rows.select("key", "band", "cid", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
+    asking = rows.where("part <> main").select("key", "cid", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
+    asked = rows.select("key", "cid", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
     return asking.unionByName(asked).join(classes.select("cid", "n_shingles", "sig", "bands"), "cid")
 
 
@@ -252,7 +252,7 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
         at, queries, block, hit, their = None, [], None, np.zeros(0, bool), None
         for batch in batches:
             out = []
-            for *key, turn, cid, part, n, sig, band, keys in zip(*(batch.column(k) if k == "bands" else batch.column(k).to_pylist() for k in (*_PLACE, "turn", "cid", "part", "n_shingles", "sig", "band", "bands"))):
+            for *key, turn, cid, part, n, sig, keys in zip(*(batch.column(k) if k == "bands" else batch.column(k).to_pylist() for k in (*_PLACE, "turn", "cid", "part", "n_shingles", "sig", "bands"))):
                 if at != key:
                     out += asked()
                     at, queries, block = key, [], None
@@ -265,7 +265,8 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
                 if block is None:
                     block, hit, their = _Block(queries, percent), np.zeros(len(queries), bool), np.stack([q[4] for q in queries])
                 may = block.may(part, n, sig)
-                may = may[(their[may] == bands).argmax(axis=1) == band] if len(may) else may
+                if len(may):  # a pair counts in the first band it shares
+                    may = may[bands[(their[may] == bands).argmax(axis=1)] == key[0]]
                 if len(may):
                     hit[may] = True
                     out.append((*at, 1, cid, part, n, sig))
@@ -341,14 +342,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
     mark = text_mark(F.sha2(F.col(text_col), 256))
     with only() as keep:
         sketch = saved(sketches(docs, id_col, text_col, words, percent, mark), "sketches")
-        known = sketch.where("n_shingles > 0 and doc_id is not null")
-        classes = _classes(known)
-        repeated = repeated_ids(sketch.select(F.col("doc_id").alias("id"), "digest"))
+        classes = _classes(sketch.where("n_shingles > 0 and doc_id is not null"))
+        known = saved(sketch.where("n_shingles > 0 and doc_id is not null").select("doc_id", "mark", "digest"), "rows")
+        discard(sketch)
+        repeated = repeated_ids(known.select(F.col("doc_id").alias("id"), "digest"))
         links = _links(docs, classes, repeated, id_col, text_col, words, percent)
         found = components(links).select(F.col("id").alias("cid"), F.col("component_id").alias("label"))
         labels = classes.select("digest", "cid", "group_rows").join(found, "cid", "left").where("group_rows > 1 or label is not null")
         labels = saved(labels.select("digest", "group_rows", F.coalesce("label", "cid").alias("label")), "labels")
-        rows = saved(join_by_group(known.select("doc_id", "mark", "digest"), labels, ["digest"], classes.count()).select("doc_id", "mark", "label"), "near-rows")
+        rows = saved(join_by_group(known, labels, ["digest"], classes.count()).select("doc_id", "mark", "label"), "near-rows")
         best = saved(rows.groupBy("label").agg(F.min(F.struct("doc_id", "mark")).alias("best"), F.count(F.lit(1)).alias("group_rows")).select("label", "group_rows", F.col("best.doc_id").alias("best_id"), F.col("best.mark").alias("best_mark")), "best")
         decided = join_by_group(rows, best, ["label"], rows.count()).select("doc_id", "mark", ((F.col("doc_id") == F.col("best_id")) & (F.col("mark") == F.col("best_mark"))).alias("stays"))
         counted = saved(decided.groupBy("doc_id", "mark", "stays").agg(F.count(F.lit(1)).alias("n")).where("not stays or n > 1"), "near-copies")
@@ -369,15 +371,16 @@ def _links(docs: DataFrame, classes: DataFrame, repeated: DataFrame, id_col: str
     """Links (a, b) of cids, whose components are those of all links."""
     with only() as keep:
         n = classes.count()
-        banded = classes.select(F.posexplode("bands").alias("band", "key"), "cid")
+        banded = classes.select(F.explode("bands").alias("key"), "cid")
         buckets = saved(banded.groupBy("key").agg(F.count(F.lit(1)).alias("group_rows"), F.min("cid").alias("center")).where("group_rows > 1"), "buckets")
-        members = saved(join_by_group(banded, buckets, ["key"], n).select("key", "band", "cid", "center"), "members")
+        members = saved(join_by_group(banded, buckets, ["key"], n).select("key", "cid", "center"), "members")
+        discard(buckets)
         stars = saved(members.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct(), "stars")
         wanted = saved(classes.select("cid", "rep", "digest").join(members.select("cid").distinct(), "cid", "left_semi"), "wanted-sets")
         sets = saved(_sets(docs, wanted, repeated, id_col, text_col, words), "sets")
         links = saved(_confirmed(stars, sets, percent), "links")
         found = saved(components(links), "components")
-        candidates = saved(_candidates(_blocks(members.select("key", "band", "cid"), classes, found), percent), "candidates")
+        candidates = saved(_candidates(_blocks(members.select("key", "cid"), classes, found), percent), "candidates")
         every = saved(links.unionByName(_across(candidates, sets, percent)), "links")
         keep.append(every)
     return every
@@ -389,6 +392,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int
         known = sketch.where("n_shingles > 0 and doc_id is not null")
         classes = _classes(known)
         narrow = saved(sketch.select(F.col("doc_id").alias("id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest")), "rows")
+        discard(sketch)
         repeated = repeated_ids(narrow)
         links = _links(docs, classes, repeated, id_col, text_col, words, percent)
         by_digest, by_id = class_components(narrow.select("id", "digest"), classes, links, repeated)
