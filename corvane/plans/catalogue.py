@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, waveform
 from ..operators import intervals, labels, sampling, table
-from ..shared import scratch
+from ..shared import scratch, small
 from ..sources import readers
 from ..streaming import stream
 from . import config
@@ -330,7 +330,7 @@ def max_view_rows(t):
 
 @query("""SELECT s_suppkey, n_name AS "order", r_name AS kingdom FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20 LEFT JOIN region ON n_regionkey = r_regionkey""")
 def taxonomy_join(t):
-    dimension = t("nation").where("n_nationkey < 20").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("order"), F.col("r_name").alias("kingdom"))
+    dimension = t("nation").where("n_nationkey < 20").join(small(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("order"), F.col("r_name").alias("kingdom"))
     rows = t("supplier").select("s_suppkey", "s_nationkey")
     return labels.add_taxonomy(rows, "s_nationkey", dimension, "n_nationkey", ["order", "kingdom"])[0].drop("s_nationkey")
 
@@ -338,7 +338,7 @@ def taxonomy_join(t):
 @query("""SELECT s_suppkey, CASE WHEN n_nationkey IS NOT NULL THEN concat_ws(' ', r_name, n_name, s_nationkey::VARCHAR) END AS taxonomic_name
     FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey < 20 LEFT JOIN region ON n_regionkey = r_regionkey""")
 def taxonomic_name(t):
-    dimension = t("nation").where("n_nationkey < 20").join(F.broadcast(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("name"), F.col("r_name").alias("kingdom"), F.col("n_name").alias("order"))
+    dimension = t("nation").where("n_nationkey < 20").join(small(t("region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("string").alias("name"), F.col("r_name").alias("kingdom"), F.col("n_name").alias("order"))
     rows = t("supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("name"))
     return labels.add_taxonomy(rows, "name", dimension, "name", ["kingdom", "order"], {"absent": "x"}, "taxonomic_name")[0].select("s_suppkey", "taxonomic_name")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import bisect
 import itertools
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import PurePosixPath
 from typing import Any, Literal, get_args, get_origin
 
@@ -237,10 +237,12 @@ class Dataset:
     info: DatasetInfo
     take_and_give: dict[str, str] | None = None
     process: Callable[[DataFrame], DataFrame] | None = None
+    loose: bool = False
 
     def samples(self) -> DataFrame:
+        """Rows as they are given out; a missing key of take_and_give raises, unless loose."""
         df = self.process(self.df) if self.process else self.df
-        return table.take_and_give(df, self.take_and_give) if self.take_and_give else df
+        return table.take_and_give(df, self.take_and_give, strict=not self.loose) if self.take_and_give else df
 
     @property
     def columns(self) -> list[str]:
@@ -261,7 +263,7 @@ class Dataset:
         if i < 0:
             raise IndexError(i)
         self.df, key = _key(self.df)
-        one = Dataset(self.df.where(F.col(key) == i).drop(key), self.info, self.take_and_give, self.process).samples()
+        one = replace(self, df=self.df.where(F.col(key) == i).drop(key)).samples()
         row = one.first()
         if row is None:
             raise IndexError(i)
@@ -269,21 +271,33 @@ class Dataset:
 
     def apply(self, configs: Sequence[dict | BaseModel]) -> tuple[Dataset, dict]:
         df, found = transform(self.df, configs)
-        return Dataset(df, self.info, self.take_and_give, self.process), found
+        return replace(self, df=df), found
 
     def map(self, fn: Callable, schema) -> Dataset:
         """fn on batches of rows as pandas frames: table.apply on the table."""
-        return Dataset(table.apply(self.df, fn, schema), self.info, self.take_and_give, self.process)
+        return replace(self, df=table.apply(self.df, fn, schema))
 
 
 def concatenate(parts: Sequence[Dataset], level: str = "soft") -> Dataset:
-    """One table of all, each row with the number of its source and its place there."""
+    """One table of all, each row with the number of its source and its place there.
+
+    A row is processed as its source does it, on the row as it is here: what transforms of the
+    whole changed holds. Streams cannot be concatenated.
+    """
     if not parts:
         raise ValueError("nothing to concatenate")
+    if any(p.df.isStreaming for p in parts):
+        raise RuntimeError("Cannot concatenate in streaming mode")
     df = table.concat([_key(p.df)[0] for p in parts], level, provenance=True).drop(table.ORDINAL)
     if df.isEmpty():
         raise ValueError("the datasets are empty")
-    return Dataset(df, merge_info([p.info for p in parts]), merge_take_and_give([p.take_and_give for p in parts]))
+
+    def process(rows: DataFrame) -> DataFrame:
+        own = [(rows.where(F.col("_source_dataset") == i), p.process) for i, p in enumerate(parts)]
+        return table.concat([run(some) if run else some for some, run in own])
+
+    some = any(p.process for p in parts)
+    return Dataset(df, merge_info([p.info for p in parts]), merge_take_and_give([p.take_and_give for p in parts]), process if some else None, loose=True)
 
 
 class ChainException(ValueError):

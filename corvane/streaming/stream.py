@@ -6,13 +6,14 @@ raises, or runs the table with a warning.
 
 from __future__ import annotations
 
+import itertools
 import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import table
+from ..operators import sampling, table
 
 
 def read_stream(spark: SparkSession, path: str, schema, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -87,3 +88,18 @@ class LazyTable:
 
     def histogram(self, name: str) -> dict:
         return {r[0]: r["n"] for r in table.histogram(self._whole("histogram"), name).collect()}
+
+    def subsample(self, name: str, ratios: dict, key: str, seed: int = 42) -> LazyTable:
+        return self._with(sampling.subsample(self._whole("subsample"), name, ratios, key, seed))
+
+    def upsample(self, name: str, targets: dict, key: str, seed: int = 42) -> LazyTable:
+        return self._with(sampling.upsample(self._whole("upsample"), name, targets, key, seed))
+
+    def sample_rows(self, n: int, key: str, seed: int = 42, replace: bool = False) -> LazyTable:
+        return self._with(sampling.sample_rows(self._whole("sample_rows"), n, key, seed, replace))
+
+    def iter_batches(self, size: int = 1000) -> Iterator[list[dict]]:
+        """Lists of `size` rows, the last perhaps shorter; one partition at a time meets the driver."""
+        rows = iter(self)
+        while batch := list(itertools.islice(rows, size)):
+            yield batch
