@@ -1,8 +1,9 @@
 """Embedding near-dedup (operator 1): int8 tile products with rigorous error bounds.
 
 A unit vector u is quantised as u = s*q + d with q in int8 and |d| known. For two,
-|u.v - s*t*(q.p)| <= |d_u| + (1 + |d_u|) * |d_v|, so only pairs whose product plus bound
-reaches the threshold are computed in double precision. Equal vectors form a class
+|u.v - s*t*(q.p)| <= |d_u| + (1 + |d_u|) * |d_v|, so pairs whose product plus bound stays under
+the threshold are no links, those whose product less bound reaches it are, and only
+the others are computed in double precision. Equal vectors form a class
 first. Classes are dealt to cells around pivots; two cells whose angle, less their
 radii, exceeds the angle of the threshold hold no links and are never paired. Tiles,
 parts of cells, meet twice: first as codes alone, which tell the rows that may have a
@@ -60,24 +61,33 @@ def prepared(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return norm, *quantise(v / norm[:, None])
 
 
-def possible(a: tuple, b: tuple, threshold: float) -> Iterator[tuple[slice, slice, np.ndarray]]:
-    """Blocks of rows of a and of b (codes, scales, errors each), and which of their pairs may reach the threshold."""
+def estimates(a: tuple, b: tuple) -> Iterator[tuple[slice, slice, np.ndarray, np.ndarray]]:
+    """Blocks of rows of a and of b (codes, scales, errors each), the estimated cosines of their pairs, and how far these can be off."""
     (qx, sx, ex), (qy, sy, ey) = a, b
     for i in range(0, len(qx), BLOCK):
         rows = slice(i, i + BLOCK)
         for j in range(0, len(qy), BLOCK):
             cols = slice(j, j + BLOCK)
-            upper = products(qx[rows], qy[cols]) * sx[rows, None] * sy[None, cols]
-            upper += ex[rows, None] + (1 + ex[rows, None]) * ey[None, cols] + 1e-6
-            yield rows, cols, upper >= threshold
+            about = products(qx[rows], qy[cols]) * sx[rows, None] * sy[None, cols]
+            bound = ex[rows, None] + (1 + ex[rows, None]) * ey[None, cols] + 1e-6
+            yield rows, cols, about, bound
 
 
 def links(x: np.ndarray, y: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with cosine >= threshold, block by block. Rows are scaled; none may be zero or non-finite."""
+    """Index pairs (i, j) with cosine >= threshold, block by block. Rows are scaled; none may be zero or non-finite.
+
+    Pairs that the bounds do not decide are computed in double precision.
+    """
     nx, *cx = prepared(x)
     ny, *cy = prepared(y)
-    for rows, cols, may in possible(cx, cy, threshold):
-        a, b = np.nonzero(may)
+    for rows, cols, about, bound in estimates(cx, cy):
+        may = about + bound >= threshold
+        if not may.any():
+            continue
+        must = about - bound >= threshold
+        a, b = np.nonzero(must)
+        yield a + rows.start, b + cols.start
+        a, b = np.nonzero(may & ~must)
         a, b = a + rows.start, b + cols.start
         for k in range(0, len(a), 1 << 16):
             p, q = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
@@ -284,7 +294,8 @@ def _linked(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
             first = codes[:split], scale[:split], error[:split]
             second = first if alone else (codes[split:], scale[split:], error[split:])
             hit = np.zeros(len(rows), bool)
-            for i, j, may in possible(first, second, threshold):
+            for i, j, about, bound in estimates(first, second):
+                may = about + bound >= threshold
                 if alone:
                     if i.start > j.start:
                         continue

@@ -76,6 +76,22 @@ def test_random_vectors_of_few_ids(spark, joined, monkeypatch):
     assert found_vectors(spark, data) == brute_vectors(data)
 
 
+def test_bounds_decide_most_pairs_of_a_large_group():
+    rng = np.random.default_rng(6)
+    x = embed_dedup.scaled(rng.normal(size=64) + rng.normal(size=(300, 64)) * np.linspace(0, 0.4, 300)[:, None])
+    norm = np.sqrt((x * x).sum(1))
+    exact = (x @ x.T) / norm[:, None] / norm[None] >= 0.95
+    found = np.zeros_like(exact)
+    for i, j in embed_dedup.links(x, x, 0.95):
+        assert not found[i, j].any()
+        found[i, j] = True
+    assert (found == exact).all() and 0.1 < exact.mean() < 0.9
+    cut = embed_dedup.prepared(x)[1:]
+    (_, _, about, bound), = embed_dedup.estimates(cut, cut)
+    may, must = about + bound >= 0.95, about - bound >= 0.95
+    assert (must <= exact).all() and (exact <= may).all() and (may & ~must).sum() < may.sum() / 2
+
+
 def test_tiles_grow_before_they_multiply():
     tiles = [-(-n // embed_dedup.tile_size(n, 200)) for n in (40_000, 200_000, 900_000)]
     assert max(tiles) <= 30 and embed_dedup.tile_size(10**9, 200) == embed_dedup.TILE
