@@ -77,17 +77,39 @@ class Pieces:
             for a, b in ((name[:k], name[k:]) for k in range(1, len(name)))
             if a in self.id_of and b in self.id_of
         )
-        self.pairs = np.array([m[0] for m in merges] + [2**62], np.int64)
-        self.merged = np.array([m[1] for m in merges] + [0], np.int32)
+        self._index(np.array([m[0] for m in merges], np.int64), np.array([m[1] for m in merges], np.int32))
         self.lengths = np.array([len(x) for x in self.raw], np.int32)
         self.starts = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.raw), np.uint8)
 
+    def _index(self, keys: np.ndarray, made: np.ndarray) -> None:
+        """A table of the pairs by hash, with open addressing, an eighth full at most; empty places hold -1."""
+        bits = max(4, int(len(keys)).bit_length() + 3)
+        self.shift = np.uint64(64 - bits)
+        self.pairs, self.merged = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        spot, open_ = self._spot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.pairs[spot[open_]] == -1]
+            _, first = np.unique(spot[free], return_index=True)
+            placed = free[first]
+            self.pairs[spot[placed]], self.merged[spot[placed]] = keys[placed], made[placed]
+            open_ = open_[self.pairs[spot[open_]] != keys[open_]]
+            spot[open_] = (spot[open_] + 1) & (len(self.pairs) - 1)
+
+    def _spot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
     def merge(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and id of the piece that each pair makes; _NEVER where there is none."""
         keys = (left.astype(np.int64) << 32) | right.astype(np.int64)
-        spot = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-        found = (self.pairs[spot] == keys) & (left >= 0) & (right >= 0)
+        spot = self._spot(keys)
+        have = self.pairs[spot]
+        on = np.flatnonzero((have != keys) & (have != -1))
+        while len(on):
+            spot[on] = (spot[on] + 1) & (len(self.pairs) - 1)
+            have[on] = self.pairs[spot[on]]
+            on = on[(have[on] != keys[on]) & (have[on] != -1)]
+        found = (have == keys) & (left >= 0) & (right >= 0)
         made = self.merged[spot]
         return np.where(found, self.rank[made], _NEVER), made
 
