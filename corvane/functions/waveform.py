@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import io
 import math
+import uuid
 import wave
 from collections.abc import Callable, Iterator, Sequence
 
@@ -276,6 +277,62 @@ def encode_wav(signal: np.ndarray, rate: int) -> bytes:
 
 register_decoder(_is_wav, decode_wav)
 
+
+def encode_files(df: DataFrame, path: str, signal: str, rate: int) -> DataFrame:
+    """path and content: each signal (a list of samples, or one list for each channel) as a 16-bit WAV file; null where there is no signal."""
+    nested = isinstance(df.schema[signal].dataType.elementType, T.ArrayType)
+
+    def file_of(values) -> bytes | None:
+        if not values.is_valid:
+            return None
+        one = values.values
+        samples = np.array(one.to_pylist(), np.float32).T if nested else one.to_numpy(zero_copy_only=False)
+        return encode_wav(samples, rate)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([file_of(v) for v in part.column(1)], pa.binary())], ["path", "content"])
+
+    return df.select(F.col(path).cast("string").alias("path"), F.col(signal)).mapInArrow(run, "path string, content binary")
+
+
+def _put(goal: str, raw: bytes) -> None:
+    """Write a file under a name of its own and move it to its place, so that a lost task leaves no half file."""
+    store, at = open_store(goal)
+    store.create_dir(at.rpartition("/")[0], recursive=True)
+    fresh = f"{at}.{uuid.uuid4().hex[:8]}"
+    with store.open_output_stream(fresh) as out:
+        out.write(raw)
+    store.move(fresh, at)
+
+
+def write_files(files: DataFrame, root: str) -> DataFrame:
+    """Write each content under root/path; path, status (success, error) and error of each row. It runs when the result does.
+
+    Rows without a path or a content are errors; files that are there are replaced.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for name, content in zip(batch.column(0), batch.column(1)):
+                try:
+                    if not name.is_valid or not content.is_valid:
+                        raise ValueError("no path or no content")
+                    _put(f"{root.rstrip('/')}/{name.as_py()}", content.as_py())
+                    found.append(("success", None))
+                except (ValueError, OSError) as e:
+                    found.append(("error", f"{type(e).__name__}: {e}"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in found], pa.string()) for k in range(2))], ["path", "status", "error"])
+
+    return files.select("path", "content").mapInArrow(run, "path string, status string, error string")
+
 AUDIO = "path string, sample_rate int, channels int, signal array<array<float>>, error string"
 WINDOW = ("_start", "_end")
 
@@ -392,7 +449,6 @@ def write_resampled(df: DataFrame, path: str, root: str, export: str, target: in
 
     def run(batches: Iterator) -> Iterator:
         import os
-        import uuid
 
         import pyarrow as pa
 
@@ -411,12 +467,7 @@ def write_resampled(df: DataFrame, path: str, root: str, export: str, target: in
                     with store.open_input_file(at) as f:
                         signal, rate = decode_audio(f, decoders=decoders)
                     raw = encode_wav(resample_array(signal.mean(axis=1), rate, target), target)
-                    store, at = open_store(goal)
-                    store.create_dir(at.rpartition("/")[0], recursive=True)
-                    fresh = f"{at}.{uuid.uuid4().hex[:8]}"
-                    with store.open_output_stream(fresh) as out:
-                        out.write(raw)
-                    store.move(fresh, at)
+                    _put(goal, raw)
                     rows.append((name, new, "success", None))
                 except (UnreadableAudio, wave.Error, EOFError, ValueError, OSError) as e:
                     rows.append((name, "", "error", f"{type(e).__name__}: {e}"))

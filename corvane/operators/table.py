@@ -102,11 +102,23 @@ def map_column(df: DataFrame, name: str, mapping: dict, output: str, default: An
     return out.select(*kept, value.alias(output))
 
 
+#: Mappings of lists are part of the plan up to so many entries, and a joined table beyond.
+LITERAL_VALUES = 1000
+
+
 def map_list(df: DataFrame, name: str, mapping: dict, output: str) -> DataFrame:
     """The value of each element of a list, in order; null where there is none, and for a null list."""
     need(df, [name])
-    codes = map_literal(mapping)
-    return df.withColumn(output, F.transform(name, lambda x: F.element_at(codes, x)))
+    if not mapping:
+        return df.withColumn(output, F.transform(name, lambda x: F.lit(None).cast("string")))
+    if len(mapping) <= LITERAL_VALUES:
+        codes = map_literal(mapping)
+        return df.withColumn(output, F.transform(name, lambda x: F.element_at(codes, x)))
+    rows = saved(df.withColumn("_row", F.monotonically_increasing_id()), "listed")
+    each = map_column(rows.select("_row", F.posexplode(name).alias("_pos", "_v")), "_v", mapping, "_code")
+    found = each.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_code"))), lambda p: p["_code"]).alias("_codes"))
+    none = F.when(F.col(name).isNotNull(), F.array().cast(found.schema["_codes"].dataType))
+    return rows.join(found, "_row", "left").select(*[F.col(f"`{c}`") for c in df.columns if c != output], F.coalesce("_codes", none).alias(output))
 
 
 def _keyed(other: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
@@ -350,7 +362,8 @@ def rows_slice(df: DataFrame, start: int | None = None, stop: int | None = None,
         raise ValueError("step is at least 1")
     place = F.col(ORDINAL)
     if (start or 0) < 0 or (stop or 0) < 0:
-        start, stop, _ = slice(start, stop).indices((df.agg(F.max(ORDINAL)).first()[0] or -1) + 1)
+        last = df.agg(F.max(ORDINAL)).first()[0]
+        start, stop, _ = slice(start, stop).indices(0 if last is None else last + 1)
     out = df.where((place >= (start or 0)) & ((place - (start or 0)) % step == 0))
     return out if stop is None else out.where(place < stop)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars, waveform
 from ..operators import intervals, labels, sampling, table
-from ..shared import scratch, small
+from ..shared import saved, scratch, small
 from ..sources import readers
 from ..streaming import stream
 from . import config
@@ -165,11 +165,11 @@ def status_counts(t):
     return readers.status_counts(t("events").select(F.col("event_type").alias("status")))
 
 
-def _streamed(t, df, make):
+def _streamed(t, df, make, files_per_batch=2):
     """What a query over a stream of the table's files writes."""
     source, out = t.scratch("stream"), t.scratch("streamed")
     df.write.json(source)
-    rows = make(stream.read_stream(t.spark, source, df.schema, files_per_batch=2))
+    rows = make(stream.read_stream(t.spark, source, df.schema, files_per_batch=files_per_batch))
     rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", t.scratch("stream-state")).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.schema(rows.schema).parquet(out)
 
@@ -188,6 +188,15 @@ def stream_distinct(t):
     return _streamed(t, t("events").select("user_id", "event_type"), lambda rows: stream.distinct_stream(rows, ["user_id", "event_type"]))
 
 
+@query("""WITH w AS (SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL)
+    SELECT strftime(day, '%Y-%m-%d') AS day, event_type, n FROM w WHERE day + INTERVAL 1 DAY <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)""")
+def stream_windowed_counts(t):
+    """Windows that the watermark has passed; the last one stays open."""
+    rows = t("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    counted = _streamed(t, rows, lambda r: stream.windowed_counts(r, "ts", ["event_type"], "1 day", "0 seconds").select("window.start", "event_type", "n"), files_per_batch=None)
+    return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
 # projection
 
 
@@ -931,6 +940,51 @@ def resample(t):
     return out.select("vec_id", F.size("signal").alias("n"), F.round(F.aggregate("signal", F.lit(0.0), lambda a, x: a + x * x), 3).alias("energy"))
 
 
+_PCM = "trunc(greatest(least(x, 1::FLOAT), (-1)::FLOAT) * 32767::FLOAT)::DOUBLE / 32768"
+
+
+def _sounds(t):
+    """Every embedding as a WAV file of 16 samples a second."""
+    return waveform.encode_files(t("embeddings").select("vec_id", "embedding"), "vec_id", "embedding", 16)
+
+
+@query(f"""SELECT vec_id, 16::INT AS sample_rate, 1::INT AS channels, list_transform(embedding, lambda x: {_PCM}) AS samples FROM embeddings""")
+def audio_decode(t):
+    rows = waveform.decode_files(_sounds(t))
+    return rows.select(F.col("path").cast("long").alias("vec_id"), "sample_rate", "channels", F.col("signal")[0].cast("array<double>").alias("samples"))
+
+
+@query(f"""SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN NULL WHEN vec_id % 5 = 0 THEN list_transform(embedding, lambda x: {_PCM})
+    ELSE list_transform(embedding[vec_id % 8 * 8 + 1 : vec_id % 8 * 8 + 20], lambda x: {_PCM}) END AS samples FROM embeddings""")
+def audio_window(t):
+    v = F.col("path").cast("long")
+    start = F.when((v % 5 != 0) | (v % 7 == 0), (v % 8) / F.lit(2.0))
+    rows = _sounds(t).withColumns({"start": start, "end": F.when(v % 7 == 0, start).otherwise(start + 1.25)})
+    return waveform.decode_files(rows, "start", "end").select(v.alias("vec_id"), F.col("signal")[0].cast("array<double>").alias("samples"))
+
+
+@query("""SELECT vec_id, CASE WHEN vec_id % 3 > 0 THEN len(embedding) END AS num_frames, CASE WHEN vec_id % 3 > 0 THEN len(embedding) / 16.0::DOUBLE END AS duration,
+    CASE WHEN vec_id % 3 > 0 THEN 'WAV' END AS format, CASE WHEN vec_id % 3 > 0 THEN 'PCM_16' END AS subtype FROM embeddings""")
+def audio_headers(t):
+    v = F.col("path").cast("long")
+    rows = _sounds(t).withColumn("content", F.when(v % 3 == 0, F.lit("none").cast("binary")).otherwise(F.col("content")))
+    return waveform.audio_info(rows).select(v.alias("vec_id"), "num_frames", "duration", "format", "subtype")
+
+
+@query("""SELECT n_nationkey, n_nationkey = 7 AS absent, CASE WHEN n_nationkey = 7 THEN 'error' ELSE 'success' END AS status, CASE WHEN n_nationkey = 7 THEN 'error' ELSE 'skipped' END AS again,
+    CASE WHEN n_nationkey <> 7 THEN 128 END::INT AS n, CASE WHEN n_nationkey <> 7 THEN 16 END::INT AS windowed FROM nation""")
+def audio_resampled_files(t):
+    key, root, export = F.col("n_nationkey"), t.scratch("sounds"), t.scratch("resampled")
+    name = F.concat(F.lit("a/n"), key.cast("string"), F.lit(".wav"))
+    rows = t("nation").select(key.cast("long").alias("n_nationkey"), name.alias("path"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: (i * key / 2048).cast("float")).alias("signal"))
+    written = saved(waveform.write_files(waveform.encode_files(rows.where("n_nationkey <> 7"), "path", "signal", 8000), root), "written")
+    first, again = (saved(waveform.write_resampled(rows, "path", root, export, 16000), "status") for _ in range(2))
+    every = rows.select("n_nationkey", "path").join(written.select("path", F.col("status").alias("written")), "path", "left").join(first.select("path", "new_path", "status"), "path")
+    every = every.join(again.select("path", F.col("status").alias("again")), "path").withColumns({"absent": F.col("written").isNull(), "end": F.lit(0.001)})
+    whole, part = (waveform.read_audio(every, "new_path", export, end=end).select("n_nationkey", "absent", "status", "again", F.size(F.col("signal")[0]).alias(n)) for end, n in ((None, "n"), ("end", "windowed")))
+    return whole.join(part.select("n_nationkey", "windowed"), "n_nationkey")
+
+
 # scalars
 
 

@@ -27,6 +27,8 @@ def test_numbering(spark):
     assert table.with_ordinal(df.limit(0), ["a"]).count() == 0
     assert table.with_ordinal(spark.range(2).withColumn("void", F.lit(None))).count() == 2
     placed = table.with_ordinal(spark.range(10), ["id"])
+    one = table.with_ordinal(spark.createDataFrame([(4,)], "id int"), ["id"])
+    assert rows(table.rows_slice(one, -1), "id") == [(4,)] and rows(table.rows_slice(one.limit(0), -1), "id") == []
     assert rows(table.rows_slice(placed, -3), "id") == [(7,), (8,), (9,)] and rows(table.rows_slice(placed, 1, -1, 4), "id") == [(1,), (5,)]
     assert [b.count() for b in table.batch_tables(placed, 4)] == [4, 4, 2] and not list(table.batch_tables(placed.limit(0), 4))
 
@@ -52,6 +54,27 @@ def test_map_column_has_one_type(spark):
     assert rows(many) == [(0,), (0,), (7,)] and len(many._jdf.queryExecution().optimizedPlan().toString()) < 3000
 
 
+def test_lists_by_large_mappings(spark, monkeypatch):
+    df = spark.createDataFrame([(["a", "q", None, "a"], 1), (None, 2), ([], 3), (["b"], 4)], "l array<string>, k int")
+    want = [(1, [1, None, None, 1]), (2, None), (3, []), (4, [2])]
+    for most in (1000, 0):
+        monkeypatch.setattr(table, "LITERAL_VALUES", most)
+        found = table.map_list(df, "l", {"a": 1, "b": 2}, "m")
+        assert found.columns == ["l", "k", "m"] and sorted((r.k, r.m) for r in found.collect()) == want
+    assert [r.m for r in table.map_list(df, "l", {}, "m").sort("k").collect()] == [[None] * 4, None, [], [None]]
+
+
+def test_files_encoded_and_written(spark, tmp_path):
+    df = spark.createDataFrame([("a/x.wav", [[0.5, -0.5], [0.25, 2.0]]), ("y.wav", None), (None, [[0.0]]), ("z.wav", [[]])], "path string, s array<array<float>>")
+    files = waveform.encode_files(df, "path", "s", 8000)
+    done = shared.saved(waveform.write_files(files, str(tmp_path)), "written")
+    assert sorted((r.path or "", r.status) for r in done.collect()) == [("", "error"), ("a/x.wav", "success"), ("y.wav", "error"), ("z.wav", "success")]
+    back, rate = waveform.decode_wav((tmp_path / "a" / "x.wav").read_bytes())
+    assert rate == 8000 and back.T.tolist() == [[16383 / 32768, -16383 / 32768], [8191 / 32768, 32767 / 32768]]
+    assert waveform.decode_wav((tmp_path / "z.wav").read_bytes())[0].shape == (0, 1)
+    assert waveform.encode_files(df.limit(0), "path", "s", 8000).count() == 0
+
+
 def test_look_ups(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "z"), (4, "a")], "i int, k string")
     other = spark.createDataFrame([("a", 9, None), ("a", 2, "x"), (None, 5, "n"), ("b", 1, "y")], "key string, v int, w string")
