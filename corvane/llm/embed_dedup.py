@@ -28,6 +28,9 @@ from .shared import only, saved, small
 #: Vectors of a tile at most and, unless the table has fewer, at least; of a block of products within it; and pivots at most, of each length of vectors.
 TILE, LEAST_TILE, BLOCK, PIVOTS = 1 << 15, 1024, 1024, 256
 
+#: A tile's vectors take so many bytes at most in double precision, unless LEAST_TILE of them take more.
+TILE_BYTES = 16 << 20
+
 #: Pairs of tiles are dealt to so many tasks at most; more pairs share tasks.
 MOST_TASKS = 20_000
 
@@ -219,12 +222,14 @@ def _pairs(cells: dict[int, tuple[int, float]], pivots: np.ndarray, threshold: f
 _TILES = ["width", "a", "slot_a", "b", "slot_b"]
 
 
-def tile_size(n: int, tasks: int) -> int:
+def tile_size(n: int, tasks: int, width: int = 1) -> int:
     """Vectors per tile: so many that pairs of tiles keep `tasks` tasks busy about twice, within LEAST_TILE and TILE.
 
-    Up to TILE * sqrt(4 * tasks) vectors a row is dealt to the same number of tiles, whatever n.
+    Up to TILE * sqrt(4 * tasks) vectors a row is dealt to the same number of tiles, whatever n. Of long vectors
+    (`width` components) a tile takes fewer, so that a task's two tiles stay within its memory.
     """
-    return max(min(LEAST_TILE, TILE), min(TILE, math.ceil(n / math.ceil(math.sqrt(4 * tasks)))))
+    most = min(TILE, TILE_BYTES // (8 * width))
+    return max(min(LEAST_TILE, TILE), min(most, math.ceil(n / math.ceil(math.sqrt(4 * tasks)))))
 
 
 def _dealt(coded: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> DataFrame:
@@ -265,7 +270,7 @@ def _linked(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
     sizes = {r.width: r.n for r in classes.groupBy("width").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > min(TILE, LEAST_TILE)).collect()}
     pivots, plan = {}, []
     for width, n in sorted(sizes.items()):
-        k = min(PIVOTS, max(1, math.ceil(n / tile_size(n, tasks))))
+        k = min(PIVOTS, max(1, math.ceil(n / tile_size(n, tasks, width))))
         chosen = classes.where(F.col("width") == width).orderBy(F.xxhash64("cid"), "cid").limit(k).select("vector").collect()
         pivots[width] = _unit(_matrix([bytes(r.vector) for r in chosen], kind))
     coded = saved(_coded(classes, pivots, kind), "vector-codes")
@@ -273,7 +278,7 @@ def _linked(classes: DataFrame, threshold: float, kind: type) -> DataFrame:
     for r in coded.where(F.col("width").isin(list(sizes))).groupBy("width", "cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect():
         found.setdefault(r.width, {})[r.cell] = (r.n, r.radius)
     for width, cells in sorted(found.items()):
-        tile = tile_size(sizes[width], tasks)
+        tile = tile_size(sizes[width], tasks, width)
         slots = {c: math.ceil(n / tile) for c, (n, _) in cells.items()}
         plan += [(width, a, b, slots[a], slots[b]) for a, b in _pairs(cells, pivots[width], threshold)]
     # vectors of lengths that few have are one tile each

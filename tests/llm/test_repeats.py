@@ -94,7 +94,9 @@ def test_bounds_decide_most_pairs_of_a_large_group():
 
 def test_tiles_grow_before_they_multiply():
     tiles = [-(-n // embed_dedup.tile_size(n, 200)) for n in (40_000, 200_000, 900_000)]
-    assert max(tiles) <= 30 and embed_dedup.tile_size(10**9, 200) == embed_dedup.TILE
+    assert max(tiles) <= 30 and embed_dedup.tile_size(10**9, 200) == embed_dedup.tile_size(10**9, 200, 64) == embed_dedup.TILE
+    assert [embed_dedup.tile_size(10**9, 200, w) for w in (1024, 100_000)] == [2048, embed_dedup.LEAST_TILE]
+    assert embed_dedup.tile_size(10, 200, 100_000) == embed_dedup.LEAST_TILE
 
 
 def together(cases):
