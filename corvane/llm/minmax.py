@@ -19,6 +19,7 @@ change nothing, so the components are those of all links.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,12 @@ from .textcols import code_points, lower_ascii, mix64, range_hashes, sub_batches
 #: Permutations; each gives a minimum and a maximum.
 PERMUTATIONS = 96
 
-#: Members outside a bucket's largest component are compared in blocks of so many, against so many others at a time.
-BLOCK, OTHERS = 256, 256
+#: Members outside a bucket's largest component are compared in blocks of so many, against so many others at a time;
+#: in larger buckets of up to MOST, so that members are dealt to more blocks only in buckets that are larger still.
+BLOCK, OTHERS, MOST = 256, 256, 8192
+
+#: The full sets that a block holds at once have so many shingles together, unless a single one has more.
+HELD_SHINGLES = 1 << 22
 
 #: Standard errors under the threshold down to which a signature's estimate counts as perhaps similar enough.
 MARGIN = 5.0
@@ -192,19 +197,27 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "chunk", "cid", "turn", "set").mapInArrow(run, "a long, b long")
 
 
+def _parts(n: Column, least: int, most: int, tasks: int) -> Column:
+    """In how many parts n rows of a bucket are dealt: parts grow, from `least` rows to `most`, before there are more than keep `tasks` tasks busy about twice."""
+    size = F.least(F.lit(max(least, most)), F.greatest(F.lit(least), F.ceil(n / math.ceil(math.sqrt(4 * tasks)))))
+    return F.ceil(n / size).cast("int")
+
+
 def _blocks(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
     """Members of buckets that lie in several components, dealt to blocks.
 
     In a block, the rows of turn 0 (outside the bucket's largest component) are to be
-    compared with those of turn 1 (any).
+    compared with those of turn 1 (any). A member is dealt to a bounded number of blocks
+    up to MOST * sqrt(4 * shuffle partitions) members of a bucket.
     """
+    tasks = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = members.join(found.select(F.col("id").alias("cid"), "component_id"), "cid", "left")
     placed = saved(placed.select("key", "cid", F.coalesce("component_id", "cid").alias("part")), "placed")
     parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy("key").agg(F.sum("n").alias("group_rows"), F.max(F.struct("n", "part")).alias("top"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     buckets = saved(mixed.select("key", "group_rows", F.col("top.part").alias("main"), (F.col("group_rows") - F.col("top.n")).alias("others")), "mixed")
     rows = join_by_group(placed, buckets, ["key"], placed.count())
-    blocks, lanes = F.ceil(F.col("others") / BLOCK).cast("int"), F.ceil(F.col("group_rows") / OTHERS).cast("int")
+    blocks, lanes = _parts(F.col("others"), BLOCK, MOST, tasks), _parts(F.col("group_rows"), OTHERS, MOST, tasks)
     block, lane = F.pmod(F.xxhash64("cid", F.lit(1)), blocks).cast("int"), F.pmod(F.xxhash64("cid", F.lit(2)), lanes).cast("int")
     asking = rows.where("part <> main").select("key", "cid", "part", block.alias("block"), F.explode(F.sequence(F.lit(0), lanes - 1)).alias("lane"), F.lit(0).alias("turn"))
     asked = rows.select("key", "cid", "part", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), lane.alias("lane"), F.lit(1).alias("turn"))
@@ -279,9 +292,20 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.withColumn("n_shingles", F.col("n_shingles").cast("int")).mapInArrow(run, schema)
 
 
+def _split(candidates: DataFrame) -> DataFrame:
+    """candidates with the part of its block that a row is in: blocks whose asking rows have large sets come in several parts, and each has all rows of turn 1."""
+    shares = F.ceil(F.sum("n_shingles") / HELD_SHINGLES).cast("int").alias("parts")
+    large = saved(candidates.where("turn = 0").groupBy(*_PLACE).agg(shares).where("parts > 1"), "large-blocks")
+    if large.isEmpty():
+        return candidates.withColumn("piece", F.lit(0))
+    parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int")
+    pieces = F.when(F.col("turn") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
+    return saved(candidates.join(small(large), _PLACE, "left").withColumn("piece", F.explode(pieces)).drop("parts"), "candidates")
+
+
 def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """A spanning forest of the links (a, b) between components, from each block, on the full sets."""
-    rows = sets.join(small(candidates), "cid")
+    """A spanning forest of the links (a, b) between components, from each piece of a block, on the full sets."""
+    rows = sets.join(small(_split(candidates)), "cid")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -295,7 +319,7 @@ def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             found = []
-            for *key, turn, cid, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*_PLACE, "turn", "cid", "part", "n_shingles", "sig", "set"))):
+            for *key, turn, cid, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*_PLACE, "piece", "turn", "cid", "part", "n_shingles", "sig", "set"))):
                 if at != key:
                     at, queries, block, joined = key, [], None, {}
                 if turn == 0:
@@ -314,7 +338,7 @@ def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "turn").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*_PLACE, "piece").sortWithinPartitions(*_PLACE, "piece", "turn").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corvane import shared as engine
 from corvane.llm import components, embed_dedup, exact_dedup, minmax, mixing, shared
@@ -156,9 +157,20 @@ def test_rows_kept_of_near_copies(spark, joined):
     assert collections.Counter((r["doc_id"], r["text"]) for r in rows_of(out)) == brute_kept(data, 5, 80)
 
 
-def test_many_near_copies_of_few_ids(spark, joined, monkeypatch):
+def test_blocks_grow_before_they_multiply(spark):
+    sizes = (0, 1, 200, 10_000, 230_000, 10**7)
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long")
+    got = {r.n: r.parts for r in rows.select("n", minmax._parts(F.col("n"), 256, 8192, 200).alias("parts")).collect()}
+    assert got[0] == 0 and got[1] == got[200] == 1
+    assert got[10_000] == got[230_000] == 29 and got[10**7] == -(-(10**7) // 8192)
+
+
+@pytest.mark.parametrize("most, held", [(8192, 1 << 22), (4, 1 << 22), (64, 100)])
+def test_many_near_copies_of_few_ids(spark, joined, monkeypatch, most, held):
     monkeypatch.setattr(minmax, "BLOCK", 4)
     monkeypatch.setattr(minmax, "OTHERS", 8)
+    monkeypatch.setattr(minmax, "MOST", most)
+    monkeypatch.setattr(minmax, "HELD_SHINGLES", held)
     random.seed(11)
     data = []
     for _ in range(8):
