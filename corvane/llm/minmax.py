@@ -37,6 +37,9 @@ PERMUTATIONS = 96
 #: in larger buckets of up to MOST, so that members are dealt to more blocks only in buckets that are larger still.
 BLOCK, OTHERS, MOST = 256, 256, 8192
 
+#: Blocks grow once a bucket has so many pairs of them for each task, enough to spread its work evenly.
+PAIRS = 64
+
 #: The full sets that a block holds at once have so many shingles together, unless a single one has more.
 HELD_SHINGLES = 1 << 22
 
@@ -198,8 +201,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _parts(n: Column, least: int, most: int, tasks: int) -> Column:
-    """In how many parts n rows of a bucket are dealt: parts grow, from `least` rows to `most`, before there are more than keep `tasks` tasks busy about twice."""
-    size = F.least(F.lit(max(least, most)), F.greatest(F.lit(least), F.ceil(n / math.ceil(math.sqrt(4 * tasks)))))
+    """In how many parts n rows of a bucket are dealt: parts grow, from `least` rows to `most`, once their pairs are PAIRS for each of the tasks."""
+    size = F.least(F.lit(max(least, most)), F.greatest(F.lit(least), F.ceil(n / math.ceil(math.sqrt(PAIRS * tasks)))))
     return F.ceil(n / size).cast("int")
 
 
@@ -208,7 +211,7 @@ def _blocks(members: DataFrame, classes: DataFrame, found: DataFrame) -> DataFra
 
     In a block, the rows of turn 0 (outside the bucket's largest component) are to be
     compared with those of turn 1 (any). A member is dealt to a bounded number of blocks
-    up to MOST * sqrt(4 * shuffle partitions) members of a bucket.
+    up to MOST * sqrt(PAIRS * shuffle partitions) members of a bucket.
     """
     tasks = max(8, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     placed = members.join(found.select(F.col("id").alias("cid"), "component_id"), "cid", "left")
@@ -292,20 +295,21 @@ def _candidates(blocks: DataFrame, percent: int) -> DataFrame:
     return dealt.withColumn("n_shingles", F.col("n_shingles").cast("int")).mapInArrow(run, schema)
 
 
-def _split(candidates: DataFrame) -> DataFrame:
-    """candidates with the part of its block that a row is in: blocks whose asking rows have large sets come in several parts, and each has all rows of turn 1."""
+def _split(candidates: DataFrame) -> tuple[DataFrame, list[str]]:
+    """candidates, and what they are dealt by: where the asking rows of blocks have large sets, also pieces of blocks, each with all rows of turn 1."""
     shares = F.ceil(F.sum("n_shingles") / HELD_SHINGLES).cast("int").alias("parts")
     large = saved(candidates.where("turn = 0").groupBy(*_PLACE).agg(shares).where("parts > 1"), "large-blocks")
     if large.isEmpty():
-        return candidates.withColumn("piece", F.lit(0))
+        return candidates, _PLACE
     parts, own = F.coalesce("parts", F.lit(1)), F.pmod(F.xxhash64("cid"), F.coalesce("parts", F.lit(1))).cast("int")
     pieces = F.when(F.col("turn") == 0, F.array(own)).otherwise(F.sequence(F.lit(0), parts - 1))
-    return saved(candidates.join(small(large), _PLACE, "left").withColumn("piece", F.explode(pieces)).drop("parts"), "candidates")
+    return saved(candidates.join(small(large), _PLACE, "left").withColumn("piece", F.explode(pieces)).drop("parts"), "candidates"), [*_PLACE, "piece"]
 
 
 def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """A spanning forest of the links (a, b) between components, from each piece of a block, on the full sets."""
-    rows = sets.join(small(_split(candidates)), "cid")
+    split, place = _split(candidates)
+    rows = sets.join(small(split), "cid")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -319,7 +323,7 @@ def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         for batch in batches:
             found = []
-            for *key, turn, cid, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*_PLACE, "piece", "turn", "cid", "part", "n_shingles", "sig", "set"))):
+            for *key, turn, cid, part, n, sig, raw in zip(*(batch.column(k).to_pylist() for k in (*place, "turn", "cid", "part", "n_shingles", "sig", "set"))):
                 if at != key:
                     at, queries, block, joined = key, [], None, {}
                 if turn == 0:
@@ -338,7 +342,7 @@ def _across(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return rows.repartition(*_PLACE, "piece").sortWithinPartitions(*_PLACE, "piece", "turn").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition(*place).sortWithinPartitions(*place, "turn").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
