@@ -107,21 +107,33 @@ def clip_relative(met: DataFrame, start: str, end: str, begin: str, stop: str) -
     return met.withColumns({"rel_begin": rel(F.greatest(begin, start)), "rel_end": rel(F.least(stop, end))})
 
 
-def cut_segments(rows: DataFrame, by: str, signal: str, rate: int, begin: str, stop: str, name: str, least: int = 10) -> DataFrame:
+def cut_segments(
+    rows: DataFrame, by: str, signal: str | Callable[[Column, Column], Column], rate: int, begin: str, stop: str, name: str, least: int = 10, length: Column | None = None
+) -> DataFrame:
     """Rows of segments() with times from the segment's start, its samples and a name with the suffix _song<number>, numbered from 0.
 
     A segment runs from its first begin to its last stop, within the signal; one of fewer than
-    `least` samples is dropped, and keeps its number. The signal is sliced once per segment.
+    `least` samples is dropped, and keeps its number. signal names a column of samples, or gives the samples of a window
+    from (first, number) where they are cut, for signals of `length` samples that are not to travel whole with each row.
+    Samples are cut once per segment, after the only shuffle. Rows with a null key are dropped.
     """
-    parts = rows.groupBy(by, "segment").agg(F.min(begin).alias("_from"), F.max(stop).alias("_to"), F.first(signal).alias("_signal"), F.first(name).alias("_name"))
-    numbered = parts.withColumn("_number", F.row_number().over(Window.partitionBy(by).orderBy("segment")) - 1)
+    named = isinstance(signal, str)
+    own = [c for c in rows.columns if c not in (by, "segment") and not (named and c == signal)]
+    whole = F.first(F.size(signal) if named else length)
+    found = rows.where(F.col(by).isNotNull()).groupBy(by, "segment").agg(
+        F.min(begin).alias("_from"), F.max(stop).alias("_to"), F.first(name).alias("_name"), whole.alias("_length"),
+        F.collect_list(F.struct(*own)).alias("_rows"), *([F.first(signal).alias("_signal")] if named else []),
+    )
+    numbered = found.withColumn("_number", F.row_number().over(Window.partitionBy(by).orderBy("segment")) - 1)
     first = F.greatest(F.lit(0), (F.col("_from") * rate).cast("int"))
-    last = F.least(F.size("_signal"), (F.col("_to") * rate).cast("int"))
-    kept = numbered.withColumn("samples", F.slice("_signal", first + 1, F.greatest(last - first, F.lit(0)))).where(F.size("samples") >= least)
+    last = F.least(F.col("_length"), (F.col("_to") * rate).cast("int"))
+    kept = numbered.withColumns({"_first": first, "_n": F.greatest(last - first, F.lit(0))}).where(F.col("_n") >= least)
+    cut = F.slice("_signal", F.col("_first") + 1, F.col("_n")) if named else F.when(F.col("_n") > 0, signal(F.col("_first"), F.col("_n"))).otherwise(F.array())
     stem = F.regexp_replace("_name", r"(?<=.)\.[^./]*$", "")
-    kept = kept.select(by, "segment", "_from", "samples", F.concat(stem, F.lit("_song"), F.col("_number").cast("string"), F.lit(".wav")).alias("segment_name"))
-    out = rows.drop(signal).join(kept, [by, "segment"])
-    return out.withColumns({begin: F.col(begin) - F.col("_from"), stop: F.col(stop) - F.col("_from")}).drop("_from")
+    parts = kept.select(by, "segment", "_from", "_rows", cut.alias("samples"), F.concat(stem, F.lit("_song"), F.col("_number").cast("string"), F.lit(".wav")).alias("segment_name"))
+    out = parts.select(by, "segment", "_from", "samples", "segment_name", F.explode("_rows").alias("_row"))
+    moved = {begin: F.col(f"_row.{begin}") - F.col("_from"), stop: F.col(f"_row.{stop}") - F.col("_from")}
+    return out.select(by, "segment", *[moved[c].alias(c) if c in moved else F.col(f"_row.{c}") for c in own], "samples", "segment_name")
 
 
 def segments(df: DataFrame, by: str, order: Sequence[str], label: str, first: str, middle: str, last: str) -> DataFrame:

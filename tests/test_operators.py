@@ -276,3 +276,20 @@ def test_scalars(spark):
     assert scalars.bump("1.2.3", "minor") == "1.3.0"
     with pytest.raises(ValueError):
         scalars.bump("1.2", "minor")
+
+
+def test_segments_are_cut_by_window(spark):
+    long = 10**9
+    events = spark.createDataFrame([("f", 1, 5.0, 9.0, "f.flac"), ("f", 1, 12.0, 40.0, "f.flac"), ("f", 2, 50.0, 53.0, "f.flac"), ("f", 3, long - 20.0, long + 9.0, "f.flac"), (None, 1, 0.0, 50.0, "g.flac")], "fn string, segment int, b double, e double, file string")
+    # the samples of a signal too long to be made whole
+    window = lambda first, n: F.sequence(first, first + n - 1).cast("array<float>")
+    cut = intervals.cut_segments(events, "fn", window, 1, "b", "e", "file", length=F.lit(long))
+    got = [(r.segment, r.b, r.e, len(r.samples), r.samples[0], r.segment_name) for r in cut.orderBy("segment", "b").collect()]
+    assert got == [(1, 0.0, 4.0, 35, 5.0, "f_song0.wav"), (1, 7.0, 35.0, 35, 5.0, "f_song0.wav"), (3, 0.0, 29.0, 20, float(np.float32(long - 20)), "f_song2.wav")]
+    # a column of samples gives the same
+    short = events.where("segment < 3")
+    both = [
+        intervals.cut_segments(short.withColumn("x", F.sequence(F.lit(0), F.lit(59)).cast("array<float>")), "fn", "x", 1, "b", "e", "file"),
+        intervals.cut_segments(short, "fn", window, 1, "b", "e", "file", length=F.lit(60)),
+    ]
+    assert both[0].columns == both[1].columns and rows(both[0]) == rows(both[1]) and both[0].count() == 2
