@@ -293,3 +293,14 @@ def test_segments_are_cut_by_window(spark):
         intervals.cut_segments(short, "fn", window, 1, "b", "e", "file", length=F.lit(60)),
     ]
     assert both[0].columns == both[1].columns and rows(both[0]) == rows(both[1]) and both[0].count() == 2
+
+
+def test_rounded_samples_keep_the_sign_of_zero(spark):
+    df = spark.createDataFrame([([-2e-7, 2e-7, -0.0, -1.5e-6, 0.0000025, 0.25],)], "x array<double>")
+    got = df.select(waveform.rounded(F.col("x"), 6)).first()[0]
+    assert got == [0.0, 0.0, 0.0, -2e-6, 3e-6, 0.25] and np.signbit(got).tolist() == [True, False, True, True, False, False]
+    names = ("stereo_to_mono", "mono_channels_last")
+    sounds = spark.createDataFrame([(0, [-2e-7] * 64)], "vec_id long, embedding array<float>")
+    for name in names:
+        got = catalogue.__dict__[name](lambda table: sounds).first()["mono"]
+        assert got == [0.0] * 32 and np.signbit(got).all()
