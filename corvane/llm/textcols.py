@@ -6,6 +6,8 @@ half-open ranges of it. Nothing here is limited in text length.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +42,17 @@ def powers(n: int) -> np.ndarray:
 _POWERS = np.ones(1, np.uint64)
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold free to the system; a worker that waits for its next task would keep it from the others."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError, TypeError):  # C libraries other than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def sub_batches(batches: Iterator, text: str = "text", chars: int = SUB_BATCH_CHARS) -> Iterator[tuple]:
-    """Slices of Arrow batches with at most about `chars` characters, and their texts (null as None)."""
+    """Slices of Arrow batches with at most about `chars` characters, and their texts (null as None). Free memory is given back at the end."""
     import pyarrow.compute as pc
 
     for batch in batches:
@@ -56,6 +67,8 @@ def sub_batches(batches: Iterator, text: str = "text", chars: int = SUB_BATCH_CH
             part = batch.slice(start, stop - start)
             yield part, part.column(text).to_pylist()
             start = stop
+    batch = part = None
+    give_back()
 
 
 def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

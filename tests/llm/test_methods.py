@@ -26,6 +26,21 @@ def mixed(x):
     return int(mix64(np.array([x & M], np.uint64))[0])
 
 
+# batches of texts
+
+
+def test_workers_give_memory_back_after_their_texts(monkeypatch):
+    import pyarrow as pa
+
+    from corvane.llm import textcols
+
+    given = []
+    monkeypatch.setattr(textcols, "give_back", lambda free=textcols.give_back: given.append(free()))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b", None, "c" * 50])], ["text"])
+    parts = textcols.sub_batches(iter([batch, batch.slice(0, 0), batch]), chars=10)
+    assert [t for _, texts in parts for t in texts] == ["a b", None, "c" * 50] * 2 and given == [None]
+
+
 # language ID
 
 
